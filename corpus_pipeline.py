@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duelspark.llm import bpe_text, line_dedup, quality
+from duelspark.llm import bpe_text, decontaminate, line_dedup, near_dups, quality
 from duelspark.llm.common import read_table, stored
 
 
@@ -19,11 +19,27 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the least doc_id stays."""
+    return near_dups.dedup(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
+
+
 def bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe_text.encode_text(docs).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
-STAGES = [("quality classifier", quality_filter), ("line dedup", dedup_lines), ("BPE encoding and decoding", bpe_ids)]
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("line dedup", dedup_lines),
+    ("MinHash near-dedup", near_duplicates),
+    ("benchmark decontamination", decontaminated),
+    ("BPE encoding and decoding", bpe_ids),
+]
 
 #: A trained classifier and sketches aren't expressible in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

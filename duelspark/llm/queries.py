@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_text, exact_digest, line_dedup, near_dups, passages, quality, token_files
+from . import bpe_text, decontaminate, exact_digest, licenses, line_dedup, lm_mix, near_dups, passages, quality, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.op1_token_files,
     "op2_quality": quality.op2_quality,
+    "op3_decontamination": decontaminate.op3_decontamination,
+    "op4_lm_scores": lm_mix.op4_lm_scores,
     "op5_passages": passages.op5_passages,
+    "op6_licenses": licenses.op6_licenses,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_near_dups": near_dups.op8_near_dups,
     "op9_exact_digest": exact_digest.op9_exact_digest,
