@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..config import Fold
 from ..functions import numbers as N
@@ -190,7 +191,7 @@ def predict_groups(frame: DataFrame, fitted: dict[int, Fitted], output: str = "p
                 out[at] = 1 / (1 + np.exp(-np.clip(z + base.to_numpy(float)[at], -40, 40)))
         return pd.Series(out)
 
-    udf = F.pandas_udf(run, "double")
+    udf = F.pandas_udf(run, DoubleType())
     base = F.col(offset) if offset else F.lit(0.0)
     return frame.withColumn(output, F.nanvl(udf(F.col("g"), base, *[F.col(f).cast("double") for f in features]), F.lit(None).cast("double")))
 
