@@ -1,6 +1,7 @@
 """Each query with SQL, on the smallest tables, against another engine."""
 
 import math
+import numbers
 import os
 
 import duckdb
@@ -18,7 +19,7 @@ def cell(v):
         return None
     if hasattr(v, "year"):
         return str(v)[:10]
-    return round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
+    return round(float(v), 5) if isinstance(v, numbers.Number) and not isinstance(v, bool) else v
 
 
 def rows(frame):
