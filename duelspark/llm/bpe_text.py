@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import prepare, read_table, strings
-from .vocab import DIGITS, DISPUTED, LETTERS, SPACES, Pieces, as_letters, tokenizer_json
+from .vocab import DIGITS, LETTERS, SPACES, Pieces, as_letters, disputed, tokenizer_json
 
 #: Letters (bytes of the piece) of a part that is encoded whole.
 LEAF = 256
@@ -81,7 +81,7 @@ class WordBpe:
             k *= 2
 
     def encode(self, text: str) -> np.ndarray:
-        if self.known and not DISPUTED.search(text):
+        if self.known and not disputed(text):
             return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.pattern.findall(text.lower()))), "<u4")
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 

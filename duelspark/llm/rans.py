@@ -26,6 +26,9 @@ class Table:
         self.symbols, self.scale = symbols.astype(np.uint32), scale
         self.freqs = freqs.astype(np.uint64)
         self.starts = np.concatenate([[0], np.cumsum(freqs)[:-1]]).astype(np.uint64)
+        #: Place of each id in ``symbols``; ids of a vocabulary are dense.
+        self.place = np.full(int(self.symbols.max()) + 1 if len(self.symbols) else 0, -1, np.int32)
+        self.place[self.symbols] = np.arange(len(self.symbols), dtype=np.int32)
         self.slot = np.repeat(np.arange(len(symbols), dtype=np.uint32), freqs) if len(symbols) else np.empty(0, np.uint32)
 
     @classmethod
@@ -65,8 +68,10 @@ def encode_block(tokens: np.ndarray, table: Table, interval: int = 256) -> bytes
     n = len(tokens)
     lanes = 1 if n < 512 else min(MAX_LANES, 1 << int(n // 256).bit_length() - 1)
     steps = -(-n // lanes)
-    index = np.searchsorted(table.symbols, tokens)
-    if n and (index.max(initial=0) >= len(table.symbols) or (table.symbols[index] != tokens).any()):
+    if n and int(tokens.max()) >= len(table.place):
+        raise ValueError("a token isn't in the frequency table")
+    index = table.place[tokens]
+    if n and index.min() < 0:
         raise ValueError("a token isn't in the frequency table")
     freqs, starts = table.freqs[index], table.starts[index]
     scale = np.uint64(table.scale)

@@ -17,13 +17,21 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces a worker keeps; beyond it pieces are encoded anew each time, with the same result.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 600_000
 
 #: Fixed: characters whose class, case and normal form no library version disputes.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ɏ"
 DIGITS = "0-9²³¹¼-¾"
 SPACES = "\\t-\\r "
 DISPUTED = re.compile("[^\\t-\\r -~¡-įı-ɏ‐-‧‰-⁞]|<\\|")
+_PLAIN = bytes([*range(0x09, 0x0E), *range(0x20, 0x7F)])
+
+
+def disputed(text: str) -> bool:
+    """Whether the library must see the whole text."""
+    if text.isascii():
+        return bool(text.encode().translate(None, _PLAIN)) or "<|" in text
+    return bool(DISPUTED.search(text))
 
 
 def tokenizer_json(path: str | None, name: str) -> str:
@@ -59,12 +67,16 @@ class Pieces(dict):
         return ids
 
 
-_LATIN = {b: c for b, c in byte_letters().items()}
+_LATIN = byte_letters()
+#: Characters below U+0250 as their bytes' letters, for str.translate.
+_SHORT = {k: "".join(_LATIN[b] for b in chr(k).encode("utf-8")) for k in range(0x250)}
 
 
 def as_letters(piece: str) -> str:
-    if piece.isascii() and piece.isalnum():
+    if piece.isalnum() and piece.isascii():
         return piece
+    if max(piece) < "ɐ":
+        return piece.translate(_SHORT)
     return "".join(map(_LATIN.__getitem__, piece.encode("utf-8")))
 
 
@@ -85,6 +97,6 @@ class ByteBpe:
         self.pieces = Pieces(lambda piece: [t.id for t in model.tokenize(as_letters(piece))])
 
     def encode(self, text: str) -> np.ndarray:
-        if not self.known or DISPUTED.search(text):
+        if not self.known or disputed(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
         return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.pattern.findall(text))), "<u4")
