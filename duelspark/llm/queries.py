@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_text, decontaminate, exact_digest, licenses, line_dedup, lm_mix, near_dups, passages, quality, token_files
+from . import bpe_text, decontaminate, exact_digest, licenses, line_dedup, lm_mix, near_dups, oracles, passages, quality, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": token_files.op1_token_files,
@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe_text": bpe_text.op10_bpe_text,
 }
 
-ORACLES: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op5_passages": oracles.PASSAGES, "op7_line_dedup": line_dedup.ORACLE_SQL, "op8_near_dups": oracles.NEAR_DUPS}
