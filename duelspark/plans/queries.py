@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..config import BankrollConfig, Fold
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import bankroll, canonical, decisions, history, linkage, markets, metrics, models, ratings, resample, stats
+from ..operators import bankroll, canonical, decisions, history, linkage, markets, metrics, models, ratings, records, reports, resample, stats
 from .views import duck, matches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -655,3 +655,39 @@ def market_anchor_metrics(spark, folder):
         parts.append(models.predict_groups(test, models.fit_groups(train, features), "p").select(F.lit(name).alias("architecture"), *keep))
     return metrics.probability_metrics(reduce(DataFrame.unionByName, parts), ["source", "scope", "architecture", "fold"], "y", "p")
 
+
+# ---- reports --------------------------------------------------------------------------------------
+
+
+@query("training_summary", f"SELECT part, count(*)::BIGINT AS rows, sum(y)::BIGINT AS wins, {r('avg(y)', 'positive_rate')}, min(match_date) AS first_date, max(match_date) AS last_date, (count(*) FILTER (WHERE rank_1 IS NULL))::BIGINT AS null_rank_1 FROM {PREPARED} GROUP BY part")
+def training_summary(spark, folder):
+    return reports.training_summary(prepared(spark, folder), ("rank_1",))
+
+
+@query("market_comparison", f"SELECT part, (count(*) FILTER (WHERE m IS NOT NULL))::BIGINT AS compared_rows, (count(*) FILTER (WHERE m IS NULL))::BIGINT AS skipped_rows, {r(f'avg({LL(chr(121), chr(112))}) FILTER (WHERE m IS NOT NULL)', 'model_log_loss')}, {r(f'avg({LL(chr(121), chr(109))}) FILTER (WHERE m IS NOT NULL)', 'other_log_loss')}, {r('avg((p - y) * (p - y)) FILTER (WHERE m IS NOT NULL)', 'model_brier')}, {r('avg((m - y) * (m - y))', 'other_brier')}, {r(f'avg({LL(chr(121), chr(109))}) FILTER (WHERE m IS NOT NULL) - avg({LL(chr(121), chr(112))}) FILTER (WHERE m IS NOT NULL)', 'log_loss_improvement')} FROM (SELECT *, CASE WHEN {VALID} THEN {MARKET} END AS m FROM {ELIGIBLE}) GROUP BY part")
+def market_comparison(spark, folder):
+    frame = _predictions(spark, folder)
+    a, b = F.col("odds_1"), F.col("odds_2")
+    return reports.compare_on_same_rows(frame.withColumn("m", F.when(N.odds_pair_valid(a, b), N.no_vig(a, b))), ["part"], "y", "p_model", "m")
+
+
+@query("coverage_by_year", f"SELECT year::BIGINT AS year, surface, count(*)::BIGINT AS rows, {r('avg((odds_1 IS NOT NULL)::INT)', 'share_odds_1')}, {r('avg((rank_1 IS NOT NULL)::INT)', 'share_rank_1')} FROM mv GROUP BY year, surface")
+def coverage_by_year(spark, folder):
+    return reports.coverage_by(matches(spark, folder).withColumn("year", F.col("year").cast("long")), ["year", "surface"], ["odds_1", "rank_1"])
+
+
+@query("best_source_by_year", f"""SELECT year, arg_min(source, (loss, source)) AS source, {r('min(loss)', 'raw_market_log_loss')} FROM (SELECT year::BIGINT AS year, source, avg({LL('player_1_won::INT', 'q')}) AS loss
+  FROM (SELECT *, CASE source WHEN 'Bet365' THEN 1 / odds_1 / (1 / odds_1 + 1 / odds_2) WHEN 'Average' THEN 1 / avg_1 / (1 / avg_1 + 1 / avg_2) ELSE 1 / ps_1 / (1 / ps_1 + 1 / ps_2) END AS q FROM {SOURCES_SQL}) WHERE available GROUP BY ALL) GROUP BY year""")
+def best_source_by_year(spark, folder):
+    long = markets.by_source(matches(spark, folder).withColumn("y", F.col("player_1_won").cast("int")).withColumn("year", F.col("year").cast("long")))
+    return reports.best_source(long.filter("available"), ["year"])
+
+
+@query("record_rules", "SELECT unnest(['same player', 'rank isn''t positive', 'odds aren''t above 1']) AS rule, unnest([count(*) FILTER (WHERE player_1 = player_2), count(*) FILTER (WHERE rank_1 <= 0 OR rank_2 <= 0), count(*) FILTER (WHERE odds_1 <= 1 OR odds_2 <= 1)])::BIGINT AS rows FROM mv")
+def record_rules(spark, folder):
+    return records.violations(matches(spark, folder), records.canonical_rules()).filter(F.col("rule").isin("same player", "rank isn't positive", "odds aren't above 1"))
+
+
+@query("ledger_rules", "SELECT unnest(['open bet with a result', 'stake isn''t positive', 'balance doesn''t add up']) AS rule, 0::BIGINT AS rows")
+def ledger_rules(spark, folder):
+    return records.violations(_book(spark, folder), records.bet_rules())
