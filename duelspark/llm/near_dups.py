@@ -6,9 +6,11 @@ i - COORDINATES by force, so every bin is filled, and a document stops at the fi
 none empty. Equal sets are one class (128-bit hash of the set). Bands of four bins give candidates.
 
 Links are found without pairing up a bucket's members: round 1 verifies each member against its
-bucket's least member on full sets; buckets whose members then lie in several components are looked
-at again: members outside the bucket's largest component meet all others in blocks, pairs whose
-sketches could belong to the threshold are verified too. So no pair of linked texts that shares a
+bucket's least member on full sets. Buckets whose members then lie in several components are looked
+at again: members outside the bucket's largest component meet all others in blocks of bounded size.
+A block with few pairs that may be linked, by their sketches, hands these over to be verified; a
+block with many gets its members' texts and verifies them where they are, by an inverted list of the
+block's shingles, and hands over only a forest of links. So no pair of linked texts that shares a
 bucket ends in different components; a pair at the threshold shares none with probability under 1e-5.
 
 Defined results: a null or empty text has an empty set and no links; rows that share doc_id are one
@@ -34,8 +36,10 @@ COORDINATES, BAND = 128, 4
 PERCENT = 75
 #: Equal sketch bins (of 128) below which a pair at the threshold lies with probability under 1e-9.
 LEAST_EQUAL = 66
-#: Members of one verification group, and of one block of an unresolved bucket.
-GROUP, BLOCK = 64, 256
+#: Members of one verification group, and of either side of a block of an unresolved bucket.
+GROUP, BLOCK = 64, 1024
+#: A block with more likely pairs than this times its members is verified in place.
+DENSE = 2
 _BASE = 0xDA942042E4DD58B5
 _NONE = np.uint64((1 << 64) - 1)
 
@@ -137,14 +141,14 @@ def _set_of(text: str | None) -> np.ndarray:
 
 
 def verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked. A leader's members are dealt out in groups of bounded size."""
+    """The pairs (a, b) that are linked; ``docs``: doc_id and text of all candidates. A leader's members are dealt out in groups of bounded size."""
     pairs = stored(pairs, "pairs")
     groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups"))
     salted = pairs.join(groups, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).alias("salt"))
     asked = salted.select(F.col("b").alias("doc_id"), F.col("a").alias("leader"), "salt", F.col("b").alias("member")).unionByName(
         salted.select(F.col("a").alias("doc_id"), F.col("a").alias("leader"), "salt", F.lit(None).cast("long").alias("member")).distinct()
     )
-    texts = asked.join(_slim(docs), "doc_id").select("leader", "salt", "member", "text")
+    texts = docs.join(asked.hint("merge"), "doc_id").select("leader", "salt", "member", "text")
     return texts.groupBy("leader", "salt").applyInArrow(_verified, "a long, b long").distinct()
 
 
@@ -166,32 +170,84 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """One block of a bucket: strays against the block's members, by sketch; pairs of one component are passed over."""
-    strays = table.filter(table.column("stray"))
-    n = len(strays)
-    left = np.frombuffer(b"".join(strays.column("sketch").to_pylist()), np.uint8).reshape(n, -1)
-    right = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(table), -1)
+    """Likely links of one block between components; if many, one row without ids stands for the block."""
+    stray = table.column("stray").to_numpy(zero_copy_only=False)
     node, comp = table.column("node").to_numpy(), table.column("component").to_numpy()
-    mine, own = strays.column("node").to_numpy(), strays.column("component").to_numpy()
+    every = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(table), -1)
+    others, theirs, ids = every[~stray], comp[~stray], node[~stray]
     a, b = [], []
-    for k in range(n):
-        near = np.flatnonzero(((left[k] == right).sum(axis=1) >= LEAST_EQUAL) & (comp != own[k]))
-        a.append(np.minimum(mine[k], node[near]))
-        b.append(np.maximum(mine[k], node[near]))
-    return pa.table([np.concatenate(a) if a else np.empty(0, np.int64), np.concatenate(b) if b else np.empty(0, np.int64)], names=["a", "b"])
+    for k in np.flatnonzero(stray):
+        near = np.flatnonzero(((every[k] == others).sum(axis=1) >= LEAST_EQUAL) & (theirs != comp[k]))
+        a.append(np.minimum(node[k], ids[near]))
+        b.append(np.maximum(node[k], ids[near]))
+    a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a, b))
+    place = {c: table.column(c)[0].as_py() for c in ("key", "i", "j")}
+    if len(a) > DENSE * len(table):
+        return pa.table({**{c: [v] for c, v in place.items()}, "a": pa.array([None], pa.int64()), "b": pa.array([None], pa.int64())})
+    return pa.table({**{c: np.full(len(a), v) for c, v in place.items()}, "a": a, "b": b})
+
+
+def _verified_block(table: pa.Table) -> pa.Table:
+    """A forest of the links between the components of one block, on full sets."""
+    stray = table.column("stray").to_numpy(zero_copy_only=False)
+    node, comp = table.column("node").to_numpy(), table.column("component").to_numpy()
+    texts = table.column("text").to_pylist()
+    rows = np.flatnonzero(~stray)
+    sets = [_set_of(texts[k]) for k in rows]
+    sizes = np.array([len(x) for x in sets])
+    items, owner = np.concatenate([*sets, np.empty(0, np.uint64)]), np.repeat(np.arange(len(rows)), sizes)
+    by = np.argsort(items, kind="stable")
+    items, owner = items[by], owner[by]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = x = parent.get(parent[x], parent[x])
+        return x
+
+    found = []
+    for k in np.flatnonzero(stray):
+        mine = _set_of(texts[k])
+        low, high = np.searchsorted(items, mine), np.searchsorted(items, mine, "right")
+        n = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        inside = np.bincount(owner[at], minlength=len(rows))
+        for x in np.flatnonzero((inside > 0) & (100 * inside >= PERCENT * (sizes + len(mine) - inside)) & (comp[rows] != comp[k])):
+            p, q = root(int(comp[k])), root(int(comp[rows[x]]))
+            if p != q:
+                parent[p] = q
+                found.append(sorted((int(node[k]), int(node[rows[x]]))))
+    return pa.table([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
 
+def blocks_of(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, i, j, node, component, stray): the buckets with several components, cut into blocks.
 
-def unresolved(members: DataFrame, comps: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Pairs (a, b) worth verifying in buckets whose members lie in several components."""
+    In block (i, j) the i-th part of the bucket's strays, those outside its largest component, meets the j-th part of all."""
     label = members.join(comps, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     sizes = label.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    split = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("m"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    inside = label.join(split, "key").withColumn("stray", F.col("component") != F.col("main")).withColumn("blocks", F.ceil(F.col("m") / BLOCK))
-    inside = inside.join(sketch, "node").select("key", "node", "component", "stray", "blocks", "sketch")
-    own = F.pmod(F.xxhash64("node", "key"), F.col("blocks"))
-    everywhere = F.when(F.col("stray"), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(own))
-    dealt = inside.select("key", "node", "component", "stray", "sketch", F.explode(everywhere).alias("block"))
-    return dealt.groupBy("key", "block").applyInArrow(_across, "a long, b long").distinct()
+    split = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("m"), F.max("n").alias("most"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    inside = label.join(split, "key").withColumn("rows", F.ceil((F.col("m") - F.col("most")) / BLOCK)).withColumn("columns", F.ceil(F.col("m") / BLOCK))
+    one = lambda i, j, stray: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(stray).alias("stray"))
+    place = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n)
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    as_member = F.transform(upto(F.col("rows")), lambda i: one(i, place(F.col("columns"), 1), False))
+    as_stray = F.transform(upto(F.col("columns")), lambda j: one(place(F.col("rows"), 2), j, True))
+    dealt = F.when(F.col("component") != F.col("main"), F.concat(as_member, as_stray)).otherwise(as_member)
+    return inside.select("key", "node", "component", F.inline(dealt))
+
+
+def links_across(docs: DataFrame, members: DataFrame, comps: DataFrame, sketch: DataFrame) -> DataFrame | None:
+    """Verified links between components that share a bucket; None if no pair is likely."""
+    blocks = blocks_of(members, comps)
+    cell = ["key", "i", "j"]
+    likely = stored(blocks.join(sketch, "node").groupBy(*cell).applyInArrow(_across, "key long, i long, j long, a long, b long"), "likely")
+    if likely.isEmpty():
+        return None
+    few = verify(docs, likely.filter("a is not null").select("a", "b").distinct())
+    inside = blocks.join(likely.filter("a is null").select(*cell), cell, "left_semi")
+    many = docs.withColumnRenamed("doc_id", "node").join(inside.hint("merge"), "node").groupBy(*cell).applyInArrow(_verified_block, "a long, b long")
+    return few.unionByName(many).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -210,14 +266,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same_doc = known.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).filter("x <> y")
     rows = known.join(same_doc.select("doc_id"), "doc_id", "left_semi").join(classes, ["h1", "h2"])
     shared = rows.select(F.col("node").alias("a"), F.col("doc_id").alias("b"))  # classes that meet in one doc_id
-    links = stored(verify(slim, members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()).unionByName(shared), "links")
+    # texts are moved once, all by doc_id; what follows moves candidates' texts only
+    texts = stored(slim.join(members.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "candidate-texts")
+    links = stored(verify(texts, members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()).unionByName(shared), "links")
     comps = stored(components(links), "components")
     sketch_of = heads.select("node", "sketch")
-    more = stored(unresolved(members.select("key", "node"), comps, sketch_of), "pairs-across")
-    if not more.isEmpty():
-        late = stored(verify(slim, more), "links-across")
-        if not late.isEmpty():
-            comps = stored(components(links.unionByName(late)), "components")
+    late = links_across(texts, members.select("key", "node"), comps, sketch_of)
+    if late is not None:
+        comps = stored(components(links.unionByName(stored(late, "links-across"))), "components")
     owner = classes.join(comps, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component_id"))
     joined = sketch.select("doc_id", "n_shingles", "h1", "h2").join(owner, ["h1", "h2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.least("component_id", "doc_id")).otherwise(F.col("doc_id"))

@@ -56,6 +56,16 @@ def test_matches_brute_force(spark, seed):
     assert sorted([tuple(r) for r in got], key=str) == brute(data)
 
 
+def test_blocks_and_dense_buckets(spark, monkeypatch):
+    """Many copies of a hub that isn't there itself: most pairs lie just below the threshold."""
+    monkeypatch.setattr(near_dups, "BLOCK", 16)
+    rng = random.Random(9)
+    hub = ["w%d" % rng.randrange(3000) for _ in range(150)]
+    data = [(500 - k, " ".join(edited(rng, hub, rng.choice([0.01, 0.025, 0.03, 0.04])))) for k in range(70)]
+    got = near_dups.near_duplicates(frame(spark, data)).collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute(data)
+
+
 def test_long_chain_is_one_component(spark):
     rng = random.Random(5)
     w = ["c%d" % k for k in range(120)]
