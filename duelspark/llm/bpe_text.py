@@ -28,6 +28,8 @@ from .vocab import DIGITS, LETTERS, SPACES, Pieces, as_letters, disputed, tokeni
 
 #: Letters (bytes of the piece) of a part that is encoded whole.
 LEAF = 256
+#: Distinct words a worker keeps; lower-cased words recur more than pieces with blanks and capitals.
+WORD_PIECES = 250_000
 
 
 class WordBpe:
@@ -47,7 +49,7 @@ class WordBpe:
         self.last, self.inner, self.leaf = self.library.model, Tokenizer.from_str(json.dumps(inner)).model, leaf
         self.letters = {v: k for k, v in self.library.get_vocab(with_added_tokens=True).items()}
         self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{SPACES}{LETTERS}{DIGITS}]+")
-        self.pieces = Pieces(lambda piece: [t for t, _ in self.tree(as_letters(piece), True)])
+        self.pieces = Pieces(lambda piece: [t for t, _ in self.tree(as_letters(piece), True)], WORD_PIECES)
 
     def _sized(self, letters: str, final: bool):
         return (self.last if final else self.inner).tokenize(letters)

@@ -56,13 +56,13 @@ def byte_letters() -> dict[int, str]:
 class Pieces(dict):
     """piece -> its ids as little-endian 32-bit bytes; encodes what it doesn't hold."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, most: int = CACHE_PIECES):
         super().__init__()
-        self.encode = encode
+        self.encode, self.most = encode, most
 
     def __missing__(self, piece: str) -> bytes:
         ids = np.array(self.encode(piece), "<u4").tobytes()
-        if len(self) < CACHE_PIECES and len(piece) <= 64:
+        if len(self) < self.most and len(piece) <= 64:
             self[piece] = ids
         return ids
 
