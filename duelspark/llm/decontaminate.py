@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import prepare, read_table, strings
 
 #: Edits per character of an item.
-ERROR_RATE = 0.06
+ERROR_RATE = 0.08
 #: Characters of the items in one block (one broadcast, one pass over the documents).
 BLOCK_CHARS = 4_000_000
 
