@@ -9,6 +9,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -57,8 +58,23 @@ def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+_seen = 0
+_give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim(every: int = 16) -> None:
+    """Now and then hand freed memory back to the system: workers live on after a task."""
+    global _seen
+    _seen += 1
+    if _seen % every == 0:
+        pa.default_memory_pool().release_unused()
+        if _give_back is not None:
+            _give_back(0)
+
+
 def strings(batch: pa.RecordBatch, name: str) -> pa.Array:
     """A string column without nulls (null: empty) and without an offset, in one piece."""
+    trim()
     column = batch.column(batch.schema.get_field_index(name))
     if pa.types.is_null(column.type):
         return pa.array([""] * len(column), pa.string())
