@@ -29,7 +29,6 @@ from .common import prepare, read_table, stored, strings, width
 MIN_CHARS = 10
 #: Fixed: the white space that a line's key loses at both ends.
 BLANK = " \t\n\x0b\x0c\r"
-_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 
 _LINES = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("body", pa.int64()), ("pos", pa.int32())])
 _FOUND = pa.schema([("kind", pa.int8()), *_LINES])
@@ -39,9 +38,9 @@ _DROP, _HEAD, _EDGE = 0, 1, 2
 def line_keys(text: str, min_chars: int) -> Iterator[tuple[int, bytes]]:
     """(position, digest) of each line whose key is long enough."""
     for pos, line in enumerate(text.split("\n")):
-        key = line.strip(BLANK).translate(_LOWER)
-        if len(key) >= min_chars:
-            yield pos, xxhash.xxh3_128_digest(key.encode("utf-8", "surrogatepass"))
+        key = line.strip(BLANK)
+        if len(key) >= min_chars:  # on bytes, lower() changes A-Z only
+            yield pos, xxhash.xxh3_128_digest(key.encode("utf-8", "surrogatepass").lower())
 
 
 def body_hash(text: str) -> int:
