@@ -16,7 +16,7 @@ import numpy as np
 MAGIC = b"RNS1"
 _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sBHIII")  # magic, scale, lanes, tokens, interval, words
-MAX_LANES = 1024
+MAX_LANES = 4096
 
 
 class Table:

@@ -28,7 +28,7 @@ from .vocab import ByteBpe, tokenizer_json
 
 END_ID = 0
 #: A block is closed when it holds so many tokens; documents aren't cut.
-BLOCK_TOKENS = 1 << 18
+BLOCK_TOKENS = 1 << 20
 
 _TOKENS = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 _BLOCKS = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("docs", pa.binary()), ("payload", pa.binary())])
@@ -53,7 +53,8 @@ def encode_documents(docs: DataFrame, source: str, end_id: int = END_ID) -> Data
         for batch in batches:
             counts, blobs, ties = [], [], []
             for text in strings(batch, "text").to_pylist():
-                ids = np.append(coder.encode(text), np.uint32(end_id))
+                ids = coder.encode(text)
+                ids = np.append(ids, ids.dtype.type(end_id))
                 counts.append(len(ids))
                 blobs.append(pack.compress(_packed(ids)))
                 ties.append(zlib.crc32(text.encode("utf-8", "surrogatepass")))
@@ -65,8 +66,7 @@ def encode_documents(docs: DataFrame, source: str, end_id: int = END_ID) -> Data
 
 
 def _packed(ids: np.ndarray) -> bytes:
-    narrow = not len(ids) or int(ids.max()) < 1 << 16
-    return (b"\2" if narrow else b"\4") + ids.astype("<u2" if narrow else "<u4").tobytes()
+    return bytes([ids.dtype.itemsize]) + ids.tobytes()
 
 
 def _unpacked(blob: bytes) -> np.ndarray:

@@ -11,13 +11,14 @@ from __future__ import annotations
 import json
 import os
 import re
+from struct import pack
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces a worker keeps; beyond it pieces are encoded anew each time, with the same result.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_000_000
 
 #: Fixed: characters whose class, case and normal form no library version disputes.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-įı-ɏ"
@@ -54,17 +55,18 @@ def byte_letters() -> dict[int, str]:
 
 
 class Pieces(dict):
-    """piece -> its ids as little-endian 32-bit bytes; encodes what it doesn't hold."""
+    """piece -> its ids as little-endian integers of ``width`` bytes; encodes what it doesn't hold."""
 
-    def __init__(self, encode, most: int = CACHE_PIECES):
+    def __init__(self, encode, most: int = CACHE_PIECES, width: int = 4):
         super().__init__()
-        self.encode, self.most = encode, most
+        self.encode, self.most, self.code = encode, most, "H" if width == 2 else "I"
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encode(piece), "<u4").tobytes()
+        ids = self.encode(piece)
+        packed = pack(f"<{len(ids)}{self.code}", *ids)
         if len(self) < self.most and len(piece) <= 64:
-            self[piece] = ids
-        return ids
+            self[piece] = packed
+        return packed
 
 
 _LATIN = byte_letters()
@@ -94,9 +96,11 @@ class ByteBpe:
         self.known = plain and self.library.normalizer is None
         self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^{SPACES}{LETTERS}{DIGITS}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
         model = self.library.model
-        self.pieces = Pieces(lambda piece: [t.id for t in model.tokenize(as_letters(piece))])
+        width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
+        self.kind = np.dtype(f"<u{width}")
+        self.pieces = Pieces(lambda piece: [t.id for t in model.tokenize(as_letters(piece))], width=width)
 
     def encode(self, text: str) -> np.ndarray:
         if not self.known or disputed(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.pattern.findall(text))), "<u4")
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind)
+        return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.pattern.findall(text))), self.kind)
