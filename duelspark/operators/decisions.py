@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,11 @@ def reasons_where(conditions: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in conditions.items()]))
 
 
+def any_of(conditions: dict[str, Column]) -> Column:
+    """Whether any condition holds, as plain booleans: what a filter on it pushes down stays small."""
+    return reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in conditions.values()])
+
+
 def _optional(frame: DataFrame, name: str, default: Column) -> Column:
     return F.coalesce(F.col(name), default) if name in frame.columns else default
 
@@ -38,8 +45,7 @@ def assess(frame: DataFrame, limits: ValueThresholds = ValueThresholds()) -> Dat
     p1, p2 = F.col("predicted_player_1_probability"), F.col("predicted_player_2_probability")
     market_ok = N.odds_pair_valid(o1, o2)
     pair_ok = F.coalesce(p1.between(0, 1) & p2.between(0, 1) & (F.abs(p1 + p2 - 1) <= 1e-9 + 1e-5), F.lit(False))
-    base = reasons_where(
-        {
+    common = {
             "missing_match_id": blank_to_null(F.col("match_id")).isNull(),
             "same_player": F.lower("player_1") == F.lower("player_2"),
             "unsupported_surface": ~F.coalesce(F.col("surface").isin(*SURFACES), F.lit(False)),
@@ -49,23 +55,20 @@ def assess(frame: DataFrame, limits: ValueThresholds = ValueThresholds()) -> Dat
             "missing_odds": o1.isNull() | o2.isNull(),
             "invalid_odds": o1.isNotNull() & o2.isNotNull() & ~market_ok,
             "invalid_probability": ~pair_ok,
-        }
-    )
-    out = frame.withColumn("__base", base).withColumn("overround", F.when(market_ok, N.overround(o1, o2)))
+    }
+    out = frame.withColumn("__base", reasons_where(common)).withColumn("overround", F.when(market_ok, N.overround(o1, o2)))
     for side, odds, p, other in (("player_1", o1, p1, o2), ("player_2", o2, p2, o1)):
         model, market = F.when(pair_ok, p), F.when(market_ok, N.no_vig(odds, other))
         edge, value = model - market, model * F.when(market_ok, odds) - 1
         price = F.when(market_ok, odds)
-        own = reasons_where(
-            {
+        own = {
                 "unsupported_match": model.isNull() | market.isNull(),
                 "probability_below_threshold": model.isNotNull() & market.isNotNull() & (model < limits.probability),
                 "edge_below_threshold": edge < limits.edge,
                 "expected_value_below_threshold": value < limits.expected_value,
                 "odds_below_minimum": model.isNotNull() & (price < limits.min_odds),
                 "odds_above_maximum": model.isNotNull() & (price > limits.max_odds),
-            }
-        )
+        }
         out = (
             out.withColumn(f"{side}_model_probability", model)
             .withColumn(f"{side}_decimal_odds", price)
@@ -73,19 +76,18 @@ def assess(frame: DataFrame, limits: ValueThresholds = ValueThresholds()) -> Dat
             .withColumn(f"{side}_market_probability", market)
             .withColumn(f"{side}_edge", edge)
             .withColumn(f"{side}_expected_value", value)
-            .withColumn(f"__{side}", ordered_reasons(F.concat("__base", own)))
-            .withColumn(f"{side}_eligible", F.size(f"__{side}") == 0)
+            .withColumn(f"__{side}", ordered_reasons(F.concat("__base", reasons_where(own))))
+            .withColumn(f"{side}_eligible", ~any_of({**common, **{f"own {k}": c for k, c in own.items()}}))
             .withColumn(f"{side}_reason_codes", F.array_join(f"__{side}", "|"))
         )
-    choices = F.array_compact(F.array(*[_choice(s) for s in SIDES]))
-    out = out.withColumn("__choices", F.array_sort(choices)).withColumn("__pick", F.try_element_at("__choices", F.lit(1)))
-    n = F.size("__choices")
+    out = out.withColumn("__pick", F.least(*[_choice(s) for s in SIDES]))  # nulls are passed over
+    n = F.col("player_1_eligible").cast("int") + F.col("player_2_eligible").cast("int")
     decision = F.when(n == 0, ordered_reasons(F.concat("__player_1", "__player_2"))).when(n > 1, F.array(F.lit("multiple_eligible_selections"))).otherwise(F.array().cast("array<string>"))
     out = out.withColumn("has_recommendation", n > 0).withColumn("recommended_side", F.coalesce("__pick.side", F.lit("none")))
     for name in ("player", "odds", "probability", "market_probability", "edge", "expected_value"):
         out = out.withColumn(f"recommended_{name}", F.col(f"__pick.{name}"))
     out = out.withColumn("decision_reason_codes", F.array_join(decision, "|")).withColumn("odds_valid", F.col("overround").isNotNull())
-    return out.drop("__base", "__player_1", "__player_2", "__choices", "__pick")
+    return out.drop("__base", "__player_1", "__player_2", "__pick")
 
 
 def _choice(side: str) -> Column:
