@@ -107,7 +107,7 @@ class Matcher:
             if exact is not None:
                 out.append((item_id, 0, exact))
                 continue
-            best, done = None, -1
+            best, done = None, -len(item)  # a text may begin inside the item: hits down to 1 - len(item)
             for s in sorted(starts):
                 if s <= done:  # within the window that was searched last
                     continue

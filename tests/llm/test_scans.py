@@ -67,6 +67,20 @@ def test_decontamination_matches_brute_force(spark):
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0 and items_short
 
 
+def test_decontamination_at_both_ends_of_a_text():
+    rng = random.Random(14)
+    item = decontaminate.normalised("The item, " + " ".join("".join(rng.choice("aeiotnsr") for _ in range(rng.randrange(2, 8))) for _ in range(20)))
+    edits = int(decontaminate.ERROR_RATE * len(item))
+    matcher = decontaminate.Matcher([(1, item)])
+    found = 0
+    for gone in range(edits + 3):
+        for body in (item[gone:], item[gone:] + " and more after it", item[: len(item) - gone], "some before " + item[: len(item) - gone], "x" + item[gone:]):
+            least = distance(item, decontaminate.normalised(body))
+            assert [(i, d) for i, d, _ in matcher.find(body)] == ([(1, least)] if least <= edits else []), (gone, body)
+            found += least <= edits
+    assert found >= 5 * edits
+
+
 def test_licenses_base_places(spark):
     rng = random.Random(6)
     parts = ["GNU General-Public License", "apache, license", "CC BY", "cc-by-nc 4.0", "MIT License", "MIT Licensees", "plain", "é", "ccby", "All rights reserved"]
