@@ -2,8 +2,9 @@
 
 ``RULES`` is an ordered list: every family of ``FAMILIES`` gives rules for its SPDX tag, its
 "licensed under" sentences, its header form with a version and its bare name, in that order of
-priority. A rule runs only where its keywords occur. Detections are taken by priority, then by
-length; one whose words lie inside a taken detection, or overlap one of higher priority, goes.
+priority. A rule runs only where its keywords occur, whatever stands between their words. Detections
+are taken by priority, then by length; one whose words lie inside a taken detection, or overlap one of
+higher priority, goes.
 The four base phrases are always reported, whatever suppresses them as detections.
 
 Words are runs of digits, a-z (A-Z lower-cased) and all bytes beyond ASCII; a blank in a rule stands
@@ -161,17 +162,20 @@ def _fields(line: str) -> tuple[str, str, str, str]:
 RULES = build_rules()
 _BASES = [(re.compile(rf"(?<![{_WORD}]){_GAP.join(p.split())}(?![{_WORD}])".encode("latin-1")), label) for p, label in BASE.items()]
 #: A text without any of these has no place of any rule.
-_GATE = re.compile(rb"licen[sc]|spdx|public domain|commons|rights reserved|hereby granted|binary forms|proprietary|zero clause|affero|gnu|apache|cc|[0-9]bsd|bsd|gpl|mpl|eupl|wtfpl|cecill|mulan|public")
+_GATE = re.compile(r"licen[sc]|spdx|commons|rights reserved|hereby granted|binary forms|proprietary|affero|gnu|apache|cc|bsd|gpl|mpl|eupl|wtfpl|cecill|mulan|public".replace(" ", _GAP).encode("latin-1"))
+#: Blanks for all bytes that belong to no word.
+_BLANKS = bytes(c if re.match(f"[{_WORD}]", chr(c)) else 0x20 for c in range(256))
 
 
 def detections(lowered: bytes, rules: list[Rule] = RULES) -> list[tuple[int, int, Rule]]:
     """Kept (start, end, rule) byte intervals after suppression, by start."""
     gate: dict[bytes, bool] = {}
+    folded = b" ".join(lowered.translate(_BLANKS).split())
     found = []
     for rule in rules:
         for key in rule.keywords:
             if key not in gate:
-                gate[key] = key in lowered
+                gate[key] = key in folded
         if any(gate[k] for k in rule.keywords):
             found += [(m.start(), m.end(), rule) for m in rule.pattern.finditer(lowered)]
     found.sort(key=lambda x: (-x[2].priority, x[0] - x[1], x[0]))

@@ -114,6 +114,31 @@ def test_license_suppression(text, labels):
     assert [r.label for _, _, r in licenses.detections(text.lower().encode())] == labels
 
 
+def spelled_out(name):
+    """A text that the pattern of a signature accepts: first alternatives, all options, no version."""
+    name = re.sub(r"\(\?:([^()|]*)[^()]*\)", r"\1", name.replace(" V", "").replace(" ?", ""))
+    return re.sub(r"\[(.)[^]]*\]\+?", r"\1", name).replace("?", "")
+
+
+@pytest.mark.parametrize("gap", [" ", "\n", "  ", "-", " -\r\n\t", "\n * "])
+def test_license_keywords_accept_any_gap(gap):
+    open_rules = [licenses.Rule(r.label, r.priority, r.pattern, (b"",), r.confidence) for r in licenses.RULES]
+    for line in licenses.FAMILIES.strip().splitlines():
+        label, name, keywords, _ = licenses._fields(line)
+        for before in ("", "spdx license identifier ", "released under the terms of the ", "license type "):
+            text = gap.join((before + spelled_out(name)).split()).encode()
+            kept, want = [[(a, b, r.priority) for a, b, r in licenses.detections(text, rules)] for rules in (licenses.RULES, open_rules)]
+            assert kept and kept == want, (label, keywords, text)
+            assert licenses._GATE.search(text), (label, keywords, text)
+
+
+def test_wrapped_licenses_get_labels(spark):
+    data = ["GNU Lesser General\nPublic License v2.1", "dedicated to the public\ndomain", "All\nrights reserved", "All rights\nreserved", "Permission is hereby\n  granted, free of charge, to any person obtaining a copy", "use in source\nRedistribution and use in source and binary\n * forms", "Zero-Clause BSD"]
+    rows = {r["doc_id"]: r for r in licenses.scan_licenses(frame(spark, list(enumerate(data)))).collect()}
+    assert [rows[k]["labels"] for k in range(len(data))] == ["lgpl", "public-domain", "proprietary", "proprietary", "mit", "bsd", "0bsd"]
+    assert all(r["score"] > 0 for r in rows.values())
+
+
 def canonical(text):
     return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text or "").casefold()).strip()
 
