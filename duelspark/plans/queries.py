@@ -598,8 +598,10 @@ def block_sums(spark, folder):
 
 @query("bootstrap_ci")
 def bootstrap_ci(spark, folder):
-    rows = _segments(spark, folder).filter("year >= 1998").withColumn("difference", _improvement())
-    return resample.bootstrap(rows, ["segment"], "difference", samples=1000)
+    rows = _segments(spark, folder).filter("year >= 1998")
+    differences = {"log_loss": _improvement(), "brier": F.pow(F.col("market_probability") - F.col("y"), 2) - F.pow(F.col("p_model") - F.col("y"), 2)}
+    drawn = [resample.bootstrap(rows.withColumn("metric", F.lit(m)).withColumn("difference", d), ["segment", "metric"], "difference", seed=resample.SEED + k) for k, (m, d) in enumerate(differences.items())]
+    return reduce(DataFrame.unionByName, drawn)
 
 
 @query("block_bootstrap_ci")

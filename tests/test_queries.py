@@ -49,6 +49,23 @@ def test_other_queries_give_rows(spark, name):
     assert catalogue.QUERIES[name](spark, FOLDER).count() > 0
 
 
+def test_bootstrap_ci_is_the_whole_job(spark):
+    import numpy as np
+
+    frame = catalogue._segments(spark, FOLDER).filter("year >= 1998").select("segment", "match_id", "y", "p_model", "market_probability").toPandas()
+    got = {(r["segment"], r["metric"]): r for r in catalogue.bootstrap_ci(spark, FOLDER).collect()}
+    assert set(got) == {(s, m) for s in frame["segment"] for m in ("log_loss", "brier")}
+    for segment, part in frame.groupby("segment"):
+        part = part.sort_values("match_id")
+        y, p, q = (part[c].to_numpy(float) for c in ("y", "p_model", "market_probability"))
+        loss = lambda x: -(y * np.log(x) + (1 - y) * np.log(1 - x))
+        for metric, d, seed in (("log_loss", loss(q) - loss(p), 42), ("brier", (q - y) ** 2 - (p - y) ** 2, 43)):
+            drawn = d[np.random.default_rng(seed).integers(0, len(d), size=(10_000, len(d)))].mean(axis=1)
+            r = got[segment, metric]
+            want = (len(d), d.mean(), np.median(drawn), *np.percentile(drawn, [2.5, 97.5]), (drawn > 0).mean())
+            assert tuple(r[c] for c in ("sample_count", "mean_improvement", "median_improvement", "ci_lower", "ci_upper", "probability_better")) == pytest.approx(want)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
