@@ -290,6 +290,47 @@ def decayed_rates(spark, folder):
     return rates.filter("metric in ('serve_points_won_pct', 'break_points_converted_pct')")
 
 
+#: Successes and trials of each metric from own (o_) and opposing (x_) counts, and the prior's weight.
+EVERY_METRIC = {
+    "serve_points_won_pct": ("o_first_won + o_second_won", "o_svpt", 200),
+    "return_points_won_pct": ("x_svpt - (x_first_won + x_second_won)", "x_svpt", 200),
+    "first_serve_in_pct": ("o_first_in", "o_svpt", 200),
+    "first_serve_points_won_pct": ("o_first_won", "o_first_in", 200),
+    "second_serve_points_won_pct": ("o_second_won", "o_svpt - o_first_in", 200),
+    "ace_rate": ("o_ace", "o_svpt", 200),
+    "double_fault_rate": ("o_df", "o_svpt", 200),
+    "break_points_saved_pct": ("o_bp_saved", "o_bp_faced", 20),
+    "break_points_converted_pct": ("x_bp_faced - x_bp_saved", "x_bp_faced", 20),
+}
+
+
+def _every_side(side: int, own: str, other: str) -> str:
+    counts = ", ".join(f"{v} AS v{k}, {t} AS t{k}" for k, (v, t, _) in enumerate(EVERY_METRIC.values()))
+    return f"SELECT external_row, {side} AS side, {own}_id AS player, day, surface, valid, {counts} FROM x".replace("o_", f"{own}_").replace("x_", f"{other}_")
+
+
+EVERY_SIDES = f"{EXT_SIDES[: EXT_SIDES.index(',\n  s AS (')]}, s AS ({_every_side(1, 'winner', 'loser')} UNION ALL {_every_side(2, 'loser', 'winner')})"
+
+
+def _prior_sql(k: int, metric: str) -> str:
+    prior = lambda x: f"(SELECT sum(z.{x}{k})::DOUBLE FROM d z WHERE z.surface = g.surface AND z.day < g.day)"
+    return f"SELECT '{metric}' AS metric, g.surface, g.day::BIGINT AS day, {prior('v')} AS prior_s, {prior('t')} AS prior_t FROM g"
+
+
+EVERY_DAY = ", ".join(f"sum({x}{k}) AS {x}{k}" for k in range(len(EVERY_METRIC)) for x in "vt")
+
+
+@query("tour_priors_every_metric", f"""WITH {EVERY_SIDES}, d AS (SELECT surface, day, {EVERY_DAY} FROM s WHERE valid GROUP BY ALL UNION ALL SELECT '*', day, {EVERY_DAY} FROM s WHERE valid GROUP BY ALL),
+  g AS (SELECT DISTINCT x.day, d.surface FROM x, (SELECT DISTINCT surface FROM d) d) {' UNION ALL '.join(_prior_sql(k, m) for k, m in enumerate(EVERY_METRIC))}""")
+def tour_priors_every_metric(spark, folder):
+    return stats.tour_priors(stats.metric_rows(stats.player_stats(external_matches(spark, folder))))
+
+
+@query("decayed_rates_every_metric", f"WITH {EVERY_SIDES} {' UNION ALL '.join(_decay_sql(f'v{k}', f't{k}', m, w) for k, (m, (_, _, w)) in enumerate(EVERY_METRIC.items()))}")
+def decayed_rates_every_metric(spark, folder):
+    return stats.decayed_rates(stats.player_stats(external_matches(spark, folder)))
+
+
 @query("surface_decayed_rates")
 def surface_decayed_rates(spark, folder):
     return stats.decayed_rates(stats.player_stats(external_matches(spark, folder)), by_surface=True)

@@ -49,6 +49,16 @@ def test_other_queries_give_rows(spark, name):
     assert catalogue.QUERIES[name](spark, FOLDER).count() > 0
 
 
+def test_every_metric_and_surface_is_held_against_sql(duck):
+    from duelspark.operators import stats
+
+    assert set(catalogue.EVERY_METRIC) == set(stats.METRICS)
+    for name in ("tour_priors_every_metric", "decayed_rates_every_metric"):
+        assert {r[0] for r in duck.sql(f"SELECT DISTINCT metric FROM ({catalogue.ORACLES[name]})").fetchall()} == set(stats.METRICS)
+    surfaces = {r[0] for r in duck.sql(f"SELECT DISTINCT surface FROM ({catalogue.ORACLES['tour_priors_every_metric']})").fetchall()}
+    assert "*" in surfaces and len(surfaces) > 1
+
+
 def test_bootstrap_ci_is_the_whole_job(spark):
     import numpy as np
 
