@@ -3,8 +3,8 @@
 * ``stored``: cut lineage with a Parquet table in the folder that the cluster shares
   (``spark.checkpoint.dir``); Spark's own commit protocol makes it safe under retries.
 * vectorised word hashing: an Arrow string column is seen as one byte buffer, words are
-  found with a byte-class table, and their 64-bit hashes come from one prefix sum, so that
-  no Python code runs per word.
+  found with a byte-class table and told apart by their bytes; Python code runs once per
+  distinct word, which gets an xxh3 hash.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from xxhash import xxh3_64_intdigest
 
 #: Bytes of text that one vectorised step handles; a longer document is one step by itself.
 SLICE_BYTES = 2 << 20
@@ -105,7 +106,6 @@ def spans(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int,
         a = b
 
 
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -132,19 +132,17 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     space = np.zeros(256, bool)
     space[[0x20, *range(0x09, 0x0E)]] = True
-    values = mix(np.arange(256, dtype=np.uint64), 7)
-    lower = np.arange(256)
+    lower = np.arange(256, dtype=np.uint8)
     lower[0x41:0x5B] += 32
     symbol = np.zeros(256, bool)  # bytes of a word of digits, a-z and all beyond ASCII
     symbol[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-    return space, values, values[lower], symbol
+    return space, lower, symbol
 
 
-IS_SPACE, BYTE_VALUE, BYTE_VALUE_LOWER, IS_SYMBOL = _tables()
-_BYTE_BASE = 0x5851F42D4C957F2D
+IS_SPACE, LOWER, IS_SYMBOL = _tables()
 
 
 class Words:
@@ -170,17 +168,24 @@ class Words:
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
 
+    def distinct(self, lower: bool = False) -> tuple[pa.Array, np.ndarray]:
+        """The distinct words, compared by their bytes (A-Z lower-cased if asked), and of each word its number among them."""
+        edge = np.zeros(len(self.data) + 1, np.int8)
+        edge[self.start] += 1
+        edge[self.end] -= 1
+        body = self.data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]
+        ends = np.zeros(len(self.start) + 1, np.int32)
+        np.cumsum(self.end - self.start, out=ends[1:])
+        packed = pa.Array.from_buffers(pa.binary(), len(self.start), [None, pa.py_buffer(ends), pa.py_buffer(LOWER[body] if lower else body)])
+        encoded = packed.dictionary_encode()
+        return encoded.dictionary, encoded.indices.to_numpy()
+
     def hashes(self, lower: bool = False) -> np.ndarray:
-        """64-bit hash of each word's bytes (A-Z lower-cased if asked)."""
+        """64-bit hash of each word's bytes (A-Z lower-cased if asked): xxh3, once per distinct word."""
         if not len(self.start):
             return np.empty(0, np.uint64)
-        n = len(self.data)
-        up, down = powers(n, _BYTE_BASE)
-        total = np.empty(n + 1, np.uint64)
-        total[0] = 0
-        np.cumsum((BYTE_VALUE_LOWER if lower else BYTE_VALUE)[self.data] * up, out=total[1:])
-        raw = (total[self.end] - total[self.start]) * down[self.start]
-        return mix(raw ^ ((self.end - self.start).astype(np.uint64) * _MULTIPLIER))
+        words, number = self.distinct(lower)
+        return np.fromiter(map(xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))[number]
 
 
 def windows(hashes: np.ndarray, k: int, base: int) -> np.ndarray:

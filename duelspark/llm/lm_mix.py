@@ -1,28 +1,34 @@
-"""LM scoring: online logistic context mixing over the spelling of words, gated with word counts.
-
-Bit predictors: four hashed contexts (the last 2, 3, 4 and 6 bytes of the word, with the bits of the byte so
-far) hold counts of 0 and 1 over all distinct training words. Their log odds are mixed by weights; the
-weight set is gated by bit position and by how much the two longest contexts have seen. An adaptive
-probability map refines the mix. Weights and map are learnt online, in small batches, over every
-training word with its own contribution to the counts taken out; each hash range of words learns its
-own, and the ranges' weights are averaged by the bits they saw. That gives every spelling, with its end
-mark, a probability. A token's probability mixes the word's share of the training tokens with its
-spelling's probability; the gate between them starts from the training singletons' share and follows
-the unseen words that the document has shown so far. The word's share is itself a mix of the shares in
-up to ``GROUPS`` groups of training documents (their commonest values of ``lang``); what a document's
-tokens so far say about its group gates that mix, its own ``lang`` is never read.
-
-Counts, tables and weights come from all training documents; each task sends one entry per word of its
-chunk. The tables have a fixed size, whatever the corpus.
-
-Defined results: a null or empty text has only its end token. Without training documents counts are 0
-and the score is the spelling's alone. Documents without doc_id train nothing and have held_out null.
-Repeated rows count as often as they occur. Empty tables give an empty result; a missing
-``lang`` column is one group, a null one belongs to the last; other columns aren't read.
+"""LM scoring: online logistic context mixing over the running text of a document, bit by bit.
+
+A document is the stream of its lower-cased words, each closed by a blank, and one end mark. A byte's bits
+are its path in a Huffman code of the training bytes. Bit predictors, all across word ends:
+
+* hashed contexts: the last 1, 2, 3, 4 and 6 bytes; the word so far; it with the last two bytes of the word
+  before; it with the whole word before. A cell keeps how often 0 and 1 followed in all training documents.
+  These short contexts live in tables of a fixed size (``SIZES``), which is what is broadcast.
+* the word that most often followed the same two words in training documents, as long as what has been read
+  of the present word agrees with it. These contexts are keyed rows, exchanged by hash range, and grow with
+  the corpus; so do the word counts of the base score.
+
+In a training document each bit, and each following word, is taken out of its own counts. The predictors' log
+odds are mixed by weights that are gated by the bit's place, by how many long contexts were seen and by the
+expected word; an adaptive probability map refines the mix. Both start from fixed values in each document and
+learn online, block after block of the document (``FIRST`` bytes, then growing with what has been read), from
+the bits just scored. So a score doesn't depend on chunks, partitions or other documents' order. The sum over
+all bits is the score, and ``bits_per_byte`` is that over the bytes of the text.
+
+Documents go through in lockstep: all documents of a group are at the same block, so that numpy works on
+thousands of bits at once. Memory is bounded by chunks, groups and ``BLOCK``, in very long texts and words too.
+
+Defined results: a null or empty text has only its end token. Without training documents counts are 0 and
+the score is what documents teach about themselves. Documents without doc_id train nothing and have held_out
+null. Repeated rows count as often as they occur. Empty tables give an empty result; columns other than
+doc_id and text aren't read.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -32,294 +38,520 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-from .common import Words, mix, prepare, read_table, spans, stored, strings, width
-
-#: Bytes of text in a chunk (a longer document is a chunk by itself).
-CHUNK_BYTES = 6 << 20
-#: Bytes of context of the predictors, and their slots.
-LENGTHS = (2, 3, 4, 6)
-SLOTS = (1 << 18, 1 << 20, 1 << 20, 1 << 20)
-ORDERS = len(SLOTS)
-SEEN = 3  # gate values of a context: unseen, seen a little, seen often
-GATES = 8 * SEEN * SEEN
-MAP_CELLS = 33
+from xxhash import xxh3_64_intdigest
+
+from .common import LOWER, Words, mix, powers, prepare, read_table, spans, stored, strings, trim, width
+
+#: Bytes of text in a chunk, and of stream in a group of documents in lockstep (a longer document is one by itself).
+CHUNK_BYTES, GROUP_BYTES = 3 << 20, 1 << 18
+#: Bytes of context of the first predictors, and the cells of all eight.
+LENGTHS = (1, 2, 3, 4, 6)
+SIZES = (1 << 16, 1 << 20, 1 << 22, 1 << 22, 1 << 22, 1 << 22, 1 << 22, 1 << 22)
+ORDERS = len(SIZES)
+INPUTS = ORDERS + 1  # and the expected word
+#: Cells whose partial counts travel together.
+SLICE = 1 << 19
+#: Bytes of a word that its context hashes at most.
+REACH = 32
+BLANK, END = 0x20, 0x0A
 PRIOR = 0.4
-RATE, BATCH_BYTES, SLICE = 0.6, 8192, 1 << 17
-#: Words' worth of the corpus-wide share of unseen words in a document's own estimate.
-GATE_WEIGHT = 50.0
-#: Groups of training documents with counts of their own, and the share of the common counts in each.
-GROUPS, COMMON = 6, 0.05
+#: Learning: first block and growth in bytes, weight at the start, damping of a step, share of the curvature.
+FIRST, GROWTH, BLOCK = 24, 0.15, 1 << 16
+WEIGHT, DAMPING, CURVATURE = 0.2, 45.0, 0.2
+GATES = 3 * 3 * 2
+LIMIT, MAP_CELLS, MAP_PRIOR = 11.0, 64, 30.0
+LEAST_P = 1e-5
+#: Counts that a cell's state keeps exactly, and the states of the log odds beyond.
+EXACT = 13
+
+_NODE = mix(np.arange(256, dtype=np.uint64), 5).astype(np.uint32)
+_BASE = 0x5851F42D4C957F2D
+
+
+# ---- bits, contexts and states ------------------------------------------------------------------
+
+
+class Code:
+    """Huffman code of bytes: per byte its path of (inner node, bit)."""
+
+    def __init__(self, counts: np.ndarray):
+        heap = [(int(c) + 1, k) for k, c in enumerate(counts)]
+        heapq.heapify(heap)
+        sons: dict[int, tuple[int, int]] = {}
+        for node in range(256, 511):
+            (n, a), (m, b) = heapq.heappop(heap), heapq.heappop(heap)
+            sons[node] = (a, b)
+            heapq.heappush(heap, (n + m, node))
+        paths: list[list[int]] = [[]] * 256
+        todo: list[tuple[int, list[int]]] = [(510, [])]
+        while todo:
+            node, path = todo.pop()
+            if node < 256:
+                paths[node] = path
+            else:
+                todo += [(son, [*path, (node - 256) * 2 + bit]) for bit, son in enumerate(sons[node])]
+        self.length = np.array([len(p) for p in paths])
+        self.at = np.cumsum(self.length) - self.length
+        self.steps = np.array([x for p in paths for x in p], np.int64)
+
+    def bits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all bits of the bytes: number of the byte, depth, inner node, bit."""
+        n = self.length[data]
+        place = np.repeat(np.arange(len(data), dtype=np.int32), n)
+        depth = np.arange(len(place)) - (np.cumsum(n) - n)[place]
+        step = self.steps[self.at[data][place] + depth]
+        return place, depth, step >> 1, step & 1
+
+    def expected(self, wanted: np.ndarray, depth: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the wanted byte's path goes through this node at this depth, and its bit there."""
+        inside = np.minimum(depth, self.length[wanted] - 1)
+        step = self.steps[self.at[wanted] + inside]
+        return (inside == depth) & (step >> 1 == node), step & 1
+
+
+def streamed(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The streams of consecutive texts, one after the other, and where each ends."""
+    edge = np.zeros(len(words.data) + 1, np.int8)
+    edge[words.start] += 1
+    edge[words.end] -= 1
+    body = LOWER[words.data[np.cumsum(edge[:-1], dtype=np.int8).view(bool)]]
+    sizes, n = words.end - words.start, len(words.bounds) - 1
+    out = np.full(len(body) + len(sizes) + n, BLANK, np.uint8)
+    text = np.repeat(np.arange(n), words.counts())
+    out[np.arange(len(body)) + np.repeat(np.arange(len(sizes)) + text, sizes)] = body
+    ends = np.concatenate([[0], np.cumsum(sizes + 1)])[words.bounds[1:]] + np.arange(1, n + 1)
+    out[ends - 1] = END
+    return out, ends
+
+
+def contexts(data: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """Per order a hash of what precedes each byte; ``place``: bytes of the same document before it.
+
+    A byte's contexts follow from at most the 2 * REACH + 2 bytes before it; before a document are end marks."""
+    n = len(data)
+    symbol = data.astype(np.uint64) + np.uint64(1)
+    last, out = np.zeros(n, np.uint64), []
+    for k in range(1, LENGTHS[-1] + 1):
+        before = np.zeros(n, np.uint64)
+        before[k:] = symbol[: max(0, n - k)]
+        before[place < k] = END + 1
+        last = last * np.uint64(257) + before
+        if k in LENGTHS:
+            out.append(mix(last, k).astype(np.uint32))
+    if not n:
+        return out + [np.empty(0, np.uint32)] * 3
+    up, down = powers(n + 1, _BASE)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(symbol, 3) * up[:n], out=total[1:])
+    span = lambda a, b: mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64), 4)
+    closes = (data == BLANK) | (data == END)
+    begins = np.concatenate([[True], closes[:-1]]) | (place == 0)
+    at, rows = np.arange(n), np.flatnonzero(begins)
+    word = np.cumsum(begins) - 1
+    first = rows[word]
+    so_far = span(np.maximum(first, at - REACH), at)
+    stop = np.maximum(rows - 1, 0)  # the blank that closes the word before, if there is one
+    start = np.maximum(np.concatenate([[0], rows[:-1]]), stop - REACH)
+    alone = place[rows] == 0
+    start = np.minimum(start, stop)
+    out.append(mix(so_far, 9).astype(np.uint32))
+    for seed, low in ((21, np.maximum(start, stop - 2)), (23, start)):
+        before = np.where(alone, np.uint64(1), span(low, stop))[word]
+        before[at - first >= REACH] = 2  # too far back
+        out.append(mix(so_far + mix(before, seed), seed + 1).astype(np.uint32))
+    return out
 
-_LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
 
+def cells(context: np.ndarray, node: np.ndarray, order: int) -> np.ndarray:
+    return (context + _NODE[node]) & np.uint32(SIZES[order] - 1)
 
-def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all words, each closed by the end mark, and where each begins (and the end)."""
-    flat = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-    return flat, np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])]).astype(np.int64)
 
+def _states() -> tuple[np.ndarray, np.ndarray]:
+    """State of small counts (0, 1), and per state the log odds: as they are, without one 0, without one 1."""
+    number, odds = np.zeros((EXACT + 1, EXACT + 1), np.uint8), np.zeros((3, 256), np.float32)
+    made = 0
+    for n0 in range(EXACT + 1):
+        for n1 in range(EXACT + 1 - n0):
+            number[n0, n1] = made
+            for k, (a, b) in enumerate(((n0, n1), (max(n0 - 1, 0), n1), (n0, max(n1 - 1, 0)))):
+                odds[k, made] = np.log((b + PRIOR) / (a + PRIOR))
+            made += 1
+    odds[:, made:] = np.linspace(-LIMIT, LIMIT, 256 - made)
+    return number, odds
 
-def contexts(flat: np.ndarray, begins: np.ndarray) -> list[np.ndarray]:
-    """Per order a hash of the last bytes of the same word (fewer at its start) for each byte."""
-    n = len(flat)
-    place = np.arange(n) - np.repeat(begins[:-1], np.diff(begins))
-    last = np.zeros(n, np.uint64)
-    out = []
-    for length in range(1, LENGTHS[-1] + 1):
-        before = np.zeros(n, np.uint64)
-        before[length:] = flat[:-length]
-        last = last * np.uint64(257) + np.where(place >= length, before + np.uint64(1), np.uint64(0))
-        if length in LENGTHS:
-            out.append(last)
-    return out
 
+_NUMBER, ODDS = _states()
+#: States that stand for exact counts.
+_SMALL = (EXACT + 1) * (EXACT + 2) // 2
 
-def slots(context: np.ndarray, node: np.ndarray, order: int) -> np.ndarray:
-    return (mix(context * np.uint64(256) + node, order) & np.uint64(SLOTS[order] - 1)).astype(np.int64)
 
+def state(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """One byte for a cell's counts: exact if they are few, their log odds in equal steps if not."""
+    odds = np.clip(np.log((n1 + PRIOR) / (n0 + PRIOR)), -LIMIT, LIMIT)
+    far = np.rint((odds + LIMIT) * ((255 - _SMALL) / (2 * LIMIT))).astype(np.uint8) + np.uint8(_SMALL)
+    few = n0 + n1 <= EXACT
+    return np.where(few, _NUMBER[np.where(few, n0, 0).astype(np.int64), np.where(few, n1, 0).astype(np.int64)], far)
 
-def bits_of(flat: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(bit position, node of the bits so far, bit) from the highest bit on."""
-    for b in range(8):
-        yield b, (1 << b | flat >> (8 - b)).astype(np.uint64) if b else np.ones(len(flat), np.uint64), (flat >> (7 - b) & 1).astype(np.int64)
 
+def groups(ends: np.ndarray, most: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
+    """(first, end) of consecutive documents with at most ``most`` bytes of stream, or one."""
+    a, begin = 0, 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, begin + most, "right")))
+        yield a, b
+        a, begin = b, int(ends[b - 1])
+
+
+def places(ends: np.ndarray) -> np.ndarray:
+    sizes = np.diff(ends, prepend=0)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
 
-def count_bits(words: list[bytes]) -> np.ndarray:
-    """(2, all slots) counts of 0 and 1 that the words' spellings give."""
-    out = np.zeros((2, sum(SLOTS)), np.uint32)
-    for part in _sliced(words):
-        flat, begins = spelled(part)
-        ctx = contexts(flat, begins)
-        for _, node, bit in bits_of(flat):
-            at = 0
-            for order in range(ORDERS):
-                both = np.bincount(slots(ctx[order], node, order) * 2 + bit, minlength=2 * SLOTS[order])
-                out[0, at : at + SLOTS[order]] += both[0::2].astype(np.uint32)
-                out[1, at : at + SLOTS[order]] += both[1::2].astype(np.uint32)
-                at += SLOTS[order]
-    return out
 
+def windowed(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(bytes, contexts) of a group's streams, in pieces of bounded size."""
+    place, lead = places(ends), 2 * REACH + 2
+    for a in range(0, len(data), GROUP_BYTES):
+        b, low = min(len(data), a + GROUP_BYTES), max(0, a - lead)
+        yield data[a:b], [c[a - low :] for c in contexts(data[low:b], place[low:b])]
 
-def _sliced(words: list[bytes], most: int = SLICE) -> Iterator[list[bytes]]:
-    part, size = [], 0
-    for w in words:
-        part.append(w)
-        size += len(w) + 1
-        if size >= most:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+
+class Counter:
+    """Counts of 0 and 1 in every cell."""
+
+    def __init__(self) -> None:
+        self.tables = [np.zeros(2 * size, np.uint32) for size in SIZES]
+
+    def add(self, data: np.ndarray, ends: np.ndarray, code: Code) -> None:
+        for part, found in windowed(data, ends):
+            place, _, node, bit = code.bits(part)
+            bit = bit.astype(np.uint32)
+            for order, context in enumerate(found):
+                np.add.at(self.tables[order], cells(context[place], node, order) * np.uint32(2) + bit, np.uint32(1))
+
+    def rows(self) -> Iterator[tuple[int, bytes, bytes]]:
+        """(slice, places, counts) of the cells in use."""
+        squeeze = zstandard.ZstdCompressor(1)
+        for order, table in enumerate(self.tables):
+            for k in range(0, len(table), 2 * SLICE):
+                used = np.flatnonzero(table[k : k + 2 * SLICE])
+                if len(used):
+                    yield order << 16 | k // (2 * SLICE), squeeze.compress(used.astype("<u4").tobytes()), squeeze.compress(table[k + used].astype("<u4").tobytes())
+
+
+# ---- mixing -------------------------------------------------------------------------------------
 
 
 class Mixer:
-    """Weights and probability map over fixed count tables."""
-
-    def __init__(self, tables: np.ndarray, weights: np.ndarray | None = None, cells: np.ndarray | None = None):
-        self.zeros, self.ones = tables
-        self.starts = np.concatenate([[0], np.cumsum(SLOTS)])[:-1]
-        self.weights = np.full((GATES, ORDERS), 0.35) if weights is None else weights
-        self.steps = np.zeros(GATES)
-        line = 1 / (1 + np.exp(-np.linspace(-8, 8, MAP_CELLS)))
-        self.cells = np.tile(line, (GATES, 1)) if cells is None else cells
-
-    def inputs(self, ctx: list[np.ndarray], b: int, node: np.ndarray, bit: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Log odds of each order and the gate; ``bit``: take this occurrence itself out of the counts."""
-        odds, seen = [], []
-        for order in range(ORDERS):
-            at = slots(ctx[order], node, order) + self.starts[order]
-            n0, n1 = self.zeros[at].astype(np.float32), self.ones[at].astype(np.float32)
-            if bit is not None:
-                n0, n1 = np.maximum(n0 - (1 - bit), 0), np.maximum(n1 - bit, 0)
-            odds.append(np.log((n1 + PRIOR) / (n0 + PRIOR)))
-            if order >= ORDERS - 2:
-                n = n0 + n1
-                seen.append((n > 0).astype(np.int64) + (n > 8))
-        return np.stack(odds, 1), (b * SEEN + seen[0]) * SEEN + seen[1]
-
-    def predict(self, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Refined probability of a 1, the mix before it, and the map cells used."""
-        z = np.clip((x * self.weights[gate]).sum(1), -7.99, 7.99)
-        p = 1 / (1 + np.exp(-z))
-        place = (z + 8) * ((MAP_CELLS - 1) / 16)
-        cell = place.astype(np.int64)
-        part = place - cell
-        q = self.cells[gate, cell] * (1 - part) + self.cells[gate, cell + 1] * part
-        return np.clip((p + q) / 2, 1e-6, 1 - 1e-6), p, cell, part
-
-    def learn(self, words: list[bytes]) -> int:
-        """One online pass in small batches; returns the bits seen."""
-        seen = 0
-        for part in _sliced(words, BATCH_BYTES):
-            flat, begins = spelled(part)
-            ctx = contexts(flat, begins)
-            for b, node, bit in bits_of(flat):
-                x, gate = self.inputs(ctx, b, node, bit)
-                _, p, cell, share = self.predict(x, gate)
-                error = bit - p
-                n = np.bincount(gate, minlength=GATES)
-                steps = self.steps = self.steps + n
-                for order in range(ORDERS):
-                    g = np.bincount(gate, error * x[:, order], GATES)
-                    self.weights[:, order] += RATE * g / (n + 8.0) / np.sqrt(1 + steps / 50_000)
-                for c, w in ((cell, 1 - share), (cell + 1, share)):
-                    at = gate * MAP_CELLS + c
-                    total, hit = np.bincount(at, w, self.cells.size), np.bincount(at, w * bit, self.cells.size)
-                    self.cells = self.cells + ((hit - total * self.cells.ravel()) / (total + 60)).reshape(self.cells.shape)
-                seen += len(flat)
-        return seen
-
-    def spelling(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word's bytes with the end mark."""
-        out = []
-        for part in _sliced(words):
-            flat, begins = spelled(part)
-            ctx = contexts(flat, begins)
-            total = np.zeros(len(flat))
-            for b, node, bit in bits_of(flat):
-                p = self.predict(*self.inputs(ctx, b, node, None))[0]
-                total += np.log10(np.where(bit == 1, p, 1 - p))
-            out.append(np.add.reduceat(total, begins[:-1]))
-        return np.concatenate(out) if out else np.empty(0)
-
-    def dumps(self) -> bytes:
-        return np.concatenate([self.weights.ravel(), self.cells.ravel()]).tobytes()
-
-    @classmethod
-    def loads(cls, tables: np.ndarray, data: bytes | None) -> Mixer:
-        if data is None:
-            return cls(tables)
-        both = np.frombuffer(data, np.float64)
-        n = GATES * ORDERS
-        return cls(tables, both[:n].reshape(GATES, ORDERS).copy(), both[n:].reshape(GATES, MAP_CELLS).copy())
-
-
-# ---- Spark rounds -------------------------------------------------------------------------------
-
-_CHUNKS = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("docs", pa.binary()), ("tokens", pa.binary())])
-_CHUNKS_DDL = "chunk long, part long, words binary, counts binary, docs binary, tokens binary"
-_DOC = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("train", "u1"), ("held", "u1"), ("group", "u1"), ("n", "<i8"), ("size", "<i8")])
+    """Weights and probability maps of documents in lockstep over fixed states."""
+
+    def __init__(self, tables: list[np.ndarray], code: Code):
+        self.tables, self.code = tables, code
+
+    def score(self, data: np.ndarray, ends: np.ndarray, train: np.ndarray, wanted: np.ndarray, strength: np.ndarray) -> np.ndarray:
+        """log10 probability of each document's stream.
+
+        ``train``: whether a document's own counts are in the tables; ``wanted``, ``strength``: per byte the
+        byte that the expected word has there, and how sure that is (0: none)."""
+        n, begins = len(ends), np.concatenate([[0], ends[:-1]])
+        sizes, place = ends - begins, places(ends)
+        weights = np.full((n * GATES, INPUTS), WEIGHT, np.float32)
+        curvature = np.zeros(n * GATES)
+        miss, used = np.zeros(n * MAP_CELLS), np.zeros(n * MAP_CELLS)
+        total = np.zeros(n)
+        low = high = 0
+        found: list[np.ndarray] = []
+        read, block = 0, FIRST
+        while (live := np.flatnonzero(sizes > read)).size:
+            a, b = begins[live] + read, np.minimum(begins[live] + read + block, ends[live])
+            if not found or b[-1] > high:  # contexts of the whole group, or of the next part of one long document
+                low = max(0, int(a[0]) - 2 * REACH - 2) if n == 1 else 0
+                high = min(len(data), int(a[0]) + 2 * max(GROUP_BYTES, BLOCK)) if n == 1 else len(data)
+                found = contexts(data[low:high], place[low:high])
+            at = np.arange((b - a).sum()) + np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a)
+            step, depth, node, bit = self.code.bits(data[at])
+            own = np.repeat(live, b - a)[step]
+            at = at[step]
+            removed = np.where(train[own], (bit + 1) << 8, 0)
+            x = np.empty((len(step), INPUTS), np.float32)
+            for order in range(ORDERS):
+                x[:, order] = ODDS.ravel()[self.tables[order][cells(found[order][at - low], node, order)] + removed]
+            sure = strength[at]
+            agrees, says = self.code.expected(wanted[at], depth, node)
+            x[:, ORDERS] = np.where(agrees, (2 * says - 1) * sure, 0)
+            gate = (np.minimum(depth, 2) * 3 + (x[:, ORDERS - 1] != 0) + (x[:, ORDERS - 4] != 0)) * 2 + (x[:, ORDERS] != 0)
+            key = own * GATES + gate
+            z = np.clip(np.einsum("ij,ij->i", x, weights[key]), -LIMIT, LIMIT).astype(np.float64)
+            p = 1 / (1 + np.exp(-z))
+            cell = own * MAP_CELLS + ((z + LIMIT) * ((MAP_CELLS - 1) / (2 * LIMIT))).astype(np.int64)
+            refined = np.clip(p + miss[cell] / (used[cell] + MAP_PRIOR), LEAST_P, 1 - LEAST_P)
+            total += np.bincount(own, np.log10(np.where(bit == 1, refined, 1 - refined)), n)
+            error = bit - p
+            miss += np.bincount(cell, error, n * MAP_CELLS)
+            used += np.bincount(cell, minlength=n * MAP_CELLS)
+            curvature += np.bincount(key, p * (1 - p) * np.einsum("ij,ij->i", x, x), n * GATES)
+            for k in range(INPUTS):
+                weights[:, k] += np.bincount(key, error * x[:, k], n * GATES) / (DAMPING + CURVATURE * curvature)
+            read += block
+            block = min(BLOCK, max(FIRST, int(read * GROWTH)))
+        return total
+
+
+# ---- chunks and what they exchange --------------------------------------------------------------
+
+_DOC = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("train", "u1"), ("size", "<i8"), ("end", "<i8")])
+_CHUNKS = "chunk long, docs binary, body binary, bytes binary"
+_ENTRIES = "chunk long, part long, pairs boolean, keys binary, words binary, counts binary"
+_ANSWERS = "chunk long, part long, pairs boolean, types long, useful binary, counts binary, first binary, second binary"
+
+
+def _open(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
+
+
+def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    fields = [x.split() for x in ddl.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(fields)], names=[f for f, _ in fields])
 
 
 def trains(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 != 2
 
 
-def chunked(docs: DataFrame, ranges: int) -> DataFrame:
-    """Per chunk one row of token numbers (part null), and its distinct words with training counts per hash range."""
+def chunked(docs: DataFrame) -> DataFrame:
+    """Chunks of whole documents: their rows, streams and how often each byte occurs in training streams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze, number = zstandard.ZstdCompressor(3), TaskContext.get().partitionId() << 32
-        held: list[tuple] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
-        def made() -> Iterator[pa.RecordBatch]:
-            rows = np.array([x for part in held for x in part[0]], _DOC)
-            hashes = np.concatenate([p[1] for p in held])
-            train = np.repeat(rows["train"], rows["n"])
-            names, first, local = np.unique(hashes, return_index=True, return_inverse=True)
-            group = np.repeat(rows["group"], rows["n"]).astype(np.int64)
-            counts = np.bincount(local * GROUPS + group, train, len(names) * GROUPS).astype(np.uint32).reshape(-1, GROUPS)
-            part = (mix(names, 41) % np.uint64(ranges)).astype(np.int64)
-            by = np.argsort(part, kind="stable")
-            place = np.empty(len(names), np.int32)
-            place[by] = np.arange(len(names), dtype=np.int32)
-            body = b"".join(p[2] for p in held)
-            shift = np.cumsum([0] + [len(p[2]) for p in held])
-            start = np.concatenate([p[3] + s for p, s in zip(held, shift)])[first][by]
-            end = np.concatenate([p[4] + s for p, s in zip(held, shift)])[first][by]
-            cut = np.flatnonzero(np.diff(part[by], prepend=-1))
-            tokens = squeeze.compress(place[local].tobytes())
-            out = [(number, None, None, None, rows.tobytes(), tokens)]
-            for a, b in zip(cut, np.append(cut[1:], len(by))):
-                words = b" ".join([body[x:y] for x, y in zip(start[a:b].tolist(), end[a:b].tolist())])
-                out.append((number, int(part[by[a]]), squeeze.compress(words), squeeze.compress(counts[by[a:b]].tobytes()), None, None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _CHUNKS)], schema=_CHUNKS)
+        def made() -> pa.RecordBatch:
+            rows, data = np.concatenate([r for r, _ in held]), np.concatenate([s for _, s in held])
+            rows["end"] = np.cumsum(np.concatenate([np.diff(r["end"], prepend=0) for r, _ in held]))
+            learnt = data[np.repeat(rows["train"], np.diff(rows["end"], prepend=0)) > 0]
+            return _batch([(number, rows.tobytes(), squeeze.compress(data.tobytes()), np.bincount(learnt, minlength=256).astype("<i8").tobytes())], _CHUNKS)
 
         for batch in batches:
-            column = strings(batch, "text")
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            groups = batch.column(batch.schema.get_field_index("grp")).to_pylist()
-            for a, b, data, offsets in spans(column):
-                words = Words(data, offsets)
-                each = zip(ids[a:b], groups[a:b], words.counts().tolist(), np.diff(offsets).tolist())
-                docs_here = [(d or 0, d is not None, trains(d), d is not None and not trains(d), g, n, s) for d, g, n, s in each]
-                held.append((docs_here, words.hashes(lower=True), data.tobytes().translate(_LOWER), words.start, words.end))
-                size += len(data)
-                if size >= CHUNK_BYTES:
-                    yield from made()
+            for a, b, data, offsets in spans(strings(batch, "text")):
+                if held and size + len(data) > CHUNK_BYTES:
+                    yield made()
                     number, held, size = number + 1, [], 0
+                out, ends = streamed(Words(data, offsets))
+                rows = [(d or 0, d is not None, trains(d), s, e) for d, s, e in zip(ids[a:b], np.diff(offsets).tolist(), ends.tolist())]
+                held.append((np.array(rows, _DOC), out))
+                size += len(data)
         if held:
-            yield from made()
-
-    return stored(_grouped(docs).mapInArrow(run, _CHUNKS_DDL), "lm-chunks")
-
-
-def _grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and grp: the rank of ``lang`` among the commonest, all others in the last group."""
-    group = F.lit(GROUPS - 1)
-    if "lang" in docs.columns:
-        common = docs.filter("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(GROUPS - 1).collect()
-        for k, row in enumerate(common):
-            group = F.when(F.col("lang") == row["lang"], k).otherwise(group)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(group, F.lit(GROUPS - 1)).cast("int").alias("grp"))
-
-
-def _open(blob: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(blob)
-
+            yield made()
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return stored(slim.mapInArrow(run, _CHUNKS), "lm-chunks")
+
+
+class Tokens:
+    """A chunk's tokens, its distinct words and its distinct pairs (two words before, next word), by hash range."""
+
+    def __init__(self, docs: bytes, body: bytes, ranges: int):
+        self.rows = np.frombuffer(docs, _DOC)
+        self.data = np.frombuffer(_open(body), np.uint8)
+        ends = self.rows["end"].astype(np.int64)
+        found = Words(self.data, np.concatenate([[0], ends]))
+        counts = found.counts()
+        self.lengths = counts + 1
+        self.train = self.rows["train"].astype(bool)
+        words, number = found.distinct()
+        text = words.to_pylist()
+        hashes = np.fromiter(map(xxh3_64_intdigest, text), np.uint64, len(text))
+        # tokens of all documents, each with its end token
+        last = np.cumsum(self.lengths) - 1
+        inner = np.ones(int(self.lengths.sum()), bool)
+        inner[last] = False
+        self.token = np.full(len(inner), -1, np.int64)  # number among the distinct words; -1: end
+        self.token[inner] = number
+        self.at = np.empty(len(inner), np.int64)  # where the token's bytes begin
+        self.at[inner], self.at[last] = found.start, ends - 1
+        self.learns = np.repeat(self.train, self.lengths)
+        by_range = (mix(hashes, 41) % np.uint64(ranges)).astype(np.int64)
+        self.by_word = np.argsort(by_range, kind="stable")
+        self.word_part, self.text = by_range[self.by_word], text
+        self.trained = np.bincount(number, self.learns[inner], len(text)).astype("<u4")
+        # what the two words before are (1 and 2: nothing yet), and the pair with the next word
+        name = np.full(len(inner), np.uint64(3))
+        name[inner] = hashes[number]
+        place = np.arange(len(inner)) - np.repeat(last + 1 - self.lengths, self.lengths)
+        one, two = np.roll(name, 1), np.roll(name, 2)
+        one[place < 1], two[place < 2] = 1, 2
+        key = mix(mix(one, 51) * np.uint64(_BASE) + mix(two, 52), 53)
+        _, first, self.pair = np.unique(mix(key + mix(name, 54), 55), return_index=True, return_inverse=True)
+        key, follows = key[first], self.token[first]
+        part = (mix(key, 42) % np.uint64(ranges)).astype(np.int64)
+        by = np.lexsort((key, part))
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        self.pair = rank[self.pair]
+        self.key, self.follows, self.pair_part = key[by], follows[by], part[by]
+        self.pair_trained = np.bincount(self.pair, self.learns, len(by)).astype("<u4")
+
+    def spelled(self, numbers: np.ndarray) -> list[bytes]:
+        return [self.text[k] if k >= 0 else b"\n" for k in numbers.tolist()]
+
+    def slices(self) -> Iterator[tuple[bool, int, int, int]]:
+        """(pairs, range, first, end) over the ordered words, then pairs."""
+        for pairs, part in ((False, self.word_part), (True, self.pair_part)):
+            cut = np.flatnonzero(np.diff(part, prepend=-1))
+            for a, b in zip(cut.tolist(), np.append(cut[1:], len(part)).tolist()):
+                yield pairs, int(part[a]), a, b
+
+    def entries(self, chunk: int) -> Iterator[tuple]:
+        squeeze = zstandard.ZstdCompressor(1)
+        for pairs, part, a, b in self.slices():
+            numbers = self.follows[a:b] if pairs else self.by_word[a:b]
+            counts = self.pair_trained[a:b] if pairs else self.trained[numbers]
+            keys = squeeze.compress(self.key[a:b].astype("<u8").tobytes()) if pairs else None
+            yield chunk, part, pairs, keys, squeeze.compress(b" ".join(self.spelled(numbers))), squeeze.compress(counts.tobytes())
+
+
+def _answers(table: pa.Table) -> pa.Table:
+    """What a hash range knows of each chunk's words (training counts) and pairs (the two commonest next words).
+
+    Sums are over all chunks; a key that could help none of the chunk's occurrences gets no answer. One of
+    the rows tells how many words training documents have (``types``)."""
+    trim(1)
+    pairs = table.column("pairs")[0].as_py()
+    texts = [_open(x).split(b" ") for x in table.column("words").to_pylist()]
+    counts = [np.frombuffer(_open(x), "<u4").astype(np.int64) for x in table.column("counts").to_pylist()]
+    encoded = pa.array([w for t in texts for w in t], pa.binary()).dictionary_encode()
+    word, count, squeeze = encoded.indices.to_numpy(), np.concatenate(counts), zstandard.ZstdCompressor(1)
+    edges = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    names, out = [table.column("chunk").to_pylist(), table.column("part").to_pylist()], []
+    if not pairs:
+        total = np.bincount(word, count, len(encoded.dictionary)).astype("<i8")
+        for chunk, part, a, b in zip(*names, edges, edges[1:]):
+            out.append((chunk, part, False, 0 if out else int((total > 0).sum()), None, squeeze.compress(total[word[a:b]].tobytes()), None, None))
+        return pa.Table.from_batches([_batch(out, _ANSWERS)])
+    key = np.concatenate([np.frombuffer(_open(x), "<u8") for x in table.column("keys").to_pylist()])
+    spelling = encoded.dictionary.to_pylist()
+    rank = np.empty(len(spelling), np.int64)
+    rank[sorted(range(len(spelling)), key=spelling.__getitem__)] = np.arange(len(spelling))  # ties go to the least word
+    by = np.lexsort((rank[word], key))
+    new = np.ones(len(by), bool)
+    new[1:] = (key[by][1:] != key[by][:-1]) | (word[by][1:] != word[by][:-1])
+    first = np.flatnonzero(new)
+    sums, keys, words = np.add.reduceat(count[by], first), key[by][first], word[by][first]
+    best = np.lexsort((rank[words], -sums, keys))
+    sums, words, keys = sums[best], words[best], keys[best]
+    head = np.flatnonzero(np.diff(keys, prepend=keys[0] ^ np.uint64(1)) != 0)
+    size = np.diff(np.append(head, len(keys)))
+    totals, second = np.add.reduceat(sums, head), np.minimum(head + 1, len(keys) - 1)
+    n1, n2, w1, w2 = sums[head], np.where(size > 1, sums[second], 0), words[head], words[second]
+    for chunk, part, a, b in zip(*names, edges, edges[1:]):
+        mine, at = np.unique(key[a:b], return_index=True)
+        place = np.searchsorted(keys[head], mine)
+        unlearnt = np.logical_or.reduceat(count[a:b] == 0, at)
+        useful = np.flatnonzero((totals[place] > 1) | (unlearnt & (totals[place] > 0)))
+        p = place[useful]
+        both = np.stack([n1[p], n2[p]], 1).astype("<i8")
+        spelled = [squeeze.compress(b" ".join([spelling[k] for k in w[p].tolist()])) for w in (w1, w2)]
+        out.append((chunk, part, True, 0, squeeze.compress(useful.astype("<u4").tobytes()), squeeze.compress(both.tobytes()), *spelled))
+    return pa.Table.from_batches([_batch(out, _ANSWERS)])
+
+
+def known(tokens: Tokens, answers: list[dict], ends: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per token its training count; per byte of the streams the byte that the expected word has there, and how sure."""
+    found = {(r["pairs"], r["part"]): r for r in answers}
+    counts = np.zeros(len(tokens.text) + 1, np.int64)
+    counts[-1] = ends
+    keys, words, sure = [], [], []
+    for pairs, part, a, b in tokens.slices():
+        row = found[pairs, part]
+        if not pairs:
+            counts[tokens.by_word[a:b]] = np.frombuffer(_open(row["counts"]), "<i8")
+            continue
+        useful = np.frombuffer(_open(row["useful"]), "<u4")
+        if len(useful):
+            keys.append(np.unique(tokens.key[a:b])[useful])
+            sure.append(np.frombuffer(_open(row["counts"]), "<i8").reshape(-1, 2))
+            words += zip(_open(row["first"]).split(b" "), _open(row["second"]).split(b" "))
+    wanted, strength = np.zeros(len(tokens.data), np.uint8), np.zeros(len(tokens.data), np.float32)
+    if keys:
+        every, sure = np.concatenate(keys), np.concatenate(sure)
+        by = np.argsort(every)
+        number = {w: k for k, w in enumerate(tokens.text)} | {b"\n": -1}
+        leads, seconds = (np.fromiter((number.get(w[k], -2) for w in words), np.int64, len(words)) for k in range(2))
+        earlier = np.fromiter((y < x for x, y in words), bool, len(words))
+        key = tokens.key[tokens.pair]
+        at = by[np.minimum(np.searchsorted(every, key, sorter=by), len(by) - 1)]
+        asks = np.flatnonzero(every[at] == key)
+        at = at[asks]
+        # the token itself is taken out of the counts; after a tie the least word goes first
+        same = (leads[at] == tokens.token[asks]) & tokens.learns[asks]
+        n1, n2 = sure[at, 0] - same, sure[at, 1] - ((seconds[at] == tokens.token[asks]) & tokens.learns[asks] & (sure[at, 1] > 0))
+        swap = (n2 > n1) | ((n2 == n1) & earlier[at])
+        n = np.where(swap, n2, n1)
+        live = np.flatnonzero(n > 0)
+        _lay(tokens, asks[live], [w for both in words for w in both], 2 * at[live] + swap[live], n[live], wanted, strength)
+    return counts[tokens.token], wanted, strength
+
+
+def _lay(tokens: Tokens, rows: np.ndarray, words: list[bytes], which: np.ndarray, n: np.ndarray, wanted: np.ndarray, strength: np.ndarray) -> None:
+    """Write expected words over the streams, up to the first byte after one that differs."""
+    if not len(rows):
+        return
+    marked = [w if w == b"\n" else w + b" " for w in words]
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    begin, size = (np.cumsum(sizes) - sizes)[which], sizes[which]
+    flat = np.frombuffer(b"".join(marked), np.uint8)
+    following = np.append(tokens.at[1:], len(tokens.data))[rows] - tokens.at[rows]  # bytes of the token itself
+    use = np.minimum(size, following)
+    first = np.cumsum(use) - use
+    inside = np.arange(use.sum()) - np.repeat(first, use)
+    source, target = inside + np.repeat(begin, use), inside + np.repeat(tokens.at[rows], use)
+    differs = np.cumsum(flat[source] != tokens.data[target])
+    before = np.concatenate([[0], differs[:-1]])
+    agrees = before == np.repeat(before[first], use)
+    wanted[target[agrees]] = flat[source[agrees]]
+    strength[target[agrees]] = np.repeat(1.5 * np.log1p(n), use)[agrees]
+
+
+# ---- the operator -------------------------------------------------------------------------------
+
+
+def short_contexts(chunks: DataFrame, code: Code) -> list[np.ndarray]:
+    """The states of all cells, summed by slices over all training documents; of a fixed size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter()
+        for batch in batches:
+            for docs, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows, data = np.frombuffer(docs, _DOC), np.frombuffer(_open(body), np.uint8)
+                sizes = np.diff(rows["end"], prepend=0)
+                learnt = data[np.repeat(rows["train"], sizes) > 0]
+                ends = np.cumsum(sizes[rows["train"] > 0])
+                for a, b in groups(ends):
+                    begin = int(ends[a - 1]) if a else 0
+                    counter.add(learnt[begin : ends[b - 1]], ends[a:b] - begin, code)
+        for row in counter.rows():
+            yield _batch([row], "slice long, used binary, counts binary")
+        del counter
+        trim(1)
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * SLICE, np.int64)
+        for batch in batches:
+            for used, counts in zip(batch.column("used").to_pylist(), batch.column("counts").to_pylist()):
+                total[np.frombuffer(_open(used), "<u4")] += np.frombuffer(_open(counts), "<u4")
+        states = zstandard.ZstdCompressor(3).compress(state(total[0::2], total[1::2]).tobytes())
+        yield _batch([(key[0].as_py(), states)], "slice long, states binary")
 
-def _range_words(table: pa.Table) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
-    """Distinct words of a hash range, their training counts per group, and of each chunk's slice the words' numbers."""
-    slices = [_open(w).split(b" ") for w in table.column("words").to_pylist()]
-    counts = [np.frombuffer(_open(c), np.uint32).reshape(-1, GROUPS) for c in table.column("counts").to_pylist()]
-    number: dict[bytes, int] = {}
-    places = [np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words)) for words in slices]
-    place, count = np.concatenate(places), np.concatenate(counts)
-    total = np.stack([np.bincount(place, count[:, g], len(number)) for g in range(GROUPS)], 1).astype(np.int64)
-    return list(number), total, places
-
-
-_FIGURES = ["v", "once", *(f"n{g}" for g in range(GROUPS))]
-
-
-def _count_range(table: pa.Table) -> pa.Table:
-    """Corpus figures of a range, and its counts of bits as one compressed table per predictor."""
-    words, grouped, _ = _range_words(table)
-    counts = grouped.sum(1)
-    tables = count_bits([w for w, c in zip(words, counts.tolist()) if c])
-    starts = np.concatenate([[0], np.cumsum(SLOTS)])
-    squeeze = zstandard.ZstdCompressor(1)
-    blobs = [squeeze.compress(tables[:, a:b].tobytes()) for a, b in zip(starts, starts[1:])]
-    figures = [int((counts > 0).sum()), int((counts == 1).sum()), *grouped.sum(0).tolist()]
-    return pa.table({"order": pa.array(range(ORDERS), pa.int32()), "bits": pa.array(blobs, pa.binary()), **{k: pa.array([v] + [0] * (ORDERS - 1), pa.int64()) for k, v in zip(_FIGURES, figures)}})
-
-
-def _add_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the tables a task has seen, one row per predictor."""
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for order, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            table = np.frombuffer(_open(blob), np.uint32)
-            held[order] = table.astype(np.uint64) if order not in held else held[order] + table
-    squeeze = zstandard.ZstdCompressor(1)
-    rows = [(k, squeeze.compress(np.minimum(v, 0xFFFFFFFF).astype(np.uint32).tobytes())) for k, v in held.items()]
-    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], names=["order", "bits"])
-
-
-def add_up(counted: DataFrame) -> np.ndarray:
-    """The predictors' tables, of a fixed size: summed in a tree of tasks, then read by the driver."""
-    tables, n = counted.select("order", "bits"), width(counted.sparkSession)
-    while n > ORDERS:
-        n = max(ORDERS, n // 8)
-        tables = tables.repartition(n).mapInArrow(_add_tables, "order int, bits binary")
-    out = np.zeros((2, sum(SLOTS)), np.uint32)
-    starts = np.concatenate([[0], np.cumsum(SLOTS)])
-    for row in tables.toLocalIterator():  # at most ORDERS rows from each of the last, few tasks
-        a, b = starts[row["order"]], starts[row["order"] + 1]
-        out[:, a:b] += np.frombuffer(_open(bytes(row["bits"])), np.uint32).reshape(2, -1)
-    return out
+    partial = chunks.select("docs", "body").mapInArrow(count, "slice long, used binary, counts binary")
+    summed = partial.groupBy("slice").applyInArrow(add, "slice long, states binary")
+    tables = [np.zeros(size, np.uint8) for size in SIZES]
+    for row in summed.toLocalIterator():  # one row a slice: at most sum(SIZES) bytes
+        order, k = row["slice"] >> 16, (row["slice"] & 0xFFFF) * SLICE
+        part = np.frombuffer(_open(bytes(row["states"])), np.uint8)
+        tables[order][k : k + SLICE] = part[: len(tables[order]) - k]
+    return tables
 
 
 def document_scores(docs: DataFrame) -> DataFrame:
@@ -327,68 +559,54 @@ def document_scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     ranges = 2 * width(spark)
-    chunks = chunked(docs, ranges)
-    entries = chunks.filter("part is not null").select("part", "chunk", "words", "counts")
-    counted = stored(entries.groupBy("part").applyInArrow(_count_range, "order int, bits binary, " + ", ".join(f"{x} long" for x in _FIGURES)), "lm-counts")
-    figures = [x or 0 for x in counted.agg(*[F.sum(x) for x in _FIGURES]).first()]
-    per_group = np.array(figures[2:], np.float64)
-
-    def training_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(int(np.frombuffer(x, _DOC)["train"].sum()) for batch in batches for x in batch.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
-
-    ends = chunks.filter("part is null").select("docs").mapInArrow(training_docs, "n long").agg(F.sum("n")).first()[0] or 0
-    total, distinct = sum(figures[2:]) + ends, figures[0] + (ends > 0)
-    tables = spark.sparkContext.broadcast(add_up(counted))  # sum(SLOTS) counts twice
-
-    def learn(table: pa.Table) -> pa.Table:
-        words, counts, _ = _range_words(table)
-        mixer = Mixer(tables.value)
-        bits = mixer.learn([w for w, c in zip(words, counts.any(1).tolist()) if c])
-        return pa.table({"bits": pa.array([bits], pa.int64()), "model": pa.array([mixer.dumps()], pa.binary())})
-
-    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, held = 0, 0.0
+    chunks = chunked(docs)
+
+    def byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, np.int64)
         for batch in batches:
-            for n, model in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                bits, held = bits + n, held + n * np.frombuffer(model, np.float64)
-        if bits:
-            yield pa.RecordBatch.from_arrays([pa.array([bits], pa.int64()), pa.array([(held / bits).tobytes()], pa.binary())], names=["bits", "model"])
-
-    learnt = entries.groupBy("part").applyInArrow(learn, "bits long, model binary").filter("bits > 0")
-    found = learnt.mapInArrow(average, "bits long, model binary").repartition(1).mapInArrow(average, "bits long, model binary").first()  # one model a task
-    model = bytes(found["model"]) if found else None
-    once = max(figures[1], 1) / max(total, 1)
-
-    def score_range(table: pa.Table) -> pa.Table:
-        words, counts, places = _range_words(table)
-        spelling = Mixer.loads(tables.value, model).spelling(words)
-        squeeze = zstandard.ZstdCompressor(1)
-        rows = [(squeeze.compress(counts[p].astype("<u4").tobytes()), squeeze.compress(spelling[p].astype("<f4").tobytes())) for p in places]
-        return pa.table([table.column("part"), table.column("chunk"), pa.array([a for a, _ in rows], pa.binary()), pa.array([b for _, b in rows], pa.binary())], names=["part", "chunk", "c", "p"])
+            for blob in batch.column(0).to_pylist():
+                total += np.frombuffer(blob, "<i8")
+        yield _batch(list(enumerate(total.tolist())), "byte long, n long")
+
+    held = {r["byte"]: r["n"] for r in chunks.select("bytes").mapInArrow(byte_counts, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()}
+    found = np.array([held.get(k, 0) for k in range(256)])
+    code, ends = Code(found), int(found[END])
+    total = int(found[BLANK]) + ends  # every word is closed by a blank, every document by its end mark
+    tables = spark.sparkContext.broadcast((short_contexts(chunks, code), code))
 
-    known = entries.groupBy("part").applyInArrow(score_range, "part long, chunk long, c binary, p binary")
-    per_chunk = known.groupBy("chunk").agg(F.collect_list(F.struct("part", "c", "p")).alias("known"))  # an entry per word of the chunk
-    joined = chunks.filter("part is null").select("chunk", "docs", "tokens").join(per_chunk, "chunk", "left")
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, docs_, body in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                trim(4)
+                rows = list(Tokens(docs_, body, ranges).entries(chunk))
+                for k in range(0, len(rows), 16):
+                    yield _batch(rows[k : k + 16], _ENTRIES)
+
+    asked = chunks.select("chunk", "docs", "body").mapInArrow(entries, _ENTRIES)
+    answers = stored(asked.groupBy("pairs", "part").applyInArrow(_answers, _ANSWERS), "lm-answers")
+    distinct = (answers.agg(F.sum("types")).first()[0] or 0) + (ends > 0)
+    per_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("pairs", "part", "useful", "counts", "first", "second")).alias("known"))  # of one chunk's words
+    joined = chunks.select("chunk", "docs", "body").join(per_chunk, "chunk", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        end_spelling = float(Mixer.loads(tables.value, model).spelling([b""])[0])
+        mixer = Mixer(*tables.value)
         for batch in batches:
             for row in batch.to_pylist():
-                rows = np.frombuffer(row["docs"], _DOC)
-                tokens = np.frombuffer(_open(row["tokens"]), np.int32)
-                parts = sorted(row["known"] or [], key=lambda r: r["part"])
-                c = np.concatenate([np.frombuffer(_open(r["c"]), "<u4").reshape(-1, GROUPS) for r in parts] or [np.empty((0, GROUPS), np.uint32)])
-                p = np.concatenate([np.frombuffer(_open(r["p"]), "<f4") for r in parts] or [np.empty(0, np.float32)])
-                share = group_shares(c, tokens, rows["n"], per_group)
-                at, lengths = np.cumsum(rows["n"]), rows["n"] + 1  # the end token after each document's words
-                counts = np.insert(c.sum(1, dtype=np.int64)[tokens], at, ends)
-                spelling = np.insert(p[tokens].astype(np.float64), at, end_spelling)
-                share = np.insert(share * (1 - ends / max(total, 1)), at, ends / max(total, 1))
-                base, score, n_known = totals(counts, share, spelling, lengths, total, distinct, once)
-                held = pa.array(rows["held"].astype(bool), mask=rows["known"] == 0)
+                trim(4)
+                tokens = Tokens(row["docs"], row["body"], ranges)
+                counts, wanted, strength = known(tokens, row["known"] or [], ends)
+                rows, stops = tokens.rows, tokens.rows["end"].astype(np.int64)
+                score = np.empty(len(rows))
+                for a, b in groups(stops):
+                    begin = int(stops[a - 1]) if a else 0
+                    part = slice(begin, int(stops[b - 1]))
+                    score[a:b] = mixer.score(tokens.data[part], stops[a:b] - begin, tokens.train[a:b], wanted[part], strength[part])
+                firsts = np.cumsum(tokens.lengths) - tokens.lengths
+                base = np.add.reduceat(np.log10((counts + 1) / (total + distinct + 1)), firsts)
+                n_known = np.add.reduceat((counts > 0).astype(np.int64), firsts)
+                unknown = rows["known"] == 0
                 bits = -score / np.log10(2) / np.maximum(1, rows["size"])
-                columns = [pa.array(rows["doc_id"], mask=rows["known"] == 0), held, pa.array(lengths), pa.array(n_known), pa.array(np.full(len(rows), total)), pa.array(base), pa.array(score), pa.array(bits, mask=rows["size"] == 0)]
+                columns = [pa.array(rows["doc_id"], mask=unknown), pa.array(~tokens.train, mask=unknown), pa.array(tokens.lengths), pa.array(n_known), pa.array(np.full(len(rows), total)), pa.array(base), pa.array(score), pa.array(bits, mask=rows["size"] == 0)]
                 yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
     return joined.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
@@ -397,43 +615,5 @@ def document_scores(docs: DataFrame) -> DataFrame:
 _NAMES = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
 
 
-def group_shares(c: np.ndarray, tokens: np.ndarray, n: np.ndarray, per_group: np.ndarray) -> np.ndarray:
-    """Per token its share of the training words: the groups' shares, gated by the document's tokens before it."""
-    total = per_group.sum()
-    if not len(tokens) or not total:
-        return np.zeros(len(tokens))
-    live = np.flatnonzero(per_group)
-    every = c[:, live].astype(np.float64)
-    shares = ((1 - COMMON) * every / per_group[live] + COMMON * (every.sum(1) / total)[:, None]).astype(np.float32)
-    logs = np.log(np.where(shares > 0, shares, 1))
-    begins = np.cumsum(n) - n
-    out = np.empty(len(tokens))
-    prior = np.log(per_group[live] / total)
-    for a, m in zip(begins.tolist(), n.tolist()):
-        mine = tokens[a : a + m]
-        gate = np.empty((m, len(live)))
-        gate[:1] = 0
-        np.cumsum(logs[mine[:-1]], axis=0, out=gate[1:])
-        gate += prior
-        gate -= gate.max(1, keepdims=True)
-        np.exp(gate, out=gate)
-        out[a : a + m] = (gate * shares[mine]).sum(1) / gate.sum(1)
-    return out
-
-
-def totals(counts: np.ndarray, share: np.ndarray, spelling: np.ndarray, lengths: np.ndarray, total: int, distinct: int, once: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per document: base score, score, known tokens. The gate before a token knows only tokens before it."""
-    begins = np.cumsum(lengths) - lengths
-    unseen = (counts == 0).astype(float)
-    before = np.cumsum(unseen) - unseen
-    place = np.arange(len(counts)) - np.repeat(begins, lengths)
-    before -= np.repeat(before[begins], lengths)
-    gate = (before + GATE_WEIGHT * once) / (place + GATE_WEIGHT)
-    score = np.log10(np.maximum((1 - gate) * share + gate * 10.0**spelling, 1e-300))
-    base = np.log10((counts + 1) / (total + distinct + 1))
-    add = lambda x: np.add.reduceat(x, begins)
-    return add(base), add(score), add(1 - unseen).astype(np.int64)
-
-
 def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_scores(read_table(spark, sf_dir, "documents"))

@@ -5,7 +5,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from duelspark.llm import lm_mix, quality
 
@@ -46,8 +45,7 @@ def test_ftrl_is_sparse_and_learns():
 
 def test_lm_base_score_and_counts(spark):
     data = documents(150) + AWKWARD
-    docs = frame(spark, data).withColumn("lang", F.when(F.col("doc_id") > 999, F.when(F.col("doc_id") % 3 == 1, "a").otherwise("b")))
-    got = lm_mix.document_scores(docs).collect()
+    got = lm_mix.document_scores(frame(spark, data)).collect()
     train = [d is not None and zlib.crc32(str(d).encode()) % 7 != 2 for d, _ in data]
     tokens = [words((t or "").translate(LOWER)) + [None] for _, t in data]
     c = Counter(x for t, ok in zip(tokens, train) if ok for x in t)
@@ -65,15 +63,133 @@ def test_lm_without_training_documents(spark):
     assert lm_mix.document_scores(frame(spark, [(1, "a")]).limit(0)).count() == 0
 
 
-def test_spelling_is_a_distribution():
-    """Over all continuations of one byte at a time, probabilities sum to one."""
-    mixer = lm_mix.Mixer(lm_mix.count_bits([b"the", b"then", b"there", b"and"]))
-    mixer.learn([b"the", b"then", b"there", b"and"] * 50)
-    flat = np.arange(256, dtype=np.uint8)
-    total = np.ones(256)
-    ctx = [np.zeros(256, np.uint64) for _ in lm_mix.LENGTHS]
-    for b, node, bit in lm_mix.bits_of(flat):
-        p = mixer.predict(*mixer.inputs(ctx, b, node, None))[0]
-        total *= np.where(bit == 1, p, 1 - p)
-    assert total.sum() == pytest.approx(1)
-    assert mixer.spelling([b"the"])[0] > mixer.spelling([b"xqz"])[0]
+def plain_scores(data):
+    """Scores by plain loops: one bit at a time, dictionaries for counts, Python floats for weights."""
+    tokens = [[w.encode() for w in words((t or "").translate(LOWER))] for _, t in data]
+    streams = [b"".join(w + b" " for w in t) + b"\n" for t in tokens]
+    train = [lm_mix.trains(d) for d, _ in data]
+    code = lm_mix.Code(np.bincount(np.frombuffer(b"".join(s for s, ok in zip(streams, train) if ok), np.uint8), minlength=256))
+    path = lambda byte: [divmod(int(x), 2) for x in code.steps[code.at[byte] : code.at[byte] + code.length[byte]]]
+    slots = [[c.tolist() for c in lm_mix.contexts(np.frombuffer(s, np.uint8), np.arange(len(s)))] for s in streams]
+    cell = lambda k, i, order, node: (order, (slots[k][order][i] + int(lm_mix._NODE[node])) % lm_mix.SIZES[order])
+    zeros_ones, follow = {}, {}
+    for k, s in enumerate(streams):
+        if train[k]:
+            for i, byte in enumerate(s):
+                for node, bit in path(byte):
+                    for order in range(lm_mix.ORDERS):
+                        zeros_ones.setdefault(cell(k, i, order, node), [0, 0])[bit] += 1
+            before = [None, None, *tokens[k], b"\n"]
+            for x, y, z in zip(before, before[1:], before[2:]):
+                follow.setdefault((x, y), Counter())[z] += 1
+    odds = lambda n0, n1: math.log((n1 + lm_mix.PRIOR) / (n0 + lm_mix.PRIOR))
+    step = 2 * lm_mix.LIMIT / (255 - lm_mix._SMALL)
+
+    def value(key, bit, own):
+        n0, n1 = zeros_ones.get(key, [0, 0])
+        if n0 + n1 > lm_mix.EXACT:
+            return round((odds(n0, n1) + lm_mix.LIMIT) / step) * step - lm_mix.LIMIT
+        return odds(n0 - (own and bit == 0), n1 - (own and bit == 1))
+
+    out = []
+    for k, s in enumerate(streams):
+        wanted, sure, at = {}, {}, 0
+        before = [None, None, *tokens[k], b"\n"]
+        for x, y, z in zip(before, before[1:], before[2:]):
+            seen = Counter(follow.get((x, y), Counter()))
+            if train[k]:
+                seen[z] -= 1
+            real = z if z == b"\n" else z + b" "
+            if seen and max(seen.values()) > 0:
+                n, best = min((-n, w) for w, n in seen.items())
+                best = best if best == b"\n" else best + b" "
+                for j in range(min(len(best), len(real))):
+                    if best[:j] == real[:j]:
+                        wanted[at + j], sure[at + j] = best[j], 1.5 * math.log1p(-n)
+            at += len(real)
+        weights, curve, miss, used = {}, Counter(), Counter(), Counter()
+        total, read, block = 0.0, 0, lm_mix.FIRST
+        while read < len(s):
+            news, bends = {}, Counter()
+            missed, uses = Counter(), Counter()
+            for i in range(read, min(len(s), read + block)):
+                for depth, (node, bit) in enumerate(path(s[i])):
+                    x = [value(cell(k, i, order, node), bit, train[k]) for order in range(lm_mix.ORDERS)]
+                    way = path(wanted[i]) if i in wanted else []
+                    x.append((2 * way[depth][1] - 1) * sure[i] if depth < len(way) and way[depth][0] == node else 0.0)
+                    gate = (min(depth, 2), (x[lm_mix.ORDERS - 1] != 0) + (x[lm_mix.ORDERS - 4] != 0), x[-1] != 0)
+                    w = weights.setdefault(gate, [lm_mix.WEIGHT] * len(x))
+                    z = max(-lm_mix.LIMIT, min(lm_mix.LIMIT, sum(a * b for a, b in zip(x, w))))
+                    p = 1 / (1 + math.exp(-z))
+                    place = int((z + lm_mix.LIMIT) * ((lm_mix.MAP_CELLS - 1) / (2 * lm_mix.LIMIT)))
+                    q = max(lm_mix.LEAST_P, min(1 - lm_mix.LEAST_P, p + miss[place] / (used[place] + lm_mix.MAP_PRIOR)))
+                    total += math.log10(q if bit else 1 - q)
+                    missed[place] += bit - p
+                    uses[place] += 1
+                    bends[gate] += p * (1 - p) * sum(a * a for a in x)
+                    news.setdefault(gate, []).append([(bit - p) * a for a in x])
+            miss.update(missed)
+            used.update(uses)
+            curve.update(bends)
+            for gate, rows in news.items():
+                weights[gate] = [w + sum(g) / (lm_mix.DAMPING + lm_mix.CURVATURE * curve[gate]) for w, g in zip(weights[gate], zip(*rows))]
+            read += block
+            block = min(lm_mix.BLOCK, max(lm_mix.FIRST, int(read * lm_mix.GROWTH)))
+        out.append(total)
+    return out
+
+
+def test_lm_score_equals_a_plain_loop_over_bits(spark):
+    rng = random.Random(12)
+    data = [(d, t[: rng.randrange(20, 260)]) for d, t in documents(40)] + [(7, None), (8, "é ü ß same same"), (None, "the river was calm and clear"), (9, "x" * 150 + " the river " + "y" * 90 + " was")]
+    data += [(500 + k, "One passage that several documents hold, word for word, to the end") for k in range(4)]
+    want = {d: (s, t) for (d, t), s in zip(data, plain_scores(data))}
+    got = lm_mix.document_scores(frame(spark, data, 5)).collect()
+    assert len(got) == len(data)
+    for r in got:
+        score, text = want[r["doc_id"]]
+        assert r["score"] == pytest.approx(score, rel=1e-4), r["doc_id"]
+        size = len((text or "").encode())
+        assert r["bits_per_byte"] == (pytest.approx(-score / math.log10(2) / size, rel=1e-4) if size else None)
+
+
+def test_lm_scores_do_not_depend_on_partitions_or_pieces(spark, monkeypatch):
+    data = documents(60) + [(5, "long " * 3000 + "z" * 4000 + " end"), (6, None)]
+    once = {r["doc_id"]: r["score"] for r in lm_mix.document_scores(frame(spark, data, 1)).collect()}
+    monkeypatch.setattr(lm_mix, "CHUNK_BYTES", 2000)
+    again = {r["doc_id"]: r["score"] for r in lm_mix.document_scores(frame(spark, data, 7)).collect()}
+    assert again == pytest.approx(once, rel=1e-6)
+    text = np.frombuffer(("ab " * 50 + "q" * 200 + " c d " * 40).encode(), np.uint8)
+    whole = lm_mix.contexts(text, np.arange(len(text)))
+    monkeypatch.setattr(lm_mix, "GROUP_BYTES", 100)
+    pieces = [c for _, c in lm_mix.windowed(text, np.array([len(text)]))]
+    assert all((np.concatenate([p[k] for p in pieces]) == whole[k]).all() for k in range(lm_mix.ORDERS))
+    mixer = lm_mix.Mixer([np.full(size, lm_mix.state(np.zeros(1), np.zeros(1))[0]) for size in lm_mix.SIZES], lm_mix.Code(np.ones(256)))
+    rest = [np.array([False]), np.zeros(len(text), np.uint8), np.zeros(len(text), np.float32)]
+    assert np.isfinite(mixer.score(text, np.array([len(text)]), *rest)).all()
+
+
+def test_lm_document_seen_elsewhere_costs_less(spark):
+    rng = random.Random(2)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(80))
+    data = [(k, text()) for k in range(80)]
+    twice = [k for k in range(80) if lm_mix.trains(k)][:5]
+    data += [(100 + k, data[k][1]) for k in twice]
+    bits = {r["doc_id"]: r["bits_per_byte"] for r in lm_mix.document_scores(frame(spark, data)).collect()}
+    assert max(bits[100 + k] for k in twice) < min(bits[k] for k in range(80) if k not in twice)
+
+
+def test_lm_code_is_complete():
+    """The bits of all bytes form a full binary tree, so the probabilities of a next byte sum to one."""
+    code = lm_mix.Code(np.array([k * k % 97 for k in range(256)]))
+    assert sum(2.0 ** -int(n) for n in code.length) == 1
+    place, depth, node, bit = code.bits(np.arange(256, dtype=np.uint8))
+    assert len({(n, b) for n, b in zip(node.tolist(), bit.tolist())}) == 510 and (depth[np.diff(place, prepend=-1) > 0] == 0).all()
+
+
+def test_lm_states_keep_small_counts():
+    for n0 in range(lm_mix.EXACT + 1):
+        for n1 in range(lm_mix.EXACT + 1 - n0):
+            s = lm_mix.state(np.array([n0]), np.array([n1]))[0]
+            for row, (a, b) in enumerate(((n0, n1), (max(0, n0 - 1), n1), (n0, max(0, n1 - 1)))):
+                assert lm_mix.ODDS[row, s] == pytest.approx(math.log((b + 0.4) / (a + 0.4)), rel=1e-6)
