@@ -3,7 +3,7 @@
 A document is the stream of its lower-cased words, each closed by a blank, and one end mark. A byte's bits
 are its path in a Huffman code of the training bytes. Bit predictors, all across word ends:
 
-* hashed contexts: the last 1, 2, 3, 4 and 6 bytes; the word so far; it with the last two bytes of the word
+* hashed contexts: the last 2, 4 and 6 bytes; the word so far; it with the last two bytes of the word
   before; it with the whole word before. A cell keeps how often 0 and 1 followed in all training documents.
   These short contexts live in tables of a fixed size (``SIZES``), which is what is broadcast.
 * the word that most often followed the same two words in training documents, as long as what has been read
@@ -11,8 +11,8 @@ are its path in a Huffman code of the training bytes. Bit predictors, all across
   the corpus; so do the word counts of the base score.
 
 In a training document each bit, and each following word, is taken out of its own counts. The predictors' log
-odds are mixed by weights that are gated by the bit's place, by how many long contexts were seen and by the
-expected word; an adaptive probability map refines the mix. Both start from fixed values in each document and
+odds are mixed by weights that are gated by the bit's place in its byte; an adaptive probability map refines
+the mix. Both start from fixed values in each document and
 learn online, block after block of the document (``FIRST`` bytes, then growing with what has been read), from
 the bits just scored. So a score doesn't depend on chunks, partitions or other documents' order. The sum over
 all bits is the score, and ``bits_per_byte`` is that over the bytes of the text.
@@ -44,9 +44,9 @@ from .common import LOWER, Words, mix, powers, prepare, read_table, spans, store
 
 #: Bytes of text in a chunk, and of stream in a group of documents in lockstep (a longer document is one by itself).
 CHUNK_BYTES, GROUP_BYTES = 3 << 20, 1 << 18
-#: Bytes of context of the first predictors, and the cells of all eight.
-LENGTHS = (1, 2, 3, 4, 6)
-SIZES = (1 << 16, 1 << 20, 1 << 22, 1 << 22, 1 << 22, 1 << 22, 1 << 22, 1 << 22)
+#: Bytes of context of the first predictors, and the cells of all six.
+LENGTHS = (2, 4, 6)
+SIZES = (1 << 20, *(1 << 22,) * 5)
 ORDERS = len(SIZES)
 INPUTS = ORDERS + 1  # and the expected word
 #: Cells whose partial counts travel together.
@@ -58,13 +58,15 @@ PRIOR = 0.4
 #: Learning: first block and growth in bytes, weight at the start, damping of a step, share of the curvature.
 FIRST, GROWTH, BLOCK = 24, 0.15, 1 << 16
 WEIGHT, DAMPING, CURVATURE = 0.2, 45.0, 0.2
-GATES = 3 * 3 * 2
+#: Weight sets: for a byte's first bit, its second one, and the others.
+GATES = 3
 LIMIT, MAP_CELLS, MAP_PRIOR = 11.0, 64, 30.0
 LEAST_P = 1e-5
 #: Counts that a cell's state keeps exactly, and the states of the log odds beyond.
 EXACT = 13
 
-_NODE = mix(np.arange(256, dtype=np.uint64), 5).astype(np.uint32)
+#: Where a context keeps an inner node of the code: side by side, those near the root first.
+_NODE = (255 - np.arange(256)).astype(np.uint32)
 _BASE = 0x5851F42D4C957F2D
 
 
@@ -102,6 +104,18 @@ class Code:
         step = self.steps[self.at[data][place] + depth]
         return place, depth, step >> 1, step & 1
 
+    def classes(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """The same in GATES parts: the bytes' first bits, their second ones, and all others."""
+        n, at = self.length[data], self.at[data]
+        for low, high in ((0, 1), (1, 2), (2, 256)):
+            size = np.clip(n - low, 0, high - low)
+            row = np.repeat(np.arange(len(data)), size)
+            if not len(row):
+                continue
+            depth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + low
+            step = self.steps[at[row] + depth]
+            yield row, depth, step >> 1, step & 1
+
     def expected(self, wanted: np.ndarray, depth: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Whether the wanted byte's path goes through this node at this depth, and its bit there."""
         inside = np.minimum(depth, self.length[wanted] - 1)
@@ -181,6 +195,7 @@ def _states() -> tuple[np.ndarray, np.ndarray]:
 
 
 _NUMBER, ODDS = _states()
+_ODDS_FLAT = ODDS.ravel()
 #: States that stand for exact counts.
 _SMALL = (EXACT + 1) * (EXACT + 2) // 2
 
@@ -229,13 +244,16 @@ class Counter:
                 np.add.at(self.tables[order], cells(context[place], node, order) * np.uint32(2) + bit, np.uint32(1))
 
     def rows(self) -> Iterator[tuple[int, bytes, bytes]]:
-        """(slice, places, counts) of the cells in use."""
-        squeeze = zstandard.ZstdCompressor(1)
+        """(slice, bitmap of the counts that aren't 0, these counts)."""
+        squeeze = zstandard.ZstdCompressor(3)
         for order, table in enumerate(self.tables):
             for k in range(0, len(table), 2 * SLICE):
-                used = np.flatnonzero(table[k : k + 2 * SLICE])
-                if len(used):
-                    yield order << 16 | k // (2 * SLICE), squeeze.compress(used.astype("<u4").tobytes()), squeeze.compress(table[k + used].astype("<u4").tobytes())
+                part = table[k : k + 2 * SLICE]
+                used = part != 0
+                if used.any():
+                    counts = part[used]
+                    kind = "<u1" if counts.max() < 256 else "<u4"
+                    yield order << 16 | k // (2 * SLICE), squeeze.compress(np.packbits(used).tobytes()), kind[2].encode() + squeeze.compress(counts.astype(kind).tobytes())
 
 
 # ---- mixing -------------------------------------------------------------------------------------
@@ -254,8 +272,8 @@ class Mixer:
         byte that the expected word has there, and how sure that is (0: none)."""
         n, begins = len(ends), np.concatenate([[0], ends[:-1]])
         sizes, place = ends - begins, places(ends)
-        weights = np.full((n * GATES, INPUTS), WEIGHT, np.float32)
-        curvature = np.zeros(n * GATES)
+        weights = np.full((GATES, INPUTS, n), WEIGHT, np.float32)
+        curvature = np.zeros((GATES, n))
         miss, used = np.zeros(n * MAP_CELLS), np.zeros(n * MAP_CELLS)
         total = np.zeros(n)
         low = high = 0
@@ -268,33 +286,48 @@ class Mixer:
                 high = min(len(data), int(a[0]) + 2 * max(GROUP_BYTES, BLOCK)) if n == 1 else len(data)
                 found = contexts(data[low:high], place[low:high])
             at = np.arange((b - a).sum()) + np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a)
-            step, depth, node, bit = self.code.bits(data[at])
-            own = np.repeat(live, b - a)[step]
-            at = at[step]
-            removed = np.where(train[own], (bit + 1) << 8, 0)
-            x = np.empty((len(step), INPUTS), np.float32)
-            for order in range(ORDERS):
-                x[:, order] = ODDS.ravel()[self.tables[order][cells(found[order][at - low], node, order)] + removed]
-            sure = strength[at]
-            agrees, says = self.code.expected(wanted[at], depth, node)
-            x[:, ORDERS] = np.where(agrees, (2 * says - 1) * sure, 0)
-            gate = (np.minimum(depth, 2) * 3 + (x[:, ORDERS - 1] != 0) + (x[:, ORDERS - 4] != 0)) * 2 + (x[:, ORDERS] != 0)
-            key = own * GATES + gate
-            z = np.clip(np.einsum("ij,ij->i", x, weights[key]), -LIMIT, LIMIT).astype(np.float64)
-            p = 1 / (1 + np.exp(-z))
-            cell = own * MAP_CELLS + ((z + LIMIT) * ((MAP_CELLS - 1) / (2 * LIMIT))).astype(np.int64)
-            refined = np.clip(p + miss[cell] / (used[cell] + MAP_PRIOR), LEAST_P, 1 - LEAST_P)
-            total += np.bincount(own, np.log10(np.where(bit == 1, refined, 1 - refined)), n)
-            error = bit - p
-            miss += np.bincount(cell, error, n * MAP_CELLS)
-            used += np.bincount(cell, minlength=n * MAP_CELLS)
-            curvature += np.bincount(key, p * (1 - p) * np.einsum("ij,ij->i", x, x), n * GATES)
-            for k in range(INPUTS):
-                weights[:, k] += np.bincount(key, error * x[:, k], n * GATES) / (DAMPING + CURVATURE * curvature)
+            own, here = np.repeat(np.arange(len(live)), b - a), [c[at - low] for c in found]
+            for gate, (row, depth, node, bit) in enumerate(self.code.classes(data[at])):
+                doc = own[row]
+                each = np.bincount(doc, minlength=len(live))
+                some = np.flatnonzero(each)
+                first, docs = (np.cumsum(each) - each)[some], live[some]
+                x = self.inputs([c[row] for c in here], node, np.where(train[live][doc], bit + 1, 0))
+                x[ORDERS] = self.expected(wanted, strength, at[row], depth, node)
+                z = sum(x[k] * np.repeat(weights[gate, k, live], each) for k in range(INPUTS))
+                z = np.clip(z, -LIMIT, LIMIT).astype(np.float64)
+                p = 1 / (1 + np.exp(-z))
+                cell = live[doc] * MAP_CELLS + ((z + LIMIT) * ((MAP_CELLS - 1) / (2 * LIMIT))).astype(np.int64)
+                refined = np.clip(p + miss[cell] / (used[cell] + MAP_PRIOR), LEAST_P, 1 - LEAST_P)
+                total[docs] += np.add.reduceat(np.log10(np.where(bit == 1, refined, 1 - refined)), first)
+                error = bit - p
+                miss += np.bincount(cell, error, n * MAP_CELLS)
+                used += np.bincount(cell, minlength=n * MAP_CELLS)
+                curvature[gate, docs] += np.add.reduceat(p * (1 - p) * np.einsum("ij,ij->j", x, x), first)
+                step = 1 / (DAMPING + CURVATURE * curvature[gate, docs])
+                for k in range(INPUTS):
+                    weights[gate, k, docs] += np.add.reduceat(error * x[k], first) * step
             read += block
             block = min(BLOCK, max(FIRST, int(read * GROWTH)))
         return total
 
+    def inputs(self, here: list[np.ndarray], node: np.ndarray, removed: np.ndarray) -> np.ndarray:
+        """Log odds that the short contexts give; ``removed``: 0, or 1 + the bit to take out of its cell."""
+        x = np.empty((INPUTS, len(node)), np.float32)
+        shift = (removed << 8).astype(np.uint16)
+        for order, context in enumerate(here):
+            np.take(_ODDS_FLAT, self.tables[order][cells(context, node, order)] + shift, out=x[order])
+        return x
+
+    def expected(self, wanted: np.ndarray, strength: np.ndarray, at: np.ndarray, depth: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Log odds that the expected word gives, where what was read of the byte agrees with it."""
+        out = np.zeros(len(at), np.float32)
+        some = np.flatnonzero(strength[at])
+        if len(some):
+            agrees, says = self.code.expected(wanted[at[some]], depth[some], node[some])
+            out[some] = np.where(agrees, (2 * says - 1) * strength[at[some]], 0)
+        return out
+
 
 # ---- chunks and what they exchange --------------------------------------------------------------
 
@@ -540,7 +573,8 @@ def short_contexts(chunks: DataFrame, code: Code) -> list[np.ndarray]:
         total = np.zeros(2 * SLICE, np.int64)
         for batch in batches:
             for used, counts in zip(batch.column("used").to_pylist(), batch.column("counts").to_pylist()):
-                total[np.frombuffer(_open(used), "<u4")] += np.frombuffer(_open(counts), "<u4")
+                flags = np.unpackbits(np.frombuffer(_open(used), np.uint8)).view(bool)
+                total[: len(flags)][flags] += np.frombuffer(_open(counts[1:]), "<u" + counts[:1].decode())
         states = zstandard.ZstdCompressor(3).compress(state(total[0::2], total[1::2]).tobytes())
         yield _batch([(key[0].as_py(), states)], "slice long, states binary")
 

@@ -112,14 +112,21 @@ def plain_scores(data):
         while read < len(s):
             news, bends = {}, Counter()
             missed, uses = Counter(), Counter()
-            for i in range(read, min(len(s), read + block)):
-                for depth, (node, bit) in enumerate(path(s[i])):
+            bits = [(i, depth, node, bit) for i in range(read, min(len(s), read + block)) for depth, (node, bit) in enumerate(path(s[i]))]
+            for part in range(3):
+                miss.update(missed)
+                used.update(uses)
+                missed, uses = Counter(), Counter()
+                for i, depth, node, bit in bits:
+                    if min(depth, 2) != part:
+                        continue
                     x = [value(cell(k, i, order, node), bit, train[k]) for order in range(lm_mix.ORDERS)]
                     way = path(wanted[i]) if i in wanted else []
                     x.append((2 * way[depth][1] - 1) * sure[i] if depth < len(way) and way[depth][0] == node else 0.0)
-                    gate = (min(depth, 2), (x[lm_mix.ORDERS - 1] != 0) + (x[lm_mix.ORDERS - 4] != 0), x[-1] != 0)
-                    w = weights.setdefault(gate, [lm_mix.WEIGHT] * len(x))
-                    z = max(-lm_mix.LIMIT, min(lm_mix.LIMIT, sum(a * b for a, b in zip(x, w))))
+                    gate = min(depth, 2)
+                    x = [np.float32(v) for v in x]
+                    w = weights.setdefault(gate, [np.float32(lm_mix.WEIGHT)] * len(x))
+                    z = max(-lm_mix.LIMIT, min(lm_mix.LIMIT, float(sum(a * b for a, b in zip(x, w)))))
                     p = 1 / (1 + math.exp(-z))
                     place = int((z + lm_mix.LIMIT) * ((lm_mix.MAP_CELLS - 1) / (2 * lm_mix.LIMIT)))
                     q = max(lm_mix.LEAST_P, min(1 - lm_mix.LEAST_P, p + miss[place] / (used[place] + lm_mix.MAP_PRIOR)))
@@ -132,7 +139,7 @@ def plain_scores(data):
             used.update(uses)
             curve.update(bends)
             for gate, rows in news.items():
-                weights[gate] = [w + sum(g) / (lm_mix.DAMPING + lm_mix.CURVATURE * curve[gate]) for w, g in zip(weights[gate], zip(*rows))]
+                weights[gate] = [np.float32(w + sum(g) / (lm_mix.DAMPING + lm_mix.CURVATURE * curve[gate])) for w, g in zip(weights[gate], zip(*rows))]
             read += block
             block = min(lm_mix.BLOCK, max(lm_mix.FIRST, int(read * lm_mix.GROWTH)))
         out.append(total)
