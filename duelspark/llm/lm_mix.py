@@ -1,29 +1,28 @@
-"""LM scoring: online logistic context mixing over the running text of a document, bit by bit.
+"""LM scoring: online logistic context mixing over the running text, bit by bit.
 
 A document is the stream of its lower-cased words, each closed by a blank, and one end mark. A byte's bits
-are its path in a Huffman code of the training bytes. Bit predictors, all across word ends:
-
-* hashed contexts: the last 2, 4 and 6 bytes; the word so far; it with the last two bytes of the word
-  before; it with the whole word before. A cell keeps how often 0 and 1 followed in all training documents.
-  These short contexts live in tables of a fixed size (``SIZES``), which is what is broadcast.
-* the word that most often followed the same two words in training documents, as long as what has been read
-  of the present word agrees with it. These contexts are keyed rows, exchanged by hash range, and grow with
-  the corpus; so do the word counts of the base score.
-
-In a training document each bit, and each following word, is taken out of its own counts. The predictors' log
-odds are mixed by weights that are gated by the bit's place in its byte; an adaptive probability map refines
-the mix. Both start from fixed values in each document and
-learn online, block after block of the document (``FIRST`` bytes, then growing with what has been read), from
-the bits just scored. So a score doesn't depend on chunks, partitions or other documents' order. The sum over
-all bits is the score, and ``bits_per_byte`` is that over the bytes of the text.
-
-Documents go through in lockstep: all documents of a group are at the same block, so that numpy works on
-thousands of bits at once. Memory is bounded by chunks, groups and ``BLOCK``, in very long texts and words too.
+are its path in a Huffman code of the training bytes. Bit predictors are hashed contexts: the last 2, 3, 4
+and 6 bytes, the word so far, and it with ``LEAD`` bytes before it; a cell keeps how often 0 and 1 followed in
+the training documents. For the first ``HEAD`` bytes of a word contexts reach back across word ends; later ones
+stay in the word.
+The predictors' log odds are mixed by weights gated by the bit's place in its byte and the byte's place in
+its word, and an adaptive probability map refines the mix. Weights and map are learnt online, batch after
+batch, over all training text; each bit is predicted with its own occurrence taken out of the counts, in
+training documents' scores too. Last, a word's probability, the product over its bits, is refined by what
+the document itself has shown (``refined``): the words it has used so far, and what followed the same word
+in it before, each with a share that adapts to how often it was right. The sum over all words is the score,
+and ``bits_per_byte`` is that over the bytes of the text.
+
+What decides a bit's probability is its unit: ``LEAD`` bytes with the head of a word, or a word whose bytes
+after the head are scored. So every unit is worked on once for the whole corpus, with its training
+count as weight: chunks send their distinct units to hash ranges and get scores and counts back. Units are
+keyed rows and grow with the corpus, and so does the number of ranges (``RANGE_BYTES``), so that a range
+doesn't. The cells of the predictors are of a fixed number (``SIZES``), which is what is broadcast.
 
 Defined results: a null or empty text has only its end token. Without training documents counts are 0 and
-the score is what documents teach about themselves. Documents without doc_id train nothing and have held_out
-null. Repeated rows count as often as they occur. Empty tables give an empty result; columns other than
-doc_id and text aren't read.
+the score is that of an unlearnt mix. Documents without doc_id train nothing and have held_out null. Repeated
+rows count as often as they occur. Empty tables give an empty result; columns other than doc_id and text
+aren't read. The weights depend on how units are dealt to ranges, not on the order or partitions of rows.
 """
 
 from __future__ import annotations
@@ -36,35 +35,40 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from .common import LOWER, Words, mix, powers, prepare, read_table, spans, stored, strings, trim, width
 
-#: Bytes of text in a chunk, and of stream in a group of documents in lockstep (a longer document is one by itself).
-CHUNK_BYTES, GROUP_BYTES = 3 << 20, 1 << 18
+#: Bytes of text in a chunk (a longer document is a chunk by itself), and of text whose units meet in a range.
+CHUNK_BYTES, RANGE_BYTES = 6 << 20, 64 << 20
+#: First bytes of a word that see across word ends, and how far back they see.
+HEAD, LEAD = 3, 4
 #: Bytes of context of the first predictors, and the cells of all six.
-LENGTHS = (2, 4, 6)
-SIZES = (1 << 20, *(1 << 22,) * 5)
+LENGTHS = (2, 3, 4, 6)
+SIZES = (1 << 20, *(1 << 21,) * 4, 1 << 22)
 ORDERS = len(SIZES)
-INPUTS = ORDERS + 1  # and the expected word
 #: Cells whose partial counts travel together.
 SLICE = 1 << 19
+#: Bytes of units in one vectorised step, and bytes after which weights and map learn.
+STEP_BYTES, BATCH_BYTES = 1 << 14, 1 << 13
 #: Bytes of a word that its context hashes at most.
 REACH = 32
 BLANK, END = 0x20, 0x0A
 PRIOR = 0.4
-#: Learning: first block and growth in bytes, weight at the start, damping of a step, share of the curvature.
-FIRST, GROWTH, BLOCK = 24, 0.15, 1 << 16
-WEIGHT, DAMPING, CURVATURE = 0.2, 45.0, 0.2
-#: Weight sets: for a byte's first bit, its second one, and the others.
-GATES = 3
+#: Weight sets: heads and rests of words by a byte's first bit, its second one, and the others.
+PLACES = 3
+GATES = 2 * PLACES
+#: Learning: weight at the start, damping of a step, share of the curvature.
+WEIGHT, DAMPING, CURVATURE = 0.27, 45.0, 0.3
 LIMIT, MAP_CELLS, MAP_PRIOR = 11.0, 64, 30.0
 LEAST_P = 1e-5
-#: Counts that a cell's state keeps exactly, and the states of the log odds beyond.
+#: Tokens after which a document's own words have their full share, that share, and the same for pairs.
+SHOWN, SHARE, PAIRS_SHOWN = 10, 0.5, 3
+#: Counts that a cell's state keeps exactly; all other states are log odds in equal steps.
 EXACT = 13
-
 #: Where a context keeps an inner node of the code: side by side, those near the root first.
 _NODE = (255 - np.arange(256)).astype(np.uint32)
 _BASE = 0x5851F42D4C957F2D
@@ -105,7 +109,7 @@ class Code:
         return place, depth, step >> 1, step & 1
 
     def classes(self, data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """The same in GATES parts: the bytes' first bits, their second ones, and all others."""
+        """The same in PLACES parts: the bytes' first bits, their second ones, and all others."""
         n, at = self.length[data], self.at[data]
         for low, high in ((0, 1), (1, 2), (2, 256)):
             size = np.clip(n - low, 0, high - low)
@@ -116,12 +120,6 @@ class Code:
             step = self.steps[at[row] + depth]
             yield row, depth, step >> 1, step & 1
 
-    def expected(self, wanted: np.ndarray, depth: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether the wanted byte's path goes through this node at this depth, and its bit there."""
-        inside = np.minimum(depth, self.length[wanted] - 1)
-        step = self.steps[self.at[wanted] + inside]
-        return (inside == depth) & (step >> 1 == node), step & 1
-
 
 def streamed(words: Words) -> tuple[np.ndarray, np.ndarray]:
     """The streams of consecutive texts, one after the other, and where each ends."""
@@ -138,41 +136,25 @@ def streamed(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, ends
 
 
-def contexts(data: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
-    """Per order a hash of what precedes each byte; ``place``: bytes of the same document before it.
-
-    A byte's contexts follow from at most the 2 * REACH + 2 bytes before it; before a document are end marks."""
+def contexts(data: np.ndarray, place: np.ndarray, inside: np.ndarray) -> list[np.ndarray]:
+    """Per order a hash of what precedes each byte; ``place``: bytes of the unit before it, ``inside``: of the word."""
     n = len(data)
     symbol = data.astype(np.uint64) + np.uint64(1)
     last, out = np.zeros(n, np.uint64), []
     for k in range(1, LENGTHS[-1] + 1):
         before = np.zeros(n, np.uint64)
         before[k:] = symbol[: max(0, n - k)]
-        before[place < k] = END + 1
+        before[place < k] = 0
         last = last * np.uint64(257) + before
         if k in LENGTHS:
             out.append(mix(last, k).astype(np.uint32))
-    if not n:
-        return out + [np.empty(0, np.uint32)] * 3
     up, down = powers(n + 1, _BASE)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(mix(symbol, 3) * up[:n], out=total[1:])
-    span = lambda a, b: mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64), 4)
-    closes = (data == BLANK) | (data == END)
-    begins = np.concatenate([[True], closes[:-1]]) | (place == 0)
-    at, rows = np.arange(n), np.flatnonzero(begins)
-    word = np.cumsum(begins) - 1
-    first = rows[word]
-    so_far = span(np.maximum(first, at - REACH), at)
-    stop = np.maximum(rows - 1, 0)  # the blank that closes the word before, if there is one
-    start = np.maximum(np.concatenate([[0], rows[:-1]]), stop - REACH)
-    alone = place[rows] == 0
-    start = np.minimum(start, stop)
-    out.append(mix(so_far, 9).astype(np.uint32))
-    for seed, low in ((21, np.maximum(start, stop - 2)), (23, start)):
-        before = np.where(alone, np.uint64(1), span(low, stop))[word]
-        before[at - first >= REACH] = 2  # too far back
-        out.append(mix(so_far + mix(before, seed), seed + 1).astype(np.uint32))
+    for seed, size in ((9, np.clip(inside, 0, REACH)), (10, np.minimum(place, np.clip(inside, 0, REACH) + LEAD))):
+        first = np.arange(n) - size
+        so_far = (total[:n] - total[first]) * down[first]
+        out.append(mix(mix(so_far, 4) + size.astype(np.uint64), seed).astype(np.uint32))
     return out
 
 
@@ -208,40 +190,111 @@ def state(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.where(few, _NUMBER[np.where(few, n0, 0).astype(np.int64), np.where(few, n1, 0).astype(np.int64)], far)
 
 
-def groups(ends: np.ndarray, most: int = GROUP_BYTES) -> Iterator[tuple[int, int]]:
-    """(first, end) of consecutive documents with at most ``most`` bytes of stream, or one."""
-    a, begin = 0, 0
-    while a < len(ends):
-        b = max(a + 1, int(np.searchsorted(ends, begin + most, "right")))
-        yield a, b
-        a, begin = b, int(ends[b - 1])
+# ---- units --------------------------------------------------------------------------------------
+
+
+class Units:
+    """Byte strings that decide probabilities. The first byte tells the kind: how many bytes before the word a head
+    has, or ``WORD`` for a whole word with its closing blank, whose bytes after the head are scored."""
+
+    WORD = 255
 
+    def __init__(self, flat: np.ndarray, ends: np.ndarray):
+        self.flat, self.ends = flat, ends.astype(np.int64)
 
-def places(ends: np.ndarray) -> np.ndarray:
-    sizes = np.diff(ends, prepend=0)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+    def __len__(self) -> int:
+        return len(self.ends)
 
+    @classmethod
+    def of(cls, array: pa.Array) -> Units:
+        ends = np.frombuffer(array.buffers()[1], np.int32, len(array) + 1)[1:] if len(array) else np.empty(0, np.int32)
+        return cls(np.frombuffer(array.buffers()[2], np.uint8) if len(array) else np.empty(0, np.uint8), ends)
 
-def windowed(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """(bytes, contexts) of a group's streams, in pieces of bounded size."""
-    place, lead = places(ends), 2 * REACH + 2
-    for a in range(0, len(data), GROUP_BYTES):
-        b, low = min(len(data), a + GROUP_BYTES), max(0, a - lead)
-        yield data[a:b], [c[a - low :] for c in contexts(data[low:b], place[low:b])]
+    def array(self) -> pa.Array:
+        offsets = np.concatenate([[0], self.ends]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(self), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(self.flat))])
+
+    def take(self, rows: np.ndarray) -> Units:
+        return Units.of(self.array().take(pa.array(rows)))
+
+    def dumps(self) -> tuple[bytes, bytes]:
+        squeeze = zstandard.ZstdCompressor(1)
+        return squeeze.compress(np.diff(self.ends, prepend=0).astype("<u4").tobytes()), squeeze.compress(self.flat.tobytes())
+
+    @classmethod
+    def loads(cls, sizes: bytes, flat: bytes) -> Units:
+        return cls(np.frombuffer(_open(flat), np.uint8), np.cumsum(np.frombuffer(_open(sizes), "<u4"), dtype=np.int64))
+
+    def words(self) -> np.ndarray:
+        """Which units are whole words."""
+        return self.flat[self.ends - np.diff(self.ends, prepend=0)] == self.WORD
+
+    def hashes(self) -> np.ndarray:
+        return np.fromiter(map(xxh3_64_intdigest, self.array().to_pylist()), np.uint64, len(self))
+
+    def steps(self, rows: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Scored bytes of the units in ``rows``, about ``most`` bytes at a time: (numbers in ``rows``, bytes, head or not, contexts)."""
+        sizes = np.diff(self.ends, prepend=0)
+        begin, size = (self.ends - sizes)[rows] + 1, sizes[rows] - 1
+        kind = self.flat[begin - 1].astype(np.int64)
+        lead = np.where(kind == self.WORD, 0, kind)
+        skip = np.where(kind == self.WORD, HEAD, lead)
+        cut = np.searchsorted(np.cumsum(size), np.arange(most, int(size.sum()) + most, most))
+        a = 0
+        for b in np.minimum(cut + 1, len(rows)).tolist():
+            if a == b:
+                continue
+            n = size[a:b]
+            number = np.repeat(np.arange(a, b), n)
+            place = np.arange(len(number)) - np.repeat(np.cumsum(n) - n, n)
+            data = self.flat[place + begin[number]]
+            found = contexts(data, place, place - lead[number])
+            scored = np.flatnonzero(place >= skip[number])
+            number = number[scored]
+            yield number, data[scored], kind[number] != self.WORD, [c[scored] for c in found]
+            a = b
+
+
+def units_of(data: np.ndarray, ends: np.ndarray) -> tuple[Units, np.ndarray, Units, np.ndarray, np.ndarray]:
+    """Of streams: distinct heads, each token's head, distinct words, each token's word (-1: end), tokens of each document."""
+    closes = np.flatnonzero((data == BLANK) | (data == END))
+    begins = np.concatenate([[0], closes[:-1] + 1]) if len(closes) else closes
+    starts = np.concatenate([[0], ends[:-1]])
+    last = np.searchsorted(closes, ends - 1)
+    lengths = np.diff(last, prepend=-1)
+    lead = np.minimum(LEAD, begins - np.repeat(starts, lengths))
+    heads, head = _distinct(data, begins - lead, np.minimum(begins + HEAD, closes + 1), lead)
+    inner = data[closes] == BLANK
+    words, number = _distinct(data, begins[inner], closes[inner] + 1, np.full(int(inner.sum()), Units.WORD))
+    word = np.full(len(closes), -1, np.int64)
+    word[inner] = number
+    return heads, head, words, word, lengths
+
+
+def _distinct(data: np.ndarray, a: np.ndarray, b: np.ndarray, kind: np.ndarray) -> tuple[Units, np.ndarray]:
+    """Distinct slices [a, b) of ``data``, each after its kind, and their numbers."""
+    size = b - a + 1
+    ends = np.cumsum(size)
+    begin = ends - size
+    flat = data[np.maximum(np.arange(ends[-1] if len(ends) else 0) + np.repeat(a - 1 - begin, size), 0)]
+    flat[begin] = kind
+    encoded = Units(flat, ends).array().dictionary_encode()
+    return Units.of(encoded.dictionary), encoded.indices.to_numpy().astype(np.int64)
 
 
 class Counter:
     """Counts of 0 and 1 in every cell."""
 
-    def __init__(self) -> None:
-        self.tables = [np.zeros(2 * size, np.uint32) for size in SIZES]
+    def __init__(self, code: Code) -> None:
+        self.code, self.tables = code, [np.zeros(2 * size, np.int64) for size in SIZES]
 
-    def add(self, data: np.ndarray, ends: np.ndarray, code: Code) -> None:
-        for part, found in windowed(data, ends):
-            place, _, node, bit = code.bits(part)
-            bit = bit.astype(np.uint32)
+    def add(self, units: Units, weight: np.ndarray) -> None:
+        rows = np.flatnonzero(weight)
+        for number, data, _, found in units.steps(rows, STEP_BYTES):
+            place, _, node, bit = self.code.bits(data)
+            each = weight[rows][number][place]
             for order, context in enumerate(found):
-                np.add.at(self.tables[order], cells(context[place], node, order) * np.uint32(2) + bit, np.uint32(1))
+                np.add.at(self.tables[order], cells(context[place], node, order).astype(np.int64) * 2 + bit, each)
 
     def rows(self) -> Iterator[tuple[int, bytes, bytes]]:
         """(slice, bitmap of the counts that aren't 0, these counts)."""
@@ -252,89 +305,110 @@ class Counter:
                 used = part != 0
                 if used.any():
                     counts = part[used]
-                    kind = "<u1" if counts.max() < 256 else "<u4"
-                    yield order << 16 | k // (2 * SLICE), squeeze.compress(np.packbits(used).tobytes()), kind[2].encode() + squeeze.compress(counts.astype(kind).tobytes())
+                    kind = "1" if counts.max() < 256 else "8"
+                    yield order << 16 | k // (2 * SLICE), squeeze.compress(np.packbits(used).tobytes()), kind.encode() + squeeze.compress(counts.astype("<u" + kind).tobytes())
 
 
 # ---- mixing -------------------------------------------------------------------------------------
 
 
 class Mixer:
-    """Weights and probability maps of documents in lockstep over fixed states."""
+    """Weights and probability map over fixed states."""
 
-    def __init__(self, tables: list[np.ndarray], code: Code):
+    def __init__(self, tables: list[np.ndarray], code: Code, model: bytes | None = None):
         self.tables, self.code = tables, code
-
-    def score(self, data: np.ndarray, ends: np.ndarray, train: np.ndarray, wanted: np.ndarray, strength: np.ndarray) -> np.ndarray:
-        """log10 probability of each document's stream.
-
-        ``train``: whether a document's own counts are in the tables; ``wanted``, ``strength``: per byte the
-        byte that the expected word has there, and how sure that is (0: none)."""
-        n, begins = len(ends), np.concatenate([[0], ends[:-1]])
-        sizes, place = ends - begins, places(ends)
-        weights = np.full((GATES, INPUTS, n), WEIGHT, np.float32)
-        curvature = np.zeros((GATES, n))
-        miss, used = np.zeros(n * MAP_CELLS), np.zeros(n * MAP_CELLS)
-        total = np.zeros(n)
-        low = high = 0
-        found: list[np.ndarray] = []
-        read, block = 0, FIRST
-        while (live := np.flatnonzero(sizes > read)).size:
-            a, b = begins[live] + read, np.minimum(begins[live] + read + block, ends[live])
-            if not found or b[-1] > high:  # contexts of the whole group, or of the next part of one long document
-                low = max(0, int(a[0]) - 2 * REACH - 2) if n == 1 else 0
-                high = min(len(data), int(a[0]) + 2 * max(GROUP_BYTES, BLOCK)) if n == 1 else len(data)
-                found = contexts(data[low:high], place[low:high])
-            at = np.arange((b - a).sum()) + np.repeat(a - (np.cumsum(b - a) - (b - a)), b - a)
-            own, here = np.repeat(np.arange(len(live)), b - a), [c[at - low] for c in found]
-            for gate, (row, depth, node, bit) in enumerate(self.code.classes(data[at])):
-                doc = own[row]
-                each = np.bincount(doc, minlength=len(live))
-                some = np.flatnonzero(each)
-                first, docs = (np.cumsum(each) - each)[some], live[some]
-                x = self.inputs([c[row] for c in here], node, np.where(train[live][doc], bit + 1, 0))
-                x[ORDERS] = self.expected(wanted, strength, at[row], depth, node)
-                z = sum(x[k] * np.repeat(weights[gate, k, live], each) for k in range(INPUTS))
-                z = np.clip(z, -LIMIT, LIMIT).astype(np.float64)
+        self.weights = np.full((GATES, ORDERS), WEIGHT, np.float32)
+        self.map = np.zeros((GATES, MAP_CELLS))
+        if model is not None:
+            both = np.frombuffer(model, np.float64)
+            self.weights = both[: GATES * ORDERS].reshape(GATES, ORDERS).astype(np.float32)
+            self.map = both[GATES * ORDERS :].reshape(GATES, MAP_CELLS).copy()
+        self.curvature, self.miss, self.used = np.zeros(GATES), np.zeros((GATES, MAP_CELLS)), np.zeros((GATES, MAP_CELLS))
+
+    def dumps(self) -> bytes:
+        return np.concatenate([self.weights.astype(np.float64).ravel(), self.map.ravel()]).tobytes()
+
+    def bits(self, data: np.ndarray, head: np.ndarray, found: list[np.ndarray], own: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By gate: (gate, numbers of the bytes, bits, log odds, mix, its map cells, refined probability of a 1).
+
+        ``own``: each bit's own occurrence is taken out of its cell."""
+        for kind in (0, 1):
+            of = np.flatnonzero(head == bool(kind))
+            here = [c[of] for c in found]
+            for k, (row, _, node, bit) in enumerate(self.code.classes(data[of])):
+                gate = kind * PLACES + k
+                x = np.empty((ORDERS, len(row)), np.float32)
+                shift = ((bit + 1) << 8 if own else np.zeros(len(bit))).astype(np.uint16)
+                for order, context in enumerate(here):
+                    np.take(_ODDS_FLAT, self.tables[order][cells(context[row], node, order)] + shift, out=x[order])
+                z = np.clip(self.weights[gate] @ x, -LIMIT, LIMIT)
                 p = 1 / (1 + np.exp(-z))
-                cell = live[doc] * MAP_CELLS + ((z + LIMIT) * ((MAP_CELLS - 1) / (2 * LIMIT))).astype(np.int64)
-                refined = np.clip(p + miss[cell] / (used[cell] + MAP_PRIOR), LEAST_P, 1 - LEAST_P)
-                total[docs] += np.add.reduceat(np.log10(np.where(bit == 1, refined, 1 - refined)), first)
-                error = bit - p
-                miss += np.bincount(cell, error, n * MAP_CELLS)
-                used += np.bincount(cell, minlength=n * MAP_CELLS)
-                curvature[gate, docs] += np.add.reduceat(p * (1 - p) * np.einsum("ij,ij->j", x, x), first)
-                step = 1 / (DAMPING + CURVATURE * curvature[gate, docs])
-                for k in range(INPUTS):
-                    weights[gate, k, docs] += np.add.reduceat(error * x[k], first) * step
-            read += block
-            block = min(BLOCK, max(FIRST, int(read * GROWTH)))
-        return total
-
-    def inputs(self, here: list[np.ndarray], node: np.ndarray, removed: np.ndarray) -> np.ndarray:
-        """Log odds that the short contexts give; ``removed``: 0, or 1 + the bit to take out of its cell."""
-        x = np.empty((INPUTS, len(node)), np.float32)
-        shift = (removed << 8).astype(np.uint16)
-        for order, context in enumerate(here):
-            np.take(_ODDS_FLAT, self.tables[order][cells(context, node, order)] + shift, out=x[order])
-        return x
-
-    def expected(self, wanted: np.ndarray, strength: np.ndarray, at: np.ndarray, depth: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """Log odds that the expected word gives, where what was read of the byte agrees with it."""
-        out = np.zeros(len(at), np.float32)
-        some = np.flatnonzero(strength[at])
-        if len(some):
-            agrees, says = self.code.expected(wanted[at[some]], depth[some], node[some])
-            out[some] = np.where(agrees, (2 * says - 1) * strength[at[some]], 0)
+                cell = ((z + LIMIT) * ((MAP_CELLS - 1) / (2 * LIMIT))).astype(np.int64)
+                refined = np.clip(p + self.map[gate][cell], LEAST_P, 1 - LEAST_P)
+                yield gate, of[row], bit, x, p, cell, refined
+
+    def learn(self, units: Units, weight: np.ndarray) -> float:
+        """One online pass over the units as often as they occur; the bits seen."""
+        rows, seen = np.flatnonzero(weight), 0.0
+        for number, data, head, found in units.steps(rows, BATCH_BYTES):
+            often = weight[rows][number].astype(np.float64)
+            for gate, byte, bit, x, p, cell, _ in self.bits(data, head, found, True):
+                times, error = often[byte], (bit - p) * often[byte]
+                self.miss[gate] += np.bincount(cell, error, MAP_CELLS)
+                self.used[gate] += np.bincount(cell, times, MAP_CELLS)
+                self.map[gate] = self.miss[gate] / (self.used[gate] + MAP_PRIOR)
+                self.curvature[gate] += (p * (1 - p) * times * np.einsum("ij,ij->j", x, x)).sum()
+                self.weights[gate] += (x @ error.astype(np.float32)) / (DAMPING + CURVATURE * self.curvature[gate])
+                seen += times.sum()
+        return seen
+
+    def score(self, units: Units, rows: np.ndarray, own: bool) -> np.ndarray:
+        """log10 probability of the scored bytes of the units in ``rows``."""
+        out = np.zeros(len(rows))
+        for number, data, head, found in units.steps(rows, STEP_BYTES):
+            for _, byte, bit, _, _, _, refined in self.bits(data, head, found, own):
+                low, high = int(number[0]), int(number[-1]) + 1
+                out[low:high] += np.bincount(number[byte] - low, np.log10(np.where(bit == 1, refined, 1 - refined)), high - low)
         return out
 
 
 # ---- chunks and what they exchange --------------------------------------------------------------
 
-_DOC = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("train", "u1"), ("size", "<i8"), ("end", "<i8")])
-_CHUNKS = "chunk long, docs binary, body binary, bytes binary"
-_ENTRIES = "chunk long, part long, pairs boolean, keys binary, words binary, counts binary"
-_ANSWERS = "chunk long, part long, pairs boolean, types long, useful binary, counts binary, first binary, second binary"
+_DOC = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("train", "u1"), ("size", "<i8"), ("n", "<i8")])
+_CHUNKS = "chunk long, part long, docs binary, tokens binary, sizes binary, flat binary, counts binary"
+_RANGES = "types long, tokens long, ends long, bytes binary, sizes binary, flat binary, counts binary, chunks binary, places binary"
+_ANSWERS = "chunk long, part long, counts binary, scores binary"
+
+
+def earlier(key: np.ndarray) -> np.ndarray:
+    """How often each entry occurs before its own place."""
+    by = np.argsort(key, kind="stable")
+    new = np.diff(key[by], prepend=key[by][:1] - 1) != 0
+    out = np.empty(len(key), np.int64)
+    out[by] = np.arange(len(key)) - np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    return out
+
+
+def refined(logs: np.ndarray, word: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """log10 probabilities of tokens, mixed with the shares of the same word in the document so far.
+
+    Each mix's gate is the share of its hits in the tokens before: words that had occurred in the document, and
+    words that had followed the word before them there. ``word``: numbers of words, -1 for the end."""
+    first = np.repeat(np.cumsum(lengths) - lengths, lengths)
+    doc, place = np.repeat(np.arange(len(lengths)), lengths), np.arange(len(word)) - first
+    upto = lambda flags: (c := np.cumsum(flags) - flags) - c[first]
+    size = int(word.max(initial=0)) + 2
+    _, single = np.unique(doc * size + word + 1, return_inverse=True)
+    before = np.roll(single, 1)
+    before[place == 0] = -1
+    used = earlier(single)
+    gate = SHARE * upto(used > 0) / (place + SHOWN)
+    p = (1 - gate) * 10.0**logs + gate * used / np.maximum(place, 1)
+    _, pair = np.unique((before + 1) * (int(single.max(initial=0)) + 1) + single, return_inverse=True)
+    tries, hits = earlier(before + len(word) * (before < 0)), earlier(pair)
+    tries[place == 0] = 0
+    gate = np.where(tries > 0, upto((hits > 0) & (place > 0)) / (upto(tries > 0) + PAIRS_SHOWN), 0)
+    return np.log10((1 - gate) * p + gate * hits / np.maximum(tries, 1))
 
 
 def _open(blob: bytes) -> bytes:
@@ -342,7 +416,7 @@ def _open(blob: bytes) -> bytes:
 
 
 def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
+    kinds = {"long": pa.int64(), "binary": pa.binary()}
     fields = [x.split() for x in ddl.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(fields)], names=[f for f, _ in fields])
 
@@ -351,219 +425,96 @@ def trains(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 != 2
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """Chunks of whole documents: their rows, streams and how often each byte occurs in training streams."""
+def chunked(docs: DataFrame, ranges: int) -> DataFrame:
+    """Per chunk one row of documents and their tokens' units (part null), and its distinct units per hash range.
+
+    An entry's count is twice the occurrences in training documents, plus one if others hold it too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze, number = zstandard.ZstdCompressor(3), TaskContext.get().partitionId() << 32
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        squeeze, chunk = zstandard.ZstdCompressor(3), TaskContext.get().partitionId() << 32
+        held: list[tuple[list, np.ndarray, np.ndarray]] = []
         size = 0
 
-        def made() -> pa.RecordBatch:
-            rows, data = np.concatenate([r for r, _ in held]), np.concatenate([s for _, s in held])
-            rows["end"] = np.cumsum(np.concatenate([np.diff(r["end"], prepend=0) for r, _ in held]))
-            learnt = data[np.repeat(rows["train"], np.diff(rows["end"], prepend=0)) > 0]
-            return _batch([(number, rows.tobytes(), squeeze.compress(data.tobytes()), np.bincount(learnt, minlength=256).astype("<i8").tobytes())], _CHUNKS)
+        def made() -> Iterator[pa.RecordBatch]:
+            trim(1)
+            rows = np.array([x for part in held for x in part[0]], _DOC)
+            data = np.concatenate([x for _, x, _ in held])
+            heads, head, words, word, lengths = units_of(data, np.cumsum(np.concatenate([x for _, _, x in held])))
+            rows["n"] = lengths
+            learns = np.repeat(rows["train"], lengths).astype(bool)
+            every = Units(np.concatenate([heads.flat, words.flat]), np.concatenate([heads.ends, words.ends + len(heads.flat)]))
+            word = np.where(word < 0, -1, word + len(heads))
+            both = np.concatenate([head, word[word >= 0]])
+            trained = np.bincount(both, np.concatenate([learns, learns[word >= 0]]), len(every)).astype(np.int64)
+            counts = 2 * trained + (np.bincount(both, minlength=len(every)) > trained)
+            part = (every.hashes() % np.uint64(ranges)).astype(np.int64)
+            by = np.argsort(part, kind="stable")
+            place = np.empty(len(by), np.int32)
+            place[by] = np.arange(len(by), dtype=np.int32)
+            tokens = np.stack([place[head], np.where(word < 0, -1, place[word])]).astype("<i4")
+            yield _batch([(chunk, None, rows.tobytes(), squeeze.compress(tokens.tobytes()), None, None, None)], _CHUNKS)
+            cut = np.flatnonzero(np.diff(part[by], prepend=-1))
+            for a, b in zip(cut.tolist(), np.append(cut[1:], len(by)).tolist()):
+                yield _batch([(chunk, int(part[by[a]]), None, None, *every.take(by[a:b]).dumps(), squeeze.compress(counts[by[a:b]].astype("<u4").tobytes()))], _CHUNKS)
 
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             for a, b, data, offsets in spans(strings(batch, "text")):
                 if held and size + len(data) > CHUNK_BYTES:
-                    yield made()
-                    number, held, size = number + 1, [], 0
-                out, ends = streamed(Words(data, offsets))
-                rows = [(d or 0, d is not None, trains(d), s, e) for d, s, e in zip(ids[a:b], np.diff(offsets).tolist(), ends.tolist())]
-                held.append((np.array(rows, _DOC), out))
+                    yield from made()
+                    chunk, held, size = chunk + 1, [], 0
+                stream, ends = streamed(Words(data, offsets))
+                held.append(([(d or 0, d is not None, trains(d), n, 0) for d, n in zip(ids[a:b], np.diff(offsets).tolist())], stream, np.diff(ends, prepend=0)))
                 size += len(data)
         if held:
-            yield made()
+            yield from made()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return stored(slim.mapInArrow(run, _CHUNKS), "lm-chunks")
 
 
-class Tokens:
-    """A chunk's tokens, its distinct words and its distinct pairs (two words before, next word), by hash range."""
-
-    def __init__(self, docs: bytes, body: bytes, ranges: int):
-        self.rows = np.frombuffer(docs, _DOC)
-        self.data = np.frombuffer(_open(body), np.uint8)
-        ends = self.rows["end"].astype(np.int64)
-        found = Words(self.data, np.concatenate([[0], ends]))
-        counts = found.counts()
-        self.lengths = counts + 1
-        self.train = self.rows["train"].astype(bool)
-        words, number = found.distinct()
-        text = words.to_pylist()
-        hashes = np.fromiter(map(xxh3_64_intdigest, text), np.uint64, len(text))
-        # tokens of all documents, each with its end token
-        last = np.cumsum(self.lengths) - 1
-        inner = np.ones(int(self.lengths.sum()), bool)
-        inner[last] = False
-        self.token = np.full(len(inner), -1, np.int64)  # number among the distinct words; -1: end
-        self.token[inner] = number
-        self.at = np.empty(len(inner), np.int64)  # where the token's bytes begin
-        self.at[inner], self.at[last] = found.start, ends - 1
-        self.learns = np.repeat(self.train, self.lengths)
-        by_range = (mix(hashes, 41) % np.uint64(ranges)).astype(np.int64)
-        self.by_word = np.argsort(by_range, kind="stable")
-        self.word_part, self.text = by_range[self.by_word], text
-        self.trained = np.bincount(number, self.learns[inner], len(text)).astype("<u4")
-        # what the two words before are (1 and 2: nothing yet), and the pair with the next word
-        name = np.full(len(inner), np.uint64(3))
-        name[inner] = hashes[number]
-        place = np.arange(len(inner)) - np.repeat(last + 1 - self.lengths, self.lengths)
-        one, two = np.roll(name, 1), np.roll(name, 2)
-        one[place < 1], two[place < 2] = 1, 2
-        key = mix(mix(one, 51) * np.uint64(_BASE) + mix(two, 52), 53)
-        _, first, self.pair = np.unique(mix(key + mix(name, 54), 55), return_index=True, return_inverse=True)
-        key, follows = key[first], self.token[first]
-        part = (mix(key, 42) % np.uint64(ranges)).astype(np.int64)
-        by = np.lexsort((key, part))
-        rank = np.empty(len(by), np.int64)
-        rank[by] = np.arange(len(by))
-        self.pair = rank[self.pair]
-        self.key, self.follows, self.pair_part = key[by], follows[by], part[by]
-        self.pair_trained = np.bincount(self.pair, self.learns, len(by)).astype("<u4")
-
-    def spelled(self, numbers: np.ndarray) -> list[bytes]:
-        return [self.text[k] if k >= 0 else b"\n" for k in numbers.tolist()]
-
-    def slices(self) -> Iterator[tuple[bool, int, int, int]]:
-        """(pairs, range, first, end) over the ordered words, then pairs."""
-        for pairs, part in ((False, self.word_part), (True, self.pair_part)):
-            cut = np.flatnonzero(np.diff(part, prepend=-1))
-            for a, b in zip(cut.tolist(), np.append(cut[1:], len(part)).tolist()):
-                yield pairs, int(part[a]), a, b
-
-    def entries(self, chunk: int) -> Iterator[tuple]:
-        squeeze = zstandard.ZstdCompressor(1)
-        for pairs, part, a, b in self.slices():
-            numbers = self.follows[a:b] if pairs else self.by_word[a:b]
-            counts = self.pair_trained[a:b] if pairs else self.trained[numbers]
-            keys = squeeze.compress(self.key[a:b].astype("<u8").tobytes()) if pairs else None
-            yield chunk, part, pairs, keys, squeeze.compress(b" ".join(self.spelled(numbers))), squeeze.compress(counts.tobytes())
-
-
-def _answers(table: pa.Table) -> pa.Table:
-    """What a hash range knows of each chunk's words (training counts) and pairs (the two commonest next words).
-
-    Sums are over all chunks; a key that could help none of the chunk's occurrences gets no answer. One of
-    the rows tells how many words training documents have (``types``)."""
+def _meet(table: pa.Table) -> pa.Table:
+    """A hash range's distinct units with their counts over all chunks, in the order of their hashes, and each chunk's places."""
     trim(1)
-    pairs = table.column("pairs")[0].as_py()
-    texts = [_open(x).split(b" ") for x in table.column("words").to_pylist()]
-    counts = [np.frombuffer(_open(x), "<u4").astype(np.int64) for x in table.column("counts").to_pylist()]
-    encoded = pa.array([w for t in texts for w in t], pa.binary()).dictionary_encode()
-    word, count, squeeze = encoded.indices.to_numpy(), np.concatenate(counts), zstandard.ZstdCompressor(1)
-    edges = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-    names, out = [table.column("chunk").to_pylist(), table.column("part").to_pylist()], []
-    if not pairs:
-        total = np.bincount(word, count, len(encoded.dictionary)).astype("<i8")
-        for chunk, part, a, b in zip(*names, edges, edges[1:]):
-            out.append((chunk, part, False, 0 if out else int((total > 0).sum()), None, squeeze.compress(total[word[a:b]].tobytes()), None, None))
-        return pa.Table.from_batches([_batch(out, _ANSWERS)])
-    key = np.concatenate([np.frombuffer(_open(x), "<u8") for x in table.column("keys").to_pylist()])
-    spelling = encoded.dictionary.to_pylist()
-    rank = np.empty(len(spelling), np.int64)
-    rank[sorted(range(len(spelling)), key=spelling.__getitem__)] = np.arange(len(spelling))  # ties go to the least word
-    by = np.lexsort((rank[word], key))
-    new = np.ones(len(by), bool)
-    new[1:] = (key[by][1:] != key[by][:-1]) | (word[by][1:] != word[by][:-1])
-    first = np.flatnonzero(new)
-    sums, keys, words = np.add.reduceat(count[by], first), key[by][first], word[by][first]
-    best = np.lexsort((rank[words], -sums, keys))
-    sums, words, keys = sums[best], words[best], keys[best]
-    head = np.flatnonzero(np.diff(keys, prepend=keys[0] ^ np.uint64(1)) != 0)
-    size = np.diff(np.append(head, len(keys)))
-    totals, second = np.add.reduceat(sums, head), np.minimum(head + 1, len(keys) - 1)
-    n1, n2, w1, w2 = sums[head], np.where(size > 1, sums[second], 0), words[head], words[second]
-    for chunk, part, a, b in zip(*names, edges, edges[1:]):
-        mine, at = np.unique(key[a:b], return_index=True)
-        place = np.searchsorted(keys[head], mine)
-        unlearnt = np.logical_or.reduceat(count[a:b] == 0, at)
-        useful = np.flatnonzero((totals[place] > 1) | (unlearnt & (totals[place] > 0)))
-        p = place[useful]
-        both = np.stack([n1[p], n2[p]], 1).astype("<i8")
-        spelled = [squeeze.compress(b" ".join([spelling[k] for k in w[p].tolist()])) for w in (w1, w2)]
-        out.append((chunk, part, True, 0, squeeze.compress(useful.astype("<u4").tobytes()), squeeze.compress(both.tobytes()), *spelled))
-    return pa.Table.from_batches([_batch(out, _ANSWERS)])
-
-
-def known(tokens: Tokens, answers: list[dict], ends: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per token its training count; per byte of the streams the byte that the expected word has there, and how sure."""
-    found = {(r["pairs"], r["part"]): r for r in answers}
-    counts = np.zeros(len(tokens.text) + 1, np.int64)
-    counts[-1] = ends
-    keys, words, sure = [], [], []
-    for pairs, part, a, b in tokens.slices():
-        row = found[pairs, part]
-        if not pairs:
-            counts[tokens.by_word[a:b]] = np.frombuffer(_open(row["counts"]), "<i8")
-            continue
-        useful = np.frombuffer(_open(row["useful"]), "<u4")
-        if len(useful):
-            keys.append(np.unique(tokens.key[a:b])[useful])
-            sure.append(np.frombuffer(_open(row["counts"]), "<i8").reshape(-1, 2))
-            words += zip(_open(row["first"]).split(b" "), _open(row["second"]).split(b" "))
-    wanted, strength = np.zeros(len(tokens.data), np.uint8), np.zeros(len(tokens.data), np.float32)
-    if keys:
-        every, sure = np.concatenate(keys), np.concatenate(sure)
-        by = np.argsort(every)
-        number = {w: k for k, w in enumerate(tokens.text)} | {b"\n": -1}
-        leads, seconds = (np.fromiter((number.get(w[k], -2) for w in words), np.int64, len(words)) for k in range(2))
-        earlier = np.fromiter((y < x for x, y in words), bool, len(words))
-        key = tokens.key[tokens.pair]
-        at = by[np.minimum(np.searchsorted(every, key, sorter=by), len(by) - 1)]
-        asks = np.flatnonzero(every[at] == key)
-        at = at[asks]
-        # the token itself is taken out of the counts; after a tie the least word goes first
-        same = (leads[at] == tokens.token[asks]) & tokens.learns[asks]
-        n1, n2 = sure[at, 0] - same, sure[at, 1] - ((seconds[at] == tokens.token[asks]) & tokens.learns[asks] & (sure[at, 1] > 0))
-        swap = (n2 > n1) | ((n2 == n1) & earlier[at])
-        n = np.where(swap, n2, n1)
-        live = np.flatnonzero(n > 0)
-        _lay(tokens, asks[live], [w for both in words for w in both], 2 * at[live] + swap[live], n[live], wanted, strength)
-    return counts[tokens.token], wanted, strength
-
-
-def _lay(tokens: Tokens, rows: np.ndarray, words: list[bytes], which: np.ndarray, n: np.ndarray, wanted: np.ndarray, strength: np.ndarray) -> None:
-    """Write expected words over the streams, up to the first byte after one that differs."""
-    if not len(rows):
-        return
-    marked = [w if w == b"\n" else w + b" " for w in words]
-    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
-    begin, size = (np.cumsum(sizes) - sizes)[which], sizes[which]
-    flat = np.frombuffer(b"".join(marked), np.uint8)
-    following = np.append(tokens.at[1:], len(tokens.data))[rows] - tokens.at[rows]  # bytes of the token itself
-    use = np.minimum(size, following)
-    first = np.cumsum(use) - use
-    inside = np.arange(use.sum()) - np.repeat(first, use)
-    source, target = inside + np.repeat(begin, use), inside + np.repeat(tokens.at[rows], use)
-    differs = np.cumsum(flat[source] != tokens.data[target])
-    before = np.concatenate([[0], differs[:-1]])
-    agrees = before == np.repeat(before[first], use)
-    wanted[target[agrees]] = flat[source[agrees]]
-    strength[target[agrees]] = np.repeat(1.5 * np.log1p(n), use)[agrees]
-
-
-# ---- the operator -------------------------------------------------------------------------------
-
-
-def short_contexts(chunks: DataFrame, code: Code) -> list[np.ndarray]:
-    """The states of all cells, summed by slices over all training documents; of a fixed size."""
+    slices = [Units.loads(s, f) for s, f in zip(table.column("sizes").to_pylist(), table.column("flat").to_pylist())]
+    counts = np.concatenate([np.frombuffer(_open(c), "<u4") for c in table.column("counts").to_pylist()]).astype(np.int64)
+    encoded = pa.concat_arrays([x.array() for x in slices]).dictionary_encode()
+    units, number = Units.of(encoded.dictionary), encoded.indices.to_numpy()
+    by = np.argsort(units.hashes(), kind="stable")
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.arange(len(by))
+    units, place = units.take(by), rank[number]
+    trained = np.zeros(len(units), np.int64)
+    np.add.at(trained, place, counts >> 1)
+    others = np.bincount(place, counts & 1, len(units)) > 0
+    words, ends = units.words(), units.flat[units.ends - 1] == END
+    held = np.zeros(256, np.int64)
+    for row, data, _, _ in units.steps(np.arange(len(units)), STEP_BYTES):
+        np.add.at(held, data, trained[row])
+    chunk, part = table.column("chunk").to_numpy(), table.column("part").to_numpy()
+    squeeze = zstandard.ZstdCompressor(1)
+    places = np.stack([chunk, part, [len(x) for x in slices]]).astype("<i8").tobytes()
+    figures = [int((words & (trained > 0)).sum()), int(trained[words].sum()), int(trained[ends].sum())]
+    row = (*figures, held.astype("<i8").tobytes(), *units.dumps(), squeeze.compress((2 * trained + others).astype("<i8").tobytes()), places, squeeze.compress(place.astype("<u4").tobytes()))
+    return pa.Table.from_batches([_batch([row], _RANGES)])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, Units, np.ndarray, np.ndarray]]:
+    """(row, units, training counts, whether others hold them) of the ranges."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            trim(1)
+            counts = np.frombuffer(_open(row["counts"]), "<i8")
+            yield row, Units.loads(row["sizes"], row["flat"]), counts >> 1, counts & 1 > 0
+
+
+def counted(ranges: DataFrame, code: Code) -> list[np.ndarray]:
+    """The states of all cells, summed by slices over all ranges; of a fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter()
-        for batch in batches:
-            for docs, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows, data = np.frombuffer(docs, _DOC), np.frombuffer(_open(body), np.uint8)
-                sizes = np.diff(rows["end"], prepend=0)
-                learnt = data[np.repeat(rows["train"], sizes) > 0]
-                ends = np.cumsum(sizes[rows["train"] > 0])
-                for a, b in groups(ends):
-                    begin = int(ends[a - 1]) if a else 0
-                    counter.add(learnt[begin : ends[b - 1]], ends[a:b] - begin, code)
+        counter = Counter(code)
+        for _, units, trained, _ in _rows(batches):
+            counter.add(units, trained)
         for row in counter.rows():
             yield _batch([row], "slice long, used binary, counts binary")
         del counter
@@ -574,13 +525,13 @@ def short_contexts(chunks: DataFrame, code: Code) -> list[np.ndarray]:
         for batch in batches:
             for used, counts in zip(batch.column("used").to_pylist(), batch.column("counts").to_pylist()):
                 flags = np.unpackbits(np.frombuffer(_open(used), np.uint8)).view(bool)
-                total[: len(flags)][flags] += np.frombuffer(_open(counts[1:]), "<u" + counts[:1].decode())
+                total[: len(flags)][flags] += np.frombuffer(_open(counts[1:]), "<u" + counts[:1].decode()).astype(np.int64)
         states = zstandard.ZstdCompressor(3).compress(state(total[0::2], total[1::2]).tobytes())
         yield _batch([(key[0].as_py(), states)], "slice long, states binary")
 
-    partial = chunks.select("docs", "body").mapInArrow(count, "slice long, used binary, counts binary")
+    partial = ranges.select("sizes", "flat", "counts").mapInArrow(count, "slice long, used binary, counts binary")
     summed = partial.groupBy("slice").applyInArrow(add, "slice long, states binary")
-    tables = [np.zeros(size, np.uint8) for size in SIZES]
+    tables = [np.full(size, state(np.zeros(1), np.zeros(1))[0], np.uint8) for size in SIZES]
     for row in summed.toLocalIterator():  # one row a slice: at most sum(SIZES) bytes
         order, k = row["slice"] >> 16, (row["slice"] & 0xFFFF) * SLICE
         part = np.frombuffer(_open(bytes(row["states"])), np.uint8)
@@ -588,59 +539,88 @@ def short_contexts(chunks: DataFrame, code: Code) -> list[np.ndarray]:
     return tables
 
 
+def learnt(ranges: DataFrame, tables: Broadcast, code: Code) -> bytes | None:
+    """Weights and map that each range learns online, averaged by the bits they saw."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, units, trained, _ in _rows(batches):
+            mixer = Mixer(tables.value, code)
+            seen = mixer.learn(units, trained)
+            if seen:
+                yield _batch([(int(seen), mixer.dumps())], "bits long, model binary")
+
+    def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, total = 0, 0.0
+        for batch in batches:
+            for n, model in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                bits, total = bits + n, total + n * np.frombuffer(model, np.float64)
+        if bits:
+            yield _batch([(bits, (total / bits).tobytes())], "bits long, model binary")
+
+    models = ranges.select("sizes", "flat", "counts").mapInArrow(learn, "bits long, model binary")
+    found = models.mapInArrow(average, "bits long, model binary").repartition(1).mapInArrow(average, "bits long, model binary").first()  # one model a task
+    return bytes(found["model"]) if found else None
+
+
 def document_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     spark = docs.sparkSession
     prepare(spark)
-    ranges = 2 * width(spark)
-    chunks = chunked(docs)
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    chunks = chunked(docs, max(2 * width(spark), size // RANGE_BYTES))
+    entries = chunks.filter("part is not null").select("chunk", "part", "sizes", "flat", "counts")
+    ranges = stored(entries.groupBy("part").applyInArrow(_meet, _RANGES), "lm-ranges")
+    figures = ranges.agg(*[F.sum(x) for x in ("types", "tokens", "ends")]).first()
+    types, words, ends = (x or 0 for x in figures)
+    total, distinct = words + ends, types + (ends > 0)
 
     def byte_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, np.int64)
+        held = np.zeros(256, np.int64)
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                total += np.frombuffer(blob, "<i8")
-        yield _batch(list(enumerate(total.tolist())), "byte long, n long")
+                held += np.frombuffer(blob, "<i8")
+        yield _batch(list(enumerate(held.tolist())), "byte long, n long")
 
-    held = {r["byte"]: r["n"] for r in chunks.select("bytes").mapInArrow(byte_counts, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()}
-    found = np.array([held.get(k, 0) for k in range(256)])
-    code, ends = Code(found), int(found[END])
-    total = int(found[BLANK]) + ends  # every word is closed by a blank, every document by its end mark
-    tables = spark.sparkContext.broadcast((short_contexts(chunks, code), code))
+    summed = ranges.select("bytes").mapInArrow(byte_counts, "byte long, n long").groupBy("byte").agg(F.sum("n").alias("n"))
+    held = {r["byte"]: r["n"] for r in summed.collect()}  # 256 rows
+    code = Code(np.array([held.get(k, 0) for k in range(256)]))
+    tables = spark.sparkContext.broadcast(counted(ranges, code))
+    model = learnt(ranges, tables, code)
 
-    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, docs_, body in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                trim(4)
-                rows = list(Tokens(docs_, body, ranges).entries(chunk))
-                for k in range(0, len(rows), 16):
-                    yield _batch(rows[k : k + 16], _ENTRIES)
-
-    asked = chunks.select("chunk", "docs", "body").mapInArrow(entries, _ENTRIES)
-    answers = stored(asked.groupBy("pairs", "part").applyInArrow(_answers, _ANSWERS), "lm-answers")
-    distinct = (answers.agg(F.sum("types")).first()[0] or 0) + (ends > 0)
-    per_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("pairs", "part", "useful", "counts", "first", "second")).alias("known"))  # of one chunk's words
-    joined = chunks.select("chunk", "docs", "body").join(per_chunk, "chunk", "left")
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(1)
+        mixer = Mixer(tables.value, code, model)
+        for row, units, trained, others in _rows(batches):
+            scores = np.zeros((2, len(units)), "<f4")
+            for k, some in enumerate((np.flatnonzero(others), np.flatnonzero(trained))):
+                scores[k, some] = mixer.score(units, some, k == 1)
+            places, a = np.frombuffer(_open(row["places"]), "<u4"), 0
+            for chunk, part, n in np.frombuffer(row["chunks"], "<i8").reshape(3, -1).T.tolist():
+                mine = places[a : a + n]
+                a += n
+                yield _batch([(chunk, part, squeeze.compress(trained[mine].astype("<i8").tobytes()), squeeze.compress(scores[:, mine].tobytes()))], _ANSWERS)
+
+    answers = ranges.select("sizes", "flat", "counts", "chunks", "places").mapInArrow(score, _ANSWERS)
+    per_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "counts", "scores")).alias("known"))  # a row per unit of the chunk at most
+    joined = chunks.filter("part is null").select("chunk", "docs", "tokens").join(per_chunk, "chunk", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer = Mixer(*tables.value)
         for batch in batches:
             for row in batch.to_pylist():
                 trim(4)
-                tokens = Tokens(row["docs"], row["body"], ranges)
-                counts, wanted, strength = known(tokens, row["known"] or [], ends)
-                rows, stops = tokens.rows, tokens.rows["end"].astype(np.int64)
-                score = np.empty(len(rows))
-                for a, b in groups(stops):
-                    begin = int(stops[a - 1]) if a else 0
-                    part = slice(begin, int(stops[b - 1]))
-                    score[a:b] = mixer.score(tokens.data[part], stops[a:b] - begin, tokens.train[a:b], wanted[part], strength[part])
-                firsts = np.cumsum(tokens.lengths) - tokens.lengths
-                base = np.add.reduceat(np.log10((counts + 1) / (total + distinct + 1)), firsts)
-                n_known = np.add.reduceat((counts > 0).astype(np.int64), firsts)
+                rows = np.frombuffer(row["docs"], _DOC)
+                head, word = np.frombuffer(_open(row["tokens"]), "<i4").reshape(2, -1)
+                found = sorted(row["known"] or [], key=lambda r: r["part"])
+                counts = np.concatenate([*(np.frombuffer(_open(r["counts"]), "<i8") for r in found), [ends]])  # the last: end tokens
+                scores = np.concatenate([*(np.frombuffer(_open(r["scores"]), "<f4").reshape(2, -1) for r in found), np.zeros((2, 1))], axis=1, dtype=np.float64)
+                own = np.repeat(rows["train"], rows["n"])
+                first = np.cumsum(rows["n"]) - rows["n"]
+                score = np.add.reduceat(refined(scores[own, head] + scores[own, word], word, rows["n"]), first)
+                base = np.add.reduceat(np.log10((counts[word] + 1) / (total + distinct + 1)), first)
+                n_known = np.add.reduceat((counts[word] > 0).astype(np.int64), first)
                 unknown = rows["known"] == 0
                 bits = -score / np.log10(2) / np.maximum(1, rows["size"])
-                columns = [pa.array(rows["doc_id"], mask=unknown), pa.array(~tokens.train, mask=unknown), pa.array(tokens.lengths), pa.array(n_known), pa.array(np.full(len(rows), total)), pa.array(base), pa.array(score), pa.array(bits, mask=rows["size"] == 0)]
+                columns = [pa.array(rows["doc_id"], mask=unknown), pa.array(rows["train"] == 0, mask=unknown), pa.array(rows["n"]), pa.array(n_known), pa.array(np.full(len(rows), total)), pa.array(base), pa.array(score), pa.array(bits, mask=rows["size"] == 0)]
                 yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
     return joined.mapInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
