@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.core.broadcast import Broadcast
@@ -65,6 +66,8 @@ GATES = 2 * PLACES
 WEIGHT, DAMPING, CURVATURE = 0.27, 45.0, 0.3
 LIMIT, MAP_CELLS, MAP_PRIOR = 11.0, 64, 30.0
 LEAST_P = 1e-5
+#: Units of a log10 probability that travels.
+UNIT = 1 << 14
 #: Tokens after which a document's own words have their full share, that share, and the same for pairs.
 SHOWN, SHARE, PAIRS_SHOWN = 10, 0.5, 3
 #: Counts that a cell's state keeps exactly; all other states are log odds in equal steps.
@@ -225,6 +228,10 @@ class Units:
     def loads(cls, sizes: bytes, flat: bytes) -> Units:
         return cls(np.frombuffer(_open(flat), np.uint8), np.cumsum(np.frombuffer(_open(sizes), "<u4"), dtype=np.int64))
 
+    def sorted(self) -> np.ndarray:
+        """The numbers of the units in the order of their bytes."""
+        return pc.sort_indices(self.array()).to_numpy().astype(np.int64)
+
     def words(self) -> np.ndarray:
         """Which units are whole words."""
         return self.flat[self.ends - np.diff(self.ends, prepend=0)] == self.WORD
@@ -375,7 +382,7 @@ class Mixer:
 # ---- chunks and what they exchange --------------------------------------------------------------
 
 _DOC = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("train", "u1"), ("size", "<i8"), ("n", "<i8")])
-_CHUNKS = "chunk long, part long, docs binary, tokens binary, sizes binary, flat binary, counts binary"
+_CHUNKS = "chunk long, part long, docs binary, heads binary, words binary, places binary, sizes binary, flat binary, counts binary"
 _RANGES = "types long, tokens long, ends long, bytes binary, sizes binary, flat binary, counts binary, chunks binary, places binary"
 _ANSWERS = "chunk long, part long, counts binary, scores binary"
 
@@ -415,6 +422,16 @@ def _open(blob: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(blob)
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32, byte by byte, compressed."""
+    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(3).compress(planes.tobytes())
+
+
+def opened(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(_open(blob), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "binary": pa.binary()}
     fields = [x.split() for x in ddl.split(", ")]
@@ -448,14 +465,19 @@ def chunked(docs: DataFrame, ranges: int) -> DataFrame:
             trained = np.bincount(both, np.concatenate([learns, learns[word >= 0]]), len(every)).astype(np.int64)
             counts = 2 * trained + (np.bincount(both, minlength=len(every)) > trained)
             part = (every.hashes() % np.uint64(ranges)).astype(np.int64)
-            by = np.argsort(part, kind="stable")
-            place = np.empty(len(by), np.int32)
-            place[by] = np.arange(len(by), dtype=np.int32)
-            tokens = np.stack([place[head], np.where(word < 0, -1, place[word])]).astype("<i4")
-            yield _batch([(chunk, None, rows.tobytes(), squeeze.compress(tokens.tobytes()), None, None, None)], _CHUNKS)
+            by = every.sorted()
+            by = by[np.argsort(part[by], kind="stable")]  # by range, then bytes
+            place = np.empty(len(by), np.int64)
+            place[by] = np.arange(len(by))
+            common = by[np.argsort(-np.bincount(both, minlength=len(every))[by], kind="stable")]  # tokens hold ranks by frequency, then place
+            rank = np.empty(len(by) + 1, np.int64)
+            rank[common] = np.arange(1, len(by) + 1)
+            rank[-1] = 0  # of end tokens
+            tokens = [packed(x) for x in (rank[head], rank[word], np.diff(place[common], prepend=0) & 0xFFFFFFFF)]
+            yield _batch([(chunk, None, rows.tobytes(), *tokens, None, None, None)], _CHUNKS)
             cut = np.flatnonzero(np.diff(part[by], prepend=-1))
             for a, b in zip(cut.tolist(), np.append(cut[1:], len(by)).tolist()):
-                yield _batch([(chunk, int(part[by[a]]), None, None, *every.take(by[a:b]).dumps(), squeeze.compress(counts[by[a:b]].astype("<u4").tobytes()))], _CHUNKS)
+                yield _batch([(chunk, int(part[by[a]]), None, None, None, None, *every.take(by[a:b]).dumps(), squeeze.compress(counts[by[a:b]].astype("<u4").tobytes()))], _CHUNKS)
 
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
@@ -474,13 +496,13 @@ def chunked(docs: DataFrame, ranges: int) -> DataFrame:
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """A hash range's distinct units with their counts over all chunks, in the order of their hashes, and each chunk's places."""
+    """A hash range's distinct units with their counts over all chunks, in the order of their bytes, and each chunk's places."""
     trim(1)
     slices = [Units.loads(s, f) for s, f in zip(table.column("sizes").to_pylist(), table.column("flat").to_pylist())]
     counts = np.concatenate([np.frombuffer(_open(c), "<u4") for c in table.column("counts").to_pylist()]).astype(np.int64)
     encoded = pa.concat_arrays([x.array() for x in slices]).dictionary_encode()
     units, number = Units.of(encoded.dictionary), encoded.indices.to_numpy()
-    by = np.argsort(units.hashes(), kind="stable")
+    by = units.sorted()
     rank = np.empty(len(by), np.int64)
     rank[by] = np.arange(len(by))
     units, place = units.take(by), rank[number]
@@ -492,10 +514,13 @@ def _meet(table: pa.Table) -> pa.Table:
     for row, data, _, _ in units.steps(np.arange(len(units)), STEP_BYTES):
         np.add.at(held, data, trained[row])
     chunk, part = table.column("chunk").to_numpy(), table.column("part").to_numpy()
-    squeeze = zstandard.ZstdCompressor(1)
-    places = np.stack([chunk, part, [len(x) for x in slices]]).astype("<i8").tobytes()
+    squeeze, sizes = zstandard.ZstdCompressor(1), [len(x) for x in slices]
+    places = np.stack([chunk, part, sizes]).astype("<i8").tobytes()
+    gaps = np.diff(place, prepend=0)  # both sides are in the order of bytes, so places go up
+    begin = np.cumsum(sizes) - sizes
+    gaps[begin] = place[begin]
     figures = [int((words & (trained > 0)).sum()), int(trained[words].sum()), int(trained[ends].sum())]
-    row = (*figures, held.astype("<i8").tobytes(), *units.dumps(), squeeze.compress((2 * trained + others).astype("<i8").tobytes()), places, squeeze.compress(place.astype("<u4").tobytes()))
+    row = (*figures, held.astype("<i8").tobytes(), *units.dumps(), squeeze.compress((2 * trained + others).astype("<i8").tobytes()), places, packed(gaps))
     return pa.Table.from_batches([_batch([row], _RANGES)])
 
 
@@ -545,7 +570,8 @@ def learnt(ranges: DataFrame, tables: Broadcast, code: Code) -> bytes | None:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, units, trained, _ in _rows(batches):
             mixer = Mixer(tables.value, code)
-            seen = mixer.learn(units, trained)
+            by = np.argsort(units.hashes(), kind="stable")  # not by bytes: batches must be alike
+            seen = mixer.learn(units.take(by), trained[by])
             if seen:
                 yield _batch([(int(seen), mixer.dumps())], "bits long, model binary")
 
@@ -567,7 +593,7 @@ def document_scores(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
-    chunks = chunked(docs, max(2 * width(spark), size // RANGE_BYTES))
+    chunks = chunked(docs, max(width(spark), size // RANGE_BYTES))
     entries = chunks.filter("part is not null").select("chunk", "part", "sizes", "flat", "counts")
     ranges = stored(entries.groupBy("part").applyInArrow(_meet, _RANGES), "lm-ranges")
     figures = ranges.agg(*[F.sum(x) for x in ("types", "tokens", "ends")]).first()
@@ -591,28 +617,29 @@ def document_scores(docs: DataFrame) -> DataFrame:
         squeeze = zstandard.ZstdCompressor(1)
         mixer = Mixer(tables.value, code, model)
         for row, units, trained, others in _rows(batches):
-            scores = np.zeros((2, len(units)), "<f4")
+            scores = np.zeros((2, len(units)), np.int64)
             for k, some in enumerate((np.flatnonzero(others), np.flatnonzero(trained))):
-                scores[k, some] = mixer.score(units, some, k == 1)
-            places, a = np.frombuffer(_open(row["places"]), "<u4"), 0
+                scores[k, some] = np.rint(mixer.score(units, some, k == 1) * -UNIT)
+            gaps, a = opened(row["places"]), 0
             for chunk, part, n in np.frombuffer(row["chunks"], "<i8").reshape(3, -1).T.tolist():
-                mine = places[a : a + n]
+                mine = np.cumsum(gaps[a : a + n])
                 a += n
-                yield _batch([(chunk, part, squeeze.compress(trained[mine].astype("<i8").tobytes()), squeeze.compress(scores[:, mine].tobytes()))], _ANSWERS)
+                yield _batch([(chunk, part, squeeze.compress(trained[mine].astype("<i8").tobytes()), packed(scores[:, mine].ravel()))], _ANSWERS)
 
     answers = ranges.select("sizes", "flat", "counts", "chunks", "places").mapInArrow(score, _ANSWERS)
     per_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "counts", "scores")).alias("known"))  # a row per unit of the chunk at most
-    joined = chunks.filter("part is null").select("chunk", "docs", "tokens").join(per_chunk, "chunk", "left")
+    joined = chunks.filter("part is null").select("chunk", "docs", "heads", "words", "places").join(per_chunk, "chunk", "left")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 trim(4)
                 rows = np.frombuffer(row["docs"], _DOC)
-                head, word = np.frombuffer(_open(row["tokens"]), "<i4").reshape(2, -1)
+                place = np.concatenate([[-1], np.cumsum(opened(row["places"])) & 0xFFFFFFFF])
+                head, word = place[opened(row["heads"])], place[opened(row["words"])]
                 found = sorted(row["known"] or [], key=lambda r: r["part"])
                 counts = np.concatenate([*(np.frombuffer(_open(r["counts"]), "<i8") for r in found), [ends]])  # the last: end tokens
-                scores = np.concatenate([*(np.frombuffer(_open(r["scores"]), "<f4").reshape(2, -1) for r in found), np.zeros((2, 1))], axis=1, dtype=np.float64)
+                scores = np.concatenate([*(opened(r["scores"]).reshape(2, -1) for r in found), np.zeros((2, 1))], axis=1) / -UNIT
                 own = np.repeat(rows["train"], rows["n"])
                 first = np.cumsum(rows["n"]) - rows["n"]
                 score = np.add.reduceat(refined(scores[own, head] + scores[own, word], word, rows["n"]), first)
