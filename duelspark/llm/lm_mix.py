@@ -283,7 +283,9 @@ def _distinct(data: np.ndarray, a: np.ndarray, b: np.ndarray, kind: np.ndarray)
     size = b - a + 1
     ends = np.cumsum(size)
     begin = ends - size
-    flat = data[np.maximum(np.arange(ends[-1] if len(ends) else 0) + np.repeat(a - 1 - begin, size), 0)]
+    source = np.repeat((a - 1 - begin).astype(np.int32), size)  # slices fit into an Arrow array, so into 32 bits
+    source += np.arange(len(source), dtype=np.int32)
+    flat = data[np.maximum(source, 0, out=source)]
     flat[begin] = kind
     encoded = Units(flat, ends).array().dictionary_encode()
     return Units.of(encoded.dictionary), encoded.indices.to_numpy().astype(np.int64)
