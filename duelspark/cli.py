@@ -45,7 +45,7 @@ def ingest(spark, args):
 @stage("clean")
 def clean(spark, args):
     done = canonical.clean(spark.read.parquet(args.input))
-    return {"matches.parquet": done.matches, "rejected.csv": done.rejected, "report.json": done.report}
+    return {"matches.parquet": canonical.in_order(done.matches), "rejected.csv": done.rejected, "report.json": done.report}
 
 
 @stage("build-ratings")

@@ -42,15 +42,15 @@ def ledger(assessed: DataFrame, config: BankrollConfig = BankrollConfig()) -> Da
 
 
 def drawdown(book: DataFrame, start: float) -> DataFrame:
-    """Per bet: running peak (the start counts), drawdown and its share of the peak."""
-    sliced = book.withColumn("__slice", F.floor(F.unix_date("match_date") / SLICE_DAYS))
+    """Per bet: running peak (the start counts), drawdown and its share of the peak; balances count to 8 digits."""
+    sliced = book.withColumn("__slice", F.floor(F.unix_date("match_date") / SLICE_DAYS)).withColumn("__after", F.round("bankroll_after", 8))
     chain = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    peaks = sliced.groupBy("__slice").agg(F.max("bankroll_after").alias("m")).select("__slice", F.coalesce(F.max("m").over(chain), F.lit(start)).alias("__peak"))
+    peaks = sliced.groupBy("__slice").agg(F.max("__after").alias("m")).select("__slice", F.coalesce(F.max("m").over(chain), F.lit(start)).alias("__peak"))
     inside = Window.partitionBy("__slice").orderBy("bet_sequence").rowsBetween(Window.unboundedPreceding, 0)
-    peak = F.greatest(F.max("bankroll_after").over(inside), F.col("__peak"), F.lit(start))
+    peak = F.greatest(F.max("__after").over(inside), F.col("__peak"), F.lit(start))
     out = sliced.join(peaks, "__slice").withColumn("running_peak", peak)
-    out = out.withColumn("drawdown", F.col("running_peak") - F.col("bankroll_after")).withColumn("drawdown_percentage", F.col("drawdown") / F.col("running_peak"))
-    return out.drop("__slice", "__peak")
+    out = out.withColumn("drawdown", F.col("running_peak") - F.col("__after")).withColumn("drawdown_percentage", F.col("drawdown") / F.col("running_peak"))
+    return out.drop("__slice", "__peak", "__after")
 
 
 def longest_streaks(book: DataFrame) -> DataFrame:

@@ -66,14 +66,12 @@ def orient(raw: DataFrame) -> DataFrame:
 def duplicate_status(frame: DataFrame, key: str, order: str, ignore: tuple[str, ...] = ()) -> DataFrame:
     """Adds duplicate_status: null to keep, exact_duplicate (all but the first of equal rows), conflicting_duplicate.
 
-    Rows of a key are compared by a hash of all columns but ``ignore``; nulls compare equal."""
-    compared = [c for c in frame.columns if c not in (*ignore, key, order)]
-    content = F.sha2(F.to_json(F.struct(*compared), {"ignoreNullFields": "false"}), 256)
+    Rows of a key are compared by all columns but ``ignore``; nulls compare equal."""
+    content = F.struct(*[c for c in frame.columns if c not in (*ignore, key, order)])
     by_key = Window.partitionBy(key)
-    marked = frame.withColumn("__content", content)
-    marked = marked.withColumn("__differ", F.min("__content").over(by_key) != F.max("__content").over(by_key)).withColumn("__place", F.row_number().over(by_key.orderBy(order)))
-    status = F.when(F.col("__differ"), "conflicting_duplicate").when(F.col("__place") > 1, "exact_duplicate")
-    return marked.withColumn("duplicate_status", status).drop("__content", "__differ", "__place")
+    differ = ~F.min(content).over(by_key).eqNullSafe(F.max(content).over(by_key))
+    status = F.when(differ, "conflicting_duplicate").when(F.row_number().over(by_key.orderBy(order)) > 1, "exact_duplicate")
+    return frame.withColumn("duplicate_status", status)
 
 
 def clean(raw: DataFrame) -> Cleaned:
@@ -85,7 +83,12 @@ def clean(raw: DataFrame) -> Cleaned:
     late = oriented.filter("duplicate_status is not null").select("row_index", F.col("duplicate_status").alias("rejection_reason"), "source_file")
     rejected = judged.filter("rejection_reason is not null").select("row_index", "rejection_reason", "source_file").unionByName(late)
     report = quality_report(raw, matches, rejected)
-    return Cleaned(matches.drop("row_index").orderBy("match_date", "tournament_normalized", "round", "match_id"), rejected, report)
+    return Cleaned(matches.drop("row_index"), rejected, report)
+
+
+def in_order(matches: DataFrame) -> DataFrame:
+    """Canonical matches in the order that files hold them."""
+    return matches.orderBy("match_date", "tournament_normalized", "round", "match_id")
 
 
 def counts_map(frame: DataFrame, column: str, name: str) -> DataFrame:

@@ -20,14 +20,9 @@ REASONS = (
 SIDES = ("player_1", "player_2")
 
 
-def ordered_reasons(reasons: Column) -> Column:
-    """Distinct reasons in report order."""
-    known = F.array(*[F.lit(r) for r in REASONS])
-    return F.filter(known, lambda r: F.array_contains(reasons, r))
-
-
-def reasons_where(conditions: dict[str, Column]) -> Column:
-    return F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(name)) for name, c in conditions.items()]))
+def codes(conditions: dict[str, Column]) -> Column:
+    """The reasons whose condition holds, in report order, joined by bars."""
+    return F.concat_ws("|", *[F.when(conditions[r], F.lit(r)) for r in REASONS if r in conditions])
 
 
 def any_of(conditions: dict[str, Column]) -> Column:
@@ -56,38 +51,39 @@ def assess(frame: DataFrame, limits: ValueThresholds = ValueThresholds()) -> Dat
             "invalid_odds": o1.isNotNull() & o2.isNotNull() & ~market_ok,
             "invalid_probability": ~pair_ok,
     }
-    out = frame.withColumn("__base", reasons_where(common)).withColumn("overround", F.when(market_ok, N.overround(o1, o2)))
+    figures, own = [], {}
     for side, odds, p, other in (("player_1", o1, p1, o2), ("player_2", o2, p2, o1)):
-        model, market = F.when(pair_ok, p), F.when(market_ok, N.no_vig(odds, other))
-        edge, value = model - market, model * F.when(market_ok, odds) - 1
-        price = F.when(market_ok, odds)
-        own = {
-                "unsupported_match": model.isNull() | market.isNull(),
-                "probability_below_threshold": model.isNotNull() & market.isNotNull() & (model < limits.probability),
-                "edge_below_threshold": edge < limits.edge,
-                "expected_value_below_threshold": value < limits.expected_value,
-                "odds_below_minimum": model.isNotNull() & (price < limits.min_odds),
-                "odds_above_maximum": model.isNotNull() & (price > limits.max_odds),
+        model, market, price = F.when(pair_ok, p), F.when(market_ok, N.no_vig(odds, other)), F.when(market_ok, odds)
+        figures += [
+            model.alias(f"{side}_model_probability"),
+            price.alias(f"{side}_decimal_odds"),
+            F.try_divide(F.lit(1.0), price).alias(f"{side}_raw_implied_probability"),
+            market.alias(f"{side}_market_probability"),
+            (model - market).alias(f"{side}_edge"),
+            (model * price - 1).alias(f"{side}_expected_value"),
+        ]
+        model, market, price, edge, value = (F.col(f"{side}_{c}") for c in ("model_probability", "market_probability", "decimal_odds", "edge", "expected_value"))
+        own[side] = {
+            "unsupported_match": F.col("__unsupported_match") | model.isNull() | market.isNull(),
+            "probability_below_threshold": market.isNotNull() & (model < limits.probability),
+            "edge_below_threshold": edge < limits.edge,
+            "expected_value_below_threshold": value < limits.expected_value,
+            "odds_below_minimum": model.isNotNull() & (price < limits.min_odds),
+            "odds_above_maximum": model.isNotNull() & (price > limits.max_odds),
         }
-        out = (
-            out.withColumn(f"{side}_model_probability", model)
-            .withColumn(f"{side}_decimal_odds", price)
-            .withColumn(f"{side}_raw_implied_probability", F.try_divide(F.lit(1.0), price))
-            .withColumn(f"{side}_market_probability", market)
-            .withColumn(f"{side}_edge", edge)
-            .withColumn(f"{side}_expected_value", value)
-            .withColumn(f"__{side}", ordered_reasons(F.concat("__base", reasons_where(own))))
-            .withColumn(f"{side}_eligible", ~any_of({**common, **{f"own {k}": c for k, c in own.items()}}))
-            .withColumn(f"{side}_reason_codes", F.array_join(f"__{side}", "|"))
-        )
+    # each step's booleans are columns of the next, so no expression is worked out twice
+    flag = lambda c, name: F.coalesce(c, F.lit(False)).alias(name)
+    out = frame.select("*", *[flag(c, f"__{r}") for r, c in common.items()], F.when(market_ok, N.overround(o1, o2)).alias("overround"), *figures)
+    out = out.select("*", *[flag(c, f"__{side}_{r}") for side in SIDES for r, c in own[side].items()])
+    why = {side: {**{r: F.col(f"__{r}") for r in common}, **{r: F.col(f"__{side}_{r}") for r in own[side]}} for side in SIDES}
+    out = out.select("*", *[(~any_of(why[s])).alias(f"{s}_eligible") for s in SIDES], *[codes(why[s]).alias(f"{s}_reason_codes") for s in SIDES])
     out = out.withColumn("__pick", F.least(*[_choice(s) for s in SIDES]))  # nulls are passed over
-    n = F.col("player_1_eligible").cast("int") + F.col("player_2_eligible").cast("int")
-    decision = F.when(n == 0, ordered_reasons(F.concat("__player_1", "__player_2"))).when(n > 1, F.array(F.lit("multiple_eligible_selections"))).otherwise(F.array().cast("array<string>"))
-    out = out.withColumn("has_recommendation", n > 0).withColumn("recommended_side", F.coalesce("__pick.side", F.lit("none")))
-    for name in ("player", "odds", "probability", "market_probability", "edge", "expected_value"):
-        out = out.withColumn(f"recommended_{name}", F.col(f"__pick.{name}"))
-    out = out.withColumn("decision_reason_codes", F.array_join(decision, "|")).withColumn("odds_valid", F.col("overround").isNotNull())
-    return out.drop("__base", "__player_1", "__player_2", "__pick")
+    first, second = (F.col(f"{s}_eligible") for s in SIDES)
+    both = codes({r: why["player_1"][r] | why["player_2"][r] for r in why["player_1"]})
+    decision = F.when(first & second, "multiple_eligible_selections").when(first | second, "").otherwise(both)
+    picked = [F.col(f"__pick.{c}").alias(f"recommended_{c}") for c in ("player", "odds", "probability", "market_probability", "edge", "expected_value")]
+    out = out.select("*", (first | second).alias("has_recommendation"), F.coalesce("__pick.side", F.lit("none")).alias("recommended_side"), *picked, decision.alias("decision_reason_codes"), F.col("overround").isNotNull().alias("odds_valid"))
+    return out.drop("__pick", *[f"__{r}" for r in common], *[f"__{side}_{r}" for side in SIDES for r in own[side]])
 
 
 def _choice(side: str) -> Column:

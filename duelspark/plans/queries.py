@@ -111,7 +111,7 @@ def price_buckets(spark, folder):
 
 RAW = """(SELECT k AS row_index, CASE WHEN k % 53 = 0 THEN NULL ELSE match_date END AS match_date,
   concat(' ', upper(tournament), ' - open ') AS tournament,
-  CASE k % 8 WHEN 0 THEN 'Indoor Hard' WHEN 1 THEN 'clay' WHEN 2 THEN 'Red Clay' WHEN 3 THEN 'GRASS' WHEN 4 THEN 'Carpet' WHEN 5 THEN 'hardcourt' WHEN 6 THEN 'Hard (i)' ELSE 'Grass' END AS surface,
+  CASE WHEN k % 97 = 0 THEN 'H' WHEN k % 89 = 0 THEN ' c ' WHEN k % 83 = 0 THEN 'G' ELSE CASE k % 8 WHEN 0 THEN 'Indoor Hard' WHEN 1 THEN 'clay' WHEN 2 THEN 'Red Clay' WHEN 3 THEN 'GRASS' WHEN 4 THEN 'Carpet' WHEN 5 THEN 'hardcourt' WHEN 6 THEN 'Hard (i)' ELSE 'Grass' END END AS surface,
   CASE k % 9 WHEN 0 THEN '1st Round' WHEN 1 THEN 'Quarterfinals' WHEN 2 THEN 'The Final' WHEN 3 THEN 'Semi-Finals' WHEN 4 THEN 'round of 16' WHEN 5 THEN 'RR' WHEN 6 THEN NULL WHEN 7 THEN 'Bronze Medal' ELSE 'somewhere' END AS round,
   CASE WHEN k % 61 = 0 THEN 4 WHEN k % 5 = 0 THEN NULL ELSE best_of END AS best_of,
   CASE WHEN k % 59 = 0 THEN '  ' ELSE concat(CASE WHEN player_1_won THEN player_1 ELSE player_2 END, '-Smith  J.') END AS winner,
@@ -119,9 +119,9 @@ RAW = """(SELECT k AS row_index, CASE WHEN k % 53 = 0 THEN NULL ELSE match_date
   CASE WHEN k % 67 = 0 THEN 'W/O' WHEN k % 71 = 0 THEN 'Retired (knee)' WHEN k % 3 = 0 THEN NULL ELSE 'Completed' END AS status_or_comment,
   concat('season_', cast(cast(year AS bigint) AS string), '.csv') AS source_file FROM mv)"""
 WORDS = lambda c: f"nullif(trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g')), '')"
-SURFACE_SQL = f"""CASE WHEN {WORDS('surface')} LIKE '%hard%' AND {WORDS('surface')} NOT LIKE '%clay%' THEN 'Hard' WHEN {WORDS('surface')} = 'clay' OR {WORDS('surface')} LIKE '% clay' THEN 'Clay'
-  WHEN {WORDS('surface')} = 'grass' OR {WORDS('surface')} LIKE '% grass' THEN 'Grass' ELSE 'Other' END"""
-ROUND_SQL = "CASE " + " ".join(f"WHEN {WORDS('round')} IN ({', '.join(repr(t) for t in texts.split('|'))}) THEN '{name}'" for name, texts in T.ROUNDS.items()) + " ELSE 'Unknown' END"
+SURFACE_SQL = f"""CASE WHEN {WORDS('surface')} LIKE '%hard%' AND {WORDS('surface')} NOT LIKE '%clay%' OR {WORDS('surface')} = 'h' THEN 'Hard' WHEN {WORDS('surface')} IN ('clay', 'c') OR {WORDS('surface')} LIKE '% clay' THEN 'Clay'
+  WHEN {WORDS('surface')} IN ('grass', 'g') OR {WORDS('surface')} LIKE '% grass' THEN 'Grass' ELSE 'Other' END"""
+ROUND_SQL = "CASE " + " ".join(f"WHEN {WORDS('round')} = '{text}' THEN '{name}'" for text, name in T.ROUNDS.items()) + " ELSE 'Unknown' END"
 REASON_SQL = f"""CASE WHEN match_date IS NULL THEN 'invalid_match_date' WHEN nullif(trim(winner), '') IS NULL THEN 'missing_winner' WHEN nullif(trim(loser), '') IS NULL THEN 'missing_loser'
   WHEN regexp_matches(coalesce(status_or_comment, ''), '(?i)\\b(walk\\s*-?\\s*over|w\\s*/?\\s*o|wo)\\b') THEN 'walkover' WHEN {WORDS('winner')} = {WORDS('loser')} THEN 'same_player'
   WHEN {SURFACE_SQL} = 'Other' THEN 'unsupported_surface' WHEN coalesce(best_of, 3) NOT IN (3, 5) THEN 'invalid_best_of' END"""
@@ -154,7 +154,8 @@ CANON = f"""(SELECT *, substr(sha256(concat(strftime(match_date, '%Y-%m-%d'), '|
 
 @query("canonical_matches", f"""SELECT match_id, match_date, tn AS tournament_normalized, sf AS surface, rd AS round, coalesce(best_of, 3)::BIGINT AS best_of, least(wn, ln) AS player_1_normalized,
   greatest(wn, ln) AS player_2_normalized, wn < ln AS player_1_won, regexp_matches(coalesce(status_or_comment, ''), '(?i)\\b(ret|retired|retirement|abandoned)\\b') AS is_retirement
-  FROM {CANON} QUALIFY count(*) OVER (PARTITION BY match_id) = 1""")
+  FROM {CANON} QUALIFY count(DISTINCT concat_ws('~', trim(tournament), sf, coalesce(best_of, 3), trim(winner), trim(loser), regexp_matches(coalesce(status_or_comment, ''), '(?i)\\b(ret|retired|retirement|abandoned)\\b'))) OVER (PARTITION BY match_id) = 1
+    AND row_number() OVER (PARTITION BY match_id ORDER BY row_index) = 1""")
 def canonical_matches(spark, folder):
     return canonical.clean(raw_matches(spark, folder)).matches.select("match_id", "match_date", "tournament_normalized", "surface", "round", "best_of", "player_1_normalized", "player_2_normalized", "player_1_won", "is_retirement")
 
@@ -404,7 +405,7 @@ def walk_forward_rows(spark, folder):
 
 # ---- metrics --------------------------------------------------------------------------------------
 
-METRIC_SQL = f"count(*)::BIGINT AS sample_count, {r('avg(y)', 'base_rate')}, {r(f'avg({LL(chr(121), chr(112))})', 'log_loss')}, {r('avg((p - y) * (p - y))', 'brier_score')}, {r('avg(((p >= 0.5)::INT = y)::INT)', 'accuracy')}, {r('avg(p)', 'mean_probability')}, {r('min(p)', 'min_probability')}, {r('max(p)', 'max_probability')}"
+METRIC_SQL = f"count(*)::BIGINT AS sample_count, {r('avg(y)', 'base_rate')}, {r(f'avg({LL("y", "p")})', 'log_loss')}, {r('avg((p - y) * (p - y))', 'brier_score')}, {r('avg(((p >= 0.5)::INT = y)::INT)', 'accuracy')}, {r('avg(p)', 'mean_probability')}, {r('min(p)', 'min_probability')}, {r('max(p)', 'max_probability')}"
 ELIGIBLE = "(SELECT *, player_1_won::INT AS y, p_model AS p FROM mv WHERE NOT is_retirement)"
 
 
@@ -438,7 +439,7 @@ def ece_mce(spark, folder):
     return metrics.calibration_summary(table, ["part"])
 
 
-COMPARE = lambda m, q: f"{r(f'avg({LL(chr(121), m)})', 'model_log_loss')}, {r(f'avg(({m} - y) * ({m} - y))', 'model_brier')}, {r(f'avg({LL(chr(121), q)})', 'market_log_loss')}, {r(f'avg(({q} - y) * ({q} - y))', 'market_brier')}, {r(f'avg({LL(chr(121), q)}) - avg({LL(chr(121), m)})', 'log_loss_improvement')}, {r(f'avg(({q} - y) * ({q} - y)) - avg(({m} - y) * ({m} - y))', 'brier_improvement')}"
+COMPARE = lambda m, q: f"{r(f'avg({LL("y", m)})', 'model_log_loss')}, {r(f'avg(({m} - y) * ({m} - y))', 'model_brier')}, {r(f'avg({LL("y", q)})', 'market_log_loss')}, {r(f'avg(({q} - y) * ({q} - y))', 'market_brier')}, {r(f'avg({LL("y", q)}) - avg({LL("y", m)})', 'log_loss_improvement')}, {r(f'avg(({q} - y) * ({q} - y)) - avg(({m} - y) * ({m} - y))', 'brier_improvement')}"
 
 
 @query("bookmaker_baseline", f"SELECT part, count(*)::BIGINT AS sample_count, {r('avg(o)', 'mean_overround')}, {r('min(o)', 'min_overround')}, {r('max(o)', 'max_overround')}, {COMPARE('p_model', 'q')} FROM {PREPARED} GROUP BY part")
@@ -493,7 +494,7 @@ LEDGER = f"""{ASSESS}, b AS (SELECT match_id, match_date, surface, CASE pick WHE
     CASE WHEN is_retirement THEN 'void' WHEN (pick = 1) = player_1_won THEN 'won' ELSE 'lost' END AS result FROM v WHERE pick IS NOT NULL AND part = 'test'),
   g AS (SELECT *, CASE result WHEN 'won' THEN odds - 1 WHEN 'lost' THEN -1 ELSE 0 END AS gain FROM b),
   k AS (SELECT *, row_number() OVER (ORDER BY match_date, match_id) AS bet_sequence, 10000 * product(1 + 0.005 * gain) OVER (ORDER BY match_date, match_id ROWS UNBOUNDED PRECEDING) AS after FROM g),
-  z AS (SELECT *, after / (1 + 0.005 * gain) AS before, greatest(10000, max(after) OVER (ORDER BY bet_sequence ROWS UNBOUNDED PRECEDING)) AS peak FROM k)"""
+  z AS (SELECT *, after / (1 + 0.005 * gain) AS before, round(after, 8) AS held, greatest(10000, max(round(after, 8)) OVER (ORDER BY bet_sequence ROWS UNBOUNDED PRECEDING)) AS peak FROM k)"""
 
 
 def _book(spark: SparkSession, folder: str) -> DataFrame:
@@ -505,7 +506,7 @@ def bankroll_ledger(spark, folder):
     return _book(spark, folder).select("bet_sequence", "match_id", "result", "bankroll_before", "stake", "profit_loss", "bankroll_after")
 
 
-@query("drawdown", f"WITH {LEDGER} SELECT bet_sequence::BIGINT AS bet_sequence, {r('peak', 'running_peak')}, {r('peak - after', 'drawdown')}, {r('(peak - after) / peak', 'drawdown_percentage')} FROM z")
+@query("drawdown", f"WITH {LEDGER} SELECT bet_sequence::BIGINT AS bet_sequence, {r('peak', 'running_peak')}, {r('peak - held', 'drawdown')}, {r('(peak - held) / peak', 'drawdown_percentage')} FROM z")
 def drawdown(spark, folder):
     return bankroll.drawdown(_book(spark, folder), 10_000.0).select("bet_sequence", "running_peak", "drawdown", "drawdown_percentage")
 
@@ -522,7 +523,7 @@ def perf_by_surface(spark, folder):
 
 
 @query("ledger_summary", f"""WITH {LEDGER} SELECT count(*)::BIGINT AS bets_placed, (count(*) FILTER (WHERE result = 'won'))::BIGINT AS wins, (count(*) FILTER (WHERE result = 'lost'))::BIGINT AS losses, (count(*) FILTER (WHERE result = 'void'))::BIGINT AS voids,
-  {r('max(peak - after)', 'maximum_drawdown')}, {r('max((peak - after) / peak)', 'maximum_drawdown_percentage')} FROM z""")
+  {r('max(peak - held)', 'maximum_drawdown')}, {r('max((peak - held) / peak)', 'maximum_drawdown_percentage')} FROM z""")
 def ledger_summary(spark, folder):
     return bankroll.ledger_summary(_book(spark, folder), BankrollConfig()).select("bets_placed", "wins", "losses", "voids", "maximum_drawdown", "maximum_drawdown_percentage")
 
@@ -632,7 +633,7 @@ def _improvement() -> Column:
     return N.row_log_loss(F.col("y"), F.col("market_probability")) - N.row_log_loss(F.col("y"), F.col("p_model"))
 
 
-@query("block_sums", f"SELECT concat(year::INT, '-W', lpad(week(match_date)::VARCHAR, 2, '0')) AS block, {r(f'sum({LL(chr(121), chr(113))} - ({LL(chr(121), chr(112) + chr(95) + chr(109) + chr(111) + chr(100) + chr(101) + chr(108))}))', 'total')}, count(*)::BIGINT AS n FROM {PREPARED} GROUP BY 1")
+@query("block_sums", f"SELECT concat(year::INT, '-W', lpad(week(match_date)::VARCHAR, 2, '0')) AS block, {r(f'sum({LL("y", "q")} - ({LL("y", "p_model")}))', 'total')}, count(*)::BIGINT AS n FROM {PREPARED} GROUP BY 1")
 def block_sums(spark, folder):
     return resample.block_sums(prepared(spark, folder), [], _improvement())
 
@@ -707,7 +708,7 @@ def training_summary(spark, folder):
     return reports.training_summary(prepared(spark, folder), ("rank_1",))
 
 
-@query("market_comparison", f"SELECT part, (count(*) FILTER (WHERE m IS NOT NULL))::BIGINT AS compared_rows, (count(*) FILTER (WHERE m IS NULL))::BIGINT AS skipped_rows, {r(f'avg({LL(chr(121), chr(112))}) FILTER (WHERE m IS NOT NULL)', 'model_log_loss')}, {r(f'avg({LL(chr(121), chr(109))}) FILTER (WHERE m IS NOT NULL)', 'other_log_loss')}, {r('avg((p - y) * (p - y)) FILTER (WHERE m IS NOT NULL)', 'model_brier')}, {r('avg((m - y) * (m - y))', 'other_brier')}, {r(f'avg({LL(chr(121), chr(109))}) FILTER (WHERE m IS NOT NULL) - avg({LL(chr(121), chr(112))}) FILTER (WHERE m IS NOT NULL)', 'log_loss_improvement')} FROM (SELECT *, CASE WHEN {VALID} THEN {MARKET} END AS m FROM {ELIGIBLE}) GROUP BY part")
+@query("market_comparison", f"SELECT part, (count(*) FILTER (WHERE m IS NOT NULL))::BIGINT AS compared_rows, (count(*) FILTER (WHERE m IS NULL))::BIGINT AS skipped_rows, {r(f'avg({LL("y", "p")}) FILTER (WHERE m IS NOT NULL)', 'model_log_loss')}, {r(f'avg({LL("y", "m")}) FILTER (WHERE m IS NOT NULL)', 'other_log_loss')}, {r('avg((p - y) * (p - y)) FILTER (WHERE m IS NOT NULL)', 'model_brier')}, {r('avg((m - y) * (m - y))', 'other_brier')}, {r(f'avg({LL("y", "m")}) FILTER (WHERE m IS NOT NULL) - avg({LL("y", "p")}) FILTER (WHERE m IS NOT NULL)', 'log_loss_improvement')} FROM (SELECT *, CASE WHEN {VALID} THEN {MARKET} END AS m FROM {ELIGIBLE}) GROUP BY part")
 def market_comparison(spark, folder):
     frame = _predictions(spark, folder)
     a, b = F.col("odds_1"), F.col("odds_2")

@@ -40,7 +40,6 @@ def load(spark: SparkSession, folder: str, pattern: str = "atp_matches_*.csv") -
 def normalise(raw: DataFrame) -> DataFrame:
     named = T.with_comparable(raw.withColumnsRenamed({"winner_name": "winner", "loser_name": "loser", "tourney_name": "tournament", "surface": "raw_surface", "round": "raw_round"}), ["winner", "loser", "tournament", "raw_round"])
     score = F.coalesce("score", F.lit(""))
-    surface = F.initcap(F.trim("raw_surface"))
     date = F.to_date(F.try_to_timestamp("tourney_date", F.lit("yyyyMMdd")))
     counts = [N.number(F.col(f"{s}_{c}")).alias(f"{side}_{name}") for s, side in (("w", "winner"), ("l", "loser")) for name, c in COUNT_COLUMNS.items()]
     return named.select(
@@ -50,7 +49,7 @@ def normalise(raw: DataFrame) -> DataFrame:
         "tournament_normalized",
         date.alias("match_date"),
         F.unix_date(date).alias("day"),
-        F.when(surface.isin(*T.SURFACES), surface).otherwise("Other").alias("surface"),
+        T.external_surface(F.col("raw_surface")).alias("surface"),
         T.round_name(F.col("raw_round_normalized")).alias("round"),
         *[N.number(F.col(c)).cast("long").alias(c) for c in ("match_num", "winner_id", "loser_id", "best_of")],
         "winner",
