@@ -112,6 +112,11 @@ def reason_counts(assessed: DataFrame) -> DataFrame:
     return assessed.select(tokens).filter("reason <> ''").groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def top_reasons(assessed: DataFrame, most: int = 5) -> DataFrame:
+    """The commonest reasons (a top-k report); ties go by name."""
+    return reason_counts(assessed).orderBy(F.desc("n"), "reason").limit(most)
+
+
 def value_summary(assessed: DataFrame) -> DataFrame:
     picked = F.col("has_recommendation")
     return assessed.agg(

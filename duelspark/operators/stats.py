@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .metrics import join_validated
+
 # Metrics and the (successes, trials) they are made of, from own (o) and opposing (x) counts.
 METRICS = {
     "serve_points_won_pct": ("o_first_won + o_second_won", "o_svpt"),
@@ -78,7 +81,7 @@ def decayed(metrics: DataFrame, keys: list[str], half_life: float) -> DataFrame:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["day", "external_row", "side"], kind="mergesort")
         values, valid, days = frame[columns].to_numpy(), frame["valid"].to_numpy(), frame["day"].to_numpy()
-        held, count, out, counts = values[:1].sum(axis=0) * 0.0, 0, values * 0.0, []
+        held, count, out, counts = np.zeros(len(columns)), 0, np.zeros(values.shape), []
         at = 0
         while at < len(days):
             end = at
@@ -127,3 +130,85 @@ def workload(stats: DataFrame, days: tuple[int, ...] = (3, 7, 14)) -> DataFrame:
         out = out.withColumn(f"minutes_last_{k}d", F.coalesce(F.sum(minutes).over(frame), F.lit(0.0)))
         out = out.withColumn(f"known_last_{k}d", F.count(minutes).over(frame)).withColumn(f"missing_last_{k}d", F.count(missing).over(frame))
     return out.select("external_row", "side", "player", *[f"{x}_last_{k}d" for k in days for x in ("minutes", "known", "missing")])
+
+
+def prematch_features(project: DataFrame, external: DataFrame, links: DataFrame) -> DataFrame:
+    """One row per linked match: what both players' external matches before its day say.
+
+    ``project``: match_id, day, surface, player_1_won; ``links``: match_id and external_row. A linked match asks
+    with probe rows, on its own surface, that never count themselves. Columns: per metric the decayed rate of
+    both players and their difference, overall and on the surface; numbers of earlier valid matches; decayed
+    points; workload. A match_id that is linked twice keeps the row of its earlier external match."""
+    ids = external.select("external_row", "winner_id", "loser_id")
+    first = links.filter("external_row is not null").groupBy("match_id").agg(F.min("external_row").alias("external_row"))
+    asked = project.select("match_id", "day", "surface", "player_1_won").join(first, "match_id").join(ids, "external_row")
+    own = F.when(F.col("player_1_won"), F.col("winner_id")).otherwise(F.col("loser_id"))
+    other = F.when(F.col("player_1_won"), F.col("loser_id")).otherwise(F.col("winner_id"))
+    seen = player_stats(external)
+    sides = F.inline(F.array(F.struct(F.lit(3).alias("side"), own.alias("player")), F.struct(F.lit(4).alias("side"), other.alias("player"))))
+    probes = asked.select("external_row", "day", "surface", F.lit(False).alias("valid"), sides).filter("player is not null")
+    every = seen.unionByName(probes, allowMissingColumns=True)
+    mine = F.col("side") > 2
+    overall, surface = (decayed_rates(every, by_surface).filter(mine) for by_surface in (False, True))
+    at = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
+    wide = lambda rates, prefix, extra: rates.groupBy("external_row", "side").agg(
+        *[at(m, "rate").alias(f"{prefix}ewm_{m}") for m in METRICS], F.max("matches_before").alias(f"{prefix}point_stats_match_count"), *extra
+    )
+    points = [at(m, "decayed_t").alias(name) for m, name in (("serve_points_won_pct", "decayed_service_points"), ("return_points_won_pct", "decayed_return_points"))]
+    load = workload(every).filter(mine).drop("player")
+    load = load.withColumnsRenamed({f"{x}_last_{k}d": f"{x}_duration_matches_last_{k}d" for k in (3, 7, 14) for x in ("known", "missing")})
+    player = wide(overall, "", points).join(wide(surface, "surface_", []), ["external_row", "side"]).join(load, ["external_row", "side"])
+    names = [c for c in player.columns if c not in ("external_row", "side")]
+    one, two = (player.filter(F.col("side") == s).select("external_row", *[F.col(c).alias(f"player_{n}_{c}") for c in names]) for n, s in ((1, 3), (2, 4)))
+    both = asked.select("match_id", "external_row").join(one, "external_row").join(two, "external_row")
+    differ = [c for c in names if "ewm_" in c or c.startswith("minutes_")]
+    least = [c for c in names if c.endswith("point_stats_match_count")]
+    return both.select(
+        "match_id", *[f"player_{n}_{c}" for c in names for n in (1, 2)], *[(F.col(f"player_1_{c}") - F.col(f"player_2_{c}")).alias(f"{c}_diff") for c in differ], *[F.least(f"player_1_{c}", f"player_2_{c}").alias(f"{c}_min") for c in least]
+    )
+
+
+def enrich(base: DataFrame, features: DataFrame) -> DataFrame:
+    """``base`` with the pre-match columns beside its own; fails if a match_id has several feature rows."""
+    return join_validated(base, features, "match_id")
+
+
+def leakage_audit(project: DataFrame, external: DataFrame, links: DataFrame, features: DataFrame) -> DataFrame:
+    """One row: linked rows, days of external matches, players with and without earlier point history, and rows
+    whose counts exceed the player's valid matches before the day (leaks; computed, not assumed)."""
+    counts = features.select("match_id", F.inline(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"player_{n}_point_stats_match_count").alias("count"), F.col(f"player_{n}_surface_point_stats_match_count").alias("on_surface")) for n in (1, 2)])))
+    valid = player_stats(external).filter("valid").groupBy("player", "day").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("player").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = valid.select("player", F.col("day").alias("from_day"), F.coalesce(F.lead("day").over(Window.partitionBy("player").orderBy("day")), F.lit(2**31 - 1)).alias("to_day"), F.sum("n").over(upto).alias("upto"))
+    first = links.filter("external_row is not null").groupBy("match_id").agg(F.min("external_row").alias("external_row"))
+    who = project.select("match_id", "day", "player_1_won").join(first, "match_id").join(external.select("external_row", "winner_id", "loser_id"), "external_row")
+    one = F.when(F.col("player_1_won"), F.col("winner_id")).otherwise(F.col("loser_id"))
+    two = F.when(F.col("player_1_won"), F.col("loser_id")).otherwise(F.col("winner_id"))
+    rows = who.select("match_id", "day", F.inline(F.array(F.struct(F.lit(1).alias("n"), one.alias("player")), F.struct(F.lit(2).alias("n"), two.alias("player"))))).join(counts, ["match_id", "n"])
+    on = (rows["player"] == total["player"]) & (total["from_day"] < rows["day"]) & (rows["day"] <= total["to_day"])
+    judged = rows.join(total, on, "left").select(rows["match_id"], rows["player"], "count", "on_surface", F.coalesce("upto", F.lit(0)).alias("upto"))
+    distinct = lambda c: F.count_distinct(F.when(c, F.col("player")))
+    audit = judged.agg(
+        F.count_distinct("match_id").alias("target_rows"), F.count_if((F.col("count") > F.col("upto")) | (F.col("on_surface") > F.col("upto"))).alias("leaks"), distinct(F.col("count") == 0).alias("players_with_zero_prior_point_history"),
+        distinct(F.col("count") > 0).alias("players_with_overall_history"), distinct(F.col("on_surface") > 0).alias("players_with_surface_history"),
+    )
+    return audit.crossJoin(external.agg(F.count_distinct("day").alias("same_day_groups_processed")))  # one row each
+
+
+def invalid_counts(external: DataFrame) -> DataFrame:
+    """(side, check, rows): how often each check of a side's counts fails; a side with a missing count fails one of its own."""
+    rows = []
+    for side in ("winner", "loser"):
+        c = lambda name: F.col(f"{side}_{name}")  # noqa: B023, E731
+        missing = F.greatest(*[c(n).isNull().cast("int") for n in COUNTS]) > 0
+        checks = {
+            "missing": missing,
+            "no service points": c("svpt") <= 0,
+            "first_in outside svpt": ~c("first_in").between(0, c("svpt")),
+            "first_won outside first_in": ~c("first_won").between(0, c("first_in")),
+            "second_won outside second serves": ~c("second_won").between(0, c("svpt") - c("first_in")),
+            "bp_saved outside bp_faced": ~c("bp_saved").between(0, c("bp_faced")),
+            "negative ace or df": (c("ace") < 0) | (c("df") < 0),
+        }
+        rows += [F.struct(F.lit(side).alias("side"), F.lit(name).alias("check"), F.coalesce(bad if name == "missing" else ~missing & bad, F.lit(False)).alias("bad")) for name, bad in checks.items()]
+    return external.select(F.inline(F.array(*rows))).groupBy("side", "check").agg(F.count_if("bad").alias("rows"))

@@ -332,11 +332,6 @@ def decayed_rates_every_metric(spark, folder):
     return stats.decayed_rates(stats.player_stats(external_matches(spark, folder)))
 
 
-@query("surface_decayed_rates")
-def surface_decayed_rates(spark, folder):
-    return stats.decayed_rates(stats.player_stats(external_matches(spark, folder)), by_surface=True)
-
-
 # ---- record linkage -------------------------------------------------------------------------------
 
 PROJECT = """(SELECT match_id, k, match_date, tournament AS tournament_normalized, round, concat(CASE WHEN player_1_won THEN player_1 ELSE player_2 END, ' a') AS winner_normalized,
@@ -684,22 +679,6 @@ def market_coefficients(spark, folder):
     return table.withColumn("category", F.when(F.col("feature") == models.MARKET, models.market_category(F.col("coefficient"))))
 
 
-@query("market_anchor_metrics")
-def market_anchor_metrics(spark, folder):
-    """Each source as the anchor, on its own rows and on common rows, all fits of a kind at once."""
-    base = history.build_features(matches(spark, folder)).filter("not is_retirement").withColumn("y", F.col("player_1_won").cast("double"))
-    long = markets.by_source(base).filter("available").withColumn("scope", F.explode(F.when(F.col("common"), F.array(F.lit("source_specific"), F.lit("common_all_sources"))).otherwise(F.array(F.lit("source_specific")))))
-    named = reduce(lambda a, b: a.when(F.col("source") == b[1], b[0]), enumerate(markets.SOURCES), F.when(F.lit(False), -1))
-    rows = long.withColumn("market_probability", F.col("probability")).withColumn(models.MARKET, N.logit(F.col("probability")))
-    rows = models.fold_rows(rows, FOLDS).withColumn("g", (F.col("fold") * 10 + named * 2 + (F.col("scope") == "common_all_sources").cast("int")).cast("long")).persist()
-    train, test = rows.filter("role = 'train'"), rows.filter("role = 'evaluate'")
-    keep = ["source", "scope", "fold", "y", "p"]
-    parts = [test.withColumn("p", F.col("market_probability")).select(F.lit("raw_market").alias("architecture"), *keep)]
-    for name, features in (("market_recalibration", (models.MARKET,)), ("free_form_workload", (models.MARKET, *models.FORM))):
-        parts.append(models.predict_groups(test, models.fit_groups(train, features), "p").select(F.lit(name).alias("architecture"), *keep))
-    return metrics.probability_metrics(reduce(DataFrame.unionByName, parts), ["source", "scope", "architecture", "fold"], "y", "p")
-
-
 # ---- reports --------------------------------------------------------------------------------------
 
 

@@ -8,8 +8,11 @@ import duckdb
 import pandas as pd
 import pytest
 
+from duelspark.plans import catalogue as every
 from duelspark.plans import queries as catalogue
 
+assert every.QUERIES is catalogue.QUERIES
+
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the driver's tables")
 
