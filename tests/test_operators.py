@@ -163,7 +163,7 @@ def test_ledger_equals_a_loop(spark):
 
 def test_text_functions(spark):
     frame = spark.createDataFrame([("O’Connell,  Christopher",), ("FIne Straße Đ",), ("",), (None,), ("de la Cruz J.",)], "n string")
-    rows = T.with_comparable(frame, ["n"]).withColumn("shown", T.display_text("n")).withColumn("keys", T.name_keys(F.col("n_normalized"))).collect()
+    rows = T.with_comparable(frame, ["n"]).withColumn("shown", T.display_text(F.col("n"))).withColumn("keys", T.name_keys(F.col("n_normalized"))).collect()
     assert rows[0]["shown"] == "O'Connell, Christopher" and rows[0]["n_normalized"] == "o connell christopher"
     assert rows[1]["n_normalized"] == "fine strasse" and rows[2]["n_normalized"] is None and rows[3]["keys"] == []
     assert {"de la cruz j", "delacruzj", "j dlc", "dlc j", "jdlc", "cruzj dlc"} <= set(rows[4]["keys"])
