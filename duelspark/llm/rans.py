@@ -2,8 +2,9 @@
 
 One frequency table serves all blocks. A block holds whole token runs; symbol k belongs to lane
 k mod lanes, each lane is a 64-bit state renormalised by 32-bit words, and all lanes of a step are
-one numpy operation. Every ``interval`` steps the decoder's states and stream position are kept,
-so a block can be entered in its middle; each part carries a crc32.
+one numpy operation. A block of ``PARTS`` steps or more has at least ``PARTS`` checkpoints: there the decoder's
+states and stream position are kept, so that any part can be decoded alone, or all parts side by side. The
+head with the checkpoints carries a crc32, and so does the stream of each part.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ import numpy as np
 MAGIC = b"RNS1"
 _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<4sBHIII")  # magic, scale, lanes, tokens, interval, words
-MAX_LANES = 4096
+#: Most lanes of a block, steps that a block has at least before it gets more lanes, and its checkpoints.
+MAX_LANES, LEAST_STEPS, PARTS = 1024, 1024, 16
 
 
 class Table:
@@ -64,10 +66,11 @@ class Table:
         return cls(np.cumsum(both[:n]), both[n:], scale)
 
 
-def encode_block(tokens: np.ndarray, table: Table, interval: int = 256) -> bytes:
+def encode_block(tokens: np.ndarray, table: Table, parts: int = PARTS) -> bytes:
     n = len(tokens)
-    lanes = 1 if n < 512 else min(MAX_LANES, 1 << int(n // 256).bit_length() - 1)
+    lanes = min(MAX_LANES, 1 << max(0, int(n // LEAST_STEPS).bit_length() - 1))
     steps = -(-n // lanes)
+    interval = max(1, steps // parts)
     if n and int(tokens.max()) >= len(table.place):
         raise ValueError("a token isn't in the frequency table")
     index = table.place[tokens]
@@ -94,45 +97,61 @@ def encode_block(tokens: np.ndarray, table: Table, interval: int = 256) -> bytes
     states.reverse()
     sizes = np.cumsum([0] + [len(w) for w in out])
     marks = sizes[np.arange(0, steps, interval)] if steps else np.empty(0, np.int64)
-    words = np.concatenate(out) if out else np.empty(0, np.uint32)
-    body = marks.astype("<u4").tobytes() + b"".join(s.astype("<u8").tobytes() for s in states)
-    stream = words.astype("<u4").tobytes()
-    head = _HEAD.pack(MAGIC, table.scale, lanes, n, interval, len(words))
-    return head + struct.pack("<II", zlib.crc32(head + body), zlib.crc32(stream)) + body + stream
+    stream = (np.concatenate(out) if out else np.empty(0, np.uint32)).astype("<u4").tobytes()
+    edges = np.append(marks, len(stream) // 4) * 4
+    crcs = np.array([zlib.crc32(stream[a:b]) for a, b in zip(edges, edges[1:])], "<u4")
+    body = marks.astype("<u4").tobytes() + crcs.tobytes() + b"".join(s.astype("<u8").tobytes() for s in states)
+    head = _HEAD.pack(MAGIC, table.scale, lanes, n, interval, len(stream) // 4)
+    return head + struct.pack("<I", zlib.crc32(head + body)) + body + stream
 
 
-def decode_block(block: bytes, table: Table, first_mark: int = 0, marks: int | None = None) -> np.ndarray:
-    """Tokens of a block, or of ``marks`` checkpoint intervals from ``first_mark`` on."""
+def decode_block(block: bytes, table: Table, first: int = 0, parts: int | None = None) -> np.ndarray:
+    """Tokens of a block, or of ``parts`` parts from the ``first`` one on.
+
+    Every part is entered at its own checkpoint, and all go forward together, one step of each at a time."""
     magic, scale, lanes, n, interval, n_words = _HEAD.unpack_from(block)
     if magic != MAGIC or scale != table.scale:
         raise ValueError("not a block of this table")
     steps = -(-n // lanes)
     n_marks = -(-steps // interval)
-    crc_body, crc_stream = struct.unpack_from("<II", block, _HEAD.size)
-    at = _HEAD.size + 8
-    end = at + n_marks * (4 + 8 * lanes)
-    if zlib.crc32(block[: _HEAD.size] + block[at:end]) != crc_body or zlib.crc32(block[end:]) != crc_stream:
+    at = _HEAD.size + 4
+    end = at + n_marks * (8 + 8 * lanes)
+    if zlib.crc32(block[: _HEAD.size] + block[at:end]) != struct.unpack_from("<I", block, _HEAD.size)[0]:
         raise ValueError("checksum mismatch")
-    places = np.frombuffer(block, "<u4", n_marks, at)
-    words = np.frombuffer(block, "<u4", n_words, end).astype(np.uint64)
-    last_mark = n_marks if marks is None else min(n_marks, first_mark + marks)
-    if first_mark >= last_mark:
+    last = n_marks if parts is None else min(n_marks, first + parts)
+    if first >= last:
         return np.empty(0, np.uint32)
-    state = np.frombuffer(block, "<u8", lanes, at + 4 * n_marks + first_mark * 8 * lanes).astype(np.uint64)
-    at_word = int(places[first_mark])
-    begin, stop = first_mark * interval, min(steps, last_mark * interval)
-    out = np.empty(min(n, stop * lanes) - begin * lanes, np.uint32)
+    marks = np.append(np.frombuffer(block, "<u4", n_marks, at), n_words).astype(np.int64)
+    for k, crc in enumerate(np.frombuffer(block, "<u4", n_marks, at + 4 * n_marks)[first:last].tolist(), first):
+        if zlib.crc32(block[end + 4 * marks[k] : end + 4 * marks[k + 1]]) != crc:
+            raise ValueError("checksum mismatch")
+    words = np.frombuffer(block, "<u4", n_words, end)
+    state = np.frombuffer(block, "<u8", n_marks * lanes, at + 8 * n_marks).reshape(n_marks, lanes)[first:last].astype(np.uint64)
+    place = marks[first:last].copy()
+    ends = np.minimum(n, np.arange(first + 1, last + 1) * interval * lanes)  # tokens up to the end of each part
+    out = np.empty((last - first, interval, lanes), np.uint32)
     low, bits = np.uint64((1 << scale) - 1), np.uint64(scale)
-    for t in range(begin, stop):
-        a, b = t * lanes, min(n, (t + 1) * lanes)
-        s = state[: b - a]
-        slot = s & low
-        index = table.slot[slot]
-        s = table.freqs[index] * (s >> bits) + slot - table.starts[index]
-        short = np.flatnonzero(s < _LOW)
-        if len(short):
-            s[short] = (s[short] << np.uint64(32)) | words[at_word : at_word + len(short)]
-            at_word += len(short)
-        state[: b - a] = s
-        out[a - begin * lanes : b - begin * lanes] = index
-    return table.symbols[out]
+    begins = np.arange(first, last) * interval * lanes
+    for t in range(interval):
+        left = ends - begins - t * lanes  # only the last part may have fewer steps, or a step of fewer lanes
+        if left[-1] < lanes:
+            rows, rest = last - first - 1, max(0, int(left[-1]))
+            pieces = [(slice(0, rows), lanes), (slice(rows, rows + 1), rest)]
+        else:
+            pieces = [(slice(0, last - first), lanes)]
+        for rows, width in pieces:
+            s = state[rows, :width]
+            if not s.size:
+                continue
+            slot = s & low
+            index = table.slot[slot]
+            s = table.freqs[index] * (s >> bits) + slot - table.starts[index]
+            short = s < _LOW
+            taken = short.sum(axis=1)
+            row, lane = np.nonzero(short)
+            source = np.arange(len(row)) + np.repeat(place[rows] - (np.cumsum(taken) - taken), taken)
+            s[row, lane] = (s[row, lane] << np.uint64(32)) | words[source].astype(np.uint64)
+            place[rows] += taken
+            state[rows, :width] = s
+            out[rows, t, :width] = index
+    return table.symbols[out.reshape(-1)[: int(ends[-1] - begins[0])]]

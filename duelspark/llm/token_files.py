@@ -1,9 +1,10 @@
 """Token-id files: one shared frequency table, rANS blocks in ascending doc_id order, parallel decoding.
 
-The files are a Parquet table of blocks (Spark's commit protocol keeps retried tasks from leaving
-half a file): ``shard, block, at`` (tokens of the shard before the block), ``n_tokens``, ``docs``
-(doc ids and lengths, compressed) and ``payload`` (see rans.py). Shards are ranges of doc_id, so
-shard, block and place in block give the order of all documents.
+The files are two Parquet tables in one folder (Spark's commit protocol keeps retried tasks from leaving
+half a file). ``blocks``: ``shard, block, at`` (tokens of the shard before the block), ``n_tokens``, ``docs``
+(doc ids and lengths, compressed) and ``payload`` (see rans.py). Shards are ranges of doc_id, so shard, block
+and place in block give the order of all documents. ``table``: one row with the frequency table, the
+vocabulary's sha256 and the end id. The folder alone is enough to decode.
 
 Defined results: a null text is an empty one, whose only token is the end id; rows with equal
 doc_id stand next to each other, by text; a null doc_id stands first. Empty tables give an empty
@@ -12,6 +13,8 @@ result. Columns other than doc_id and text aren't read.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, read_table, stored, strings, width
+from .common import prepare, read_table, shared_dir, stored, strings, width
 from .rans import Table, decode_block, encode_block
 from .vocab import ByteBpe, tokenizer_json
 
@@ -92,8 +95,8 @@ def token_counts(tokens: DataFrame) -> DataFrame:
     return tokens.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def write_blocks(tokens: DataFrame, table: bytes, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Encode in ascending doc_id order; returns the written block table."""
+def write_blocks(tokens: DataFrame, table: bytes, path: str, block_tokens: int = BLOCK_TOKENS) -> None:
+    """Encode in ascending doc_id order and write the block table."""
     spark = tokens.sparkSession
     shared = spark.sparkContext.broadcast(table)  # at most one entry per id of the vocabulary
 
@@ -123,11 +126,12 @@ def write_blocks(tokens: DataFrame, table: bytes, block_tokens: int = BLOCK_TOKE
             yield made()
 
     ordered = tokens.repartitionByRange(width(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return stored(ordered.select("doc_id", "ids").mapInArrow(run, _BLOCKS_DDL), "token-blocks")
+    ordered.select("doc_id", "ids").mapInArrow(run, _BLOCKS_DDL).write.option("compression", "zstd").parquet(path)
 
 
 def read_blocks(blocks: DataFrame, table: bytes) -> DataFrame:
-    """(shard, doc_id, at, n_tokens, ids_crc32) per document, from decoding every block on its own."""
+    """(shard, doc_id, at, n_tokens, ids_crc32) per document; each block is decoded on its own, all its parts
+    from their checkpoints side by side."""
     shared = blocks.sparkSession.sparkContext.broadcast(table)
     schema = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -147,19 +151,35 @@ def read_blocks(blocks: DataFrame, table: bytes) -> DataFrame:
     return blocks.select("shard", "at", "docs", "payload").mapInArrow(run, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long")
 
 
-def token_file(docs: DataFrame, tokenizer_path: str | None = None, end_id: int = END_ID) -> tuple[DataFrame, bytes]:
-    """Write the block table of ``docs``; returns it and the frequency table."""
+def write_token_file(docs: DataFrame, folder: str, tokenizer_path: str | None = None, end_id: int = END_ID) -> None:
+    """Encode ``docs`` and write blocks, frequency table and the vocabulary's digest to ``folder``."""
     spark = docs.sparkSession
     prepare(spark)
-    tokens = stored(encode_documents(docs, tokenizer_json(tokenizer_path, "byte_bpe_50k.json"), end_id), "token-ids")
+    source = tokenizer_json(tokenizer_path, "byte_bpe_50k.json")
+    tokens = stored(encode_documents(docs, source, end_id), "token-ids")
     counts = token_counts(tokens).toPandas()  # at most one row per id of the vocabulary
     table = Table.of(counts["token"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)).dumps()
-    return write_blocks(tokens, table), table
+    write_blocks(tokens, table, f"{folder}/blocks")
+    row = (bytearray(table), hashlib.sha256(source.encode()).hexdigest(), end_id)
+    spark.createDataFrame([row], "frequencies binary, vocabulary_sha256 string, end_id long").coalesce(1).write.parquet(f"{folder}/table")
 
 
-def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks, table = token_file(read_table(spark, sf_dir, "documents"))
+def read_token_file(spark: SparkSession, folder: str, tokenizer_path: str | None = None) -> DataFrame:
+    """doc_id, start (tokens of all documents before it), n_tokens and ids_crc32, from the files alone.
+
+    With a vocabulary, its digest must be the files' own."""
+    prepare(spark)
+    row = spark.read.parquet(f"{folder}/table").first()  # one row
+    if tokenizer_path is not None and hashlib.sha256(tokenizer_json(tokenizer_path, "").encode()).hexdigest() != row["vocabulary_sha256"]:
+        raise ValueError("the files were written with another vocabulary")
+    blocks = spark.read.schema(_BLOCKS_DDL).parquet(f"{folder}/blocks")
     shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("n"))  # one row per shard
     before = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
-    read = read_blocks(blocks, table).join(F.broadcast(before), "shard")
+    read = read_blocks(blocks, bytes(row["frequencies"])).join(F.broadcast(before), "shard")
     return read.select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_dir(spark).rstrip('/')}/token-files-{uuid.uuid4().hex}"
+    write_token_file(read_table(spark, sf_dir, "documents"), folder)
+    return read_token_file(spark, folder)
