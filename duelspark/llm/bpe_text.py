@@ -1,10 +1,15 @@
 """BPE encoding and decoding with tree concatenation for long unsplit text.
 
-A text's pieces (see vocab.py) are encoded once per worker. A piece longer than ``LEAF`` letters is
-halved until its parts are short; the parts are encoded on their own, and each join re-encodes a
-window around the seam that grows until its first token is the left side's token there and its last
-token the right side's. Neighbouring tokens that a vocabulary would itself produce next to each
-other decide a BPE encoding pair by pair, so a window that agrees with both sides is exact.
+A text's pieces are cut by an equivalent of the vocabulary's pattern where no library version disputes a
+character (see vocab.py), else by the library's own normaliser and pre-tokeniser; only a text that holds a
+special token's string goes through the library whole. Pieces are encoded once per worker. A piece longer than
+``LEAF`` letters is halved until its parts are short; the parts are encoded on their own, and each join
+re-encodes a window around the seam that grows until its first token is the left side's token there and its
+last token the right side's. Neighbouring tokens that a vocabulary would itself produce next to each other
+decide a BPE encoding pair by pair, so a window that agrees with both sides is exact.
+
+Texts of more than ``LONG_BYTES`` are cut into parts of ``PART`` letters that are dealt to tasks; the task that
+gets a text's encoded parts back only joins them, in the same way.
 
 Defined results: a null or empty text has no tokens and decodes to the empty text. All other
 columns pass through ``encode_text``.
@@ -13,21 +18,24 @@ columns pass through ``encode_text``.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, read_table, strings
+from .common import prepare, read_table, stored, strings, width
 from .vocab import DIGITS, LETTERS, SPACES, Pieces, as_letters, disputed, tokenizer_json
 
 #: Letters (bytes of the piece) of a part that is encoded whole.
 LEAF = 256
+#: Bytes beyond which a text's pieces are dealt to tasks, and letters (bytes) of a part.
+LONG_BYTES, PART = 4 << 20, 1 << 18
 #: Distinct words a worker keeps; lower-cased words recur more than pieces with blanks and capitals.
 WORD_PIECES = 250_000
 
@@ -49,6 +57,8 @@ class WordBpe:
         self.last, self.inner, self.leaf = self.library.model, Tokenizer.from_str(json.dumps(inner)).model, leaf
         self.letters = {v: k for k, v in self.library.get_vocab(with_added_tokens=True).items()}
         self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^{SPACES}{LETTERS}{DIGITS}]+")
+        self.special = [t["content"] for t in spec.get("added_tokens", [])]
+        self.joins = 0
         self.pieces = Pieces(lambda piece: [t for t, _ in self.tree(as_letters(piece), True)], WORD_PIECES)
 
     def _sized(self, letters: str, final: bool):
@@ -73,6 +83,7 @@ class WordBpe:
 
     def join(self, letters: str, half: int, left: list[tuple[int, int]], right: list[tuple[int, int]], final: bool) -> list[tuple[int, int]]:
         k = 2
+        self.joins += 1
         while True:
             a, b = left[-k:], right[:k]
             begin, end = half - sum(n for _, n in a), half + sum(n for _, n in b)
@@ -85,7 +96,25 @@ class WordBpe:
     def encode(self, text: str) -> np.ndarray:
         if self.known and not disputed(text):
             return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.pattern.findall(text.lower()))), "<u4")
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+        words = self.words(text)
+        if words is None:
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array([t for w in words for t, _ in self.tree(w, True)], "<u4")
+
+    def words(self, text: str) -> list[str] | None:
+        """The letters of each piece, from the library's own normaliser and pre-tokeniser; None: a special token may stand in the text."""
+        if any(x in text for x in self.special) or self.library.pre_tokenizer is None:
+            return None
+        clean = self.library.normalizer.normalize_str(text) if self.library.normalizer is not None else text
+        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(clean)]
+
+    def joined(self, letters: list[str], parts: list[list[tuple[int, int]]], final: bool = True) -> list[tuple[int, int]]:
+        """The encoding of consecutive parts from theirs, as a tree."""
+        if len(parts) == 1:
+            return parts[0]
+        half = len(parts) // 2
+        left, right = self.joined(letters[:half], parts[:half], False), self.joined(letters[half:], parts[half:], final)
+        return self.join("".join(letters), sum(map(len, letters[:half])), left, right, final)
 
     def decode(self, ids: np.ndarray) -> str:
         """As the library: no decoder is set, so tokens are joined by a blank."""
@@ -103,7 +132,76 @@ def _coder(source: str) -> WordBpe:
     return _coders[key]
 
 
-def encode_text(docs: DataFrame, tokenizer_path: str | None = None, text: str = "text", ids: str = "ids") -> DataFrame:
+def _long(text: str = "text", most: int = LONG_BYTES) -> Column:
+    return F.coalesce(F.octet_length(F.col(text).cast("string")) > most, F.lit(False))
+
+
+def encode_long(texts: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+    """(row, ids) of long texts (row, text): parts of their pieces are encoded by many tasks, then joined per text."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(tokenizer_json(tokenizer_path, "word_bpe_49k.json"))
+    ddl = "row long, piece long, part long, final boolean, letters string, ids binary, sizes binary"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(shared.value)
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), strings(batch, "text").to_pylist()):
+                words = coder.words(text)
+                if words is None:  # a special token: whole, by the library
+                    yield _part(row, 0, 0, True, "", coder.encode(text), [])
+                    continue
+                run: list[str] = []  # short pieces up to the next long one, one row
+                for k, word in enumerate(words):
+                    if len(word) <= PART:
+                        run.append(word)
+                    if run and (len(word) > PART or k == len(words) - 1 or len(run) == 1 << 16):
+                        yield _part(row, k - len(run) + (len(word) <= PART), 0, True, "", [t for w in run for t, _ in coder.tree(w, True)], [])
+                        run = []
+                    if len(word) > PART:
+                        for j in range(0, len(word), PART):
+                            yield _part(row, k, j // PART, j + PART >= len(word), word[j : j + PART], None, [])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(shared.value)
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["ids"] is not None:
+                    yield _part(r["row"], r["piece"], r["part"], r["final"], "", np.frombuffer(r["ids"], "<u4"), [])
+                else:
+                    made = coder.tree(r["letters"], r["final"])
+                    yield _part(r["row"], r["piece"], r["part"], r["final"], r["letters"], [t for t, _ in made], [n for _, n in made])
+
+    def join(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, out = _coder(shared.value), []
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["piece"], r["part"]))  # of one text
+        for _, group in itertools.groupby(rows, key=lambda r: (r["piece"], bool(r["letters"]))):
+            parts = list(group)
+            if not parts[0]["letters"]:
+                out.append(np.frombuffer(b"".join(p["ids"] for p in parts), "<u4"))
+                continue
+            encoded = [list(zip(np.frombuffer(p["ids"], "<u4").tolist(), np.frombuffer(p["sizes"], "<u4").tolist())) for p in parts]
+            out.append(np.array([t for t, _ in coder.joined([p["letters"] for p in parts], encoded)], "<u4"))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.concatenate(out).astype("<u4").tobytes()], pa.binary())], names=["row", "ids"])
+
+    parts = texts.mapInArrow(cut, ddl).repartition(width(spark), "row", "piece", "part").mapInArrow(encode, ddl)
+    return parts.groupBy("row").applyInArrow(join, "row long, ids binary")
+
+
+def _part(row: int, piece: int, part: int, final: bool, letters: str, ids, sizes) -> pa.RecordBatch:
+    values = [row, piece, part, final, letters, None if ids is None else np.asarray(ids, "<u4").tobytes(), np.asarray(sizes, "<u4").tobytes()]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.binary(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["row", "piece", "part", "final", "letters", "ids", "sizes"])
+
+
+def _numbered(docs: DataFrame, text: str, most: int) -> DataFrame | None:
+    """The rows with long texts, numbered and written once; None if there are none."""
+    long = docs.filter(_long(text, most))
+    if long.isEmpty():
+        return None
+    return stored(long.withColumn("__row", F.monotonically_increasing_id()), "long-texts")
+
+
+def encode_text(docs: DataFrame, tokenizer_path: str | None = None, text: str = "text", ids: str = "ids", long_bytes: int = LONG_BYTES) -> DataFrame:
     """``docs`` with an array column of token ids after its own columns (a clashing one is replaced)."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json(tokenizer_path, "word_bpe_49k.json"))
@@ -113,14 +211,28 @@ def encode_text(docs: DataFrame, tokenizer_path: str | None = None, text: str =
         coder = _coder(shared.value)
         for batch in batches:
             rows = [coder.encode(x) for x in strings(batch, text).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-            flat = np.concatenate(rows).astype(np.int32) if rows else np.empty(0, np.int32)
-            made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            out = batch.select(kept)
-            yield pa.RecordBatch.from_arrays([*out.columns, made], names=[*kept, ids])
+            yield _with_ids(batch.select(kept), rows, ids)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [np.frombuffer(x or b"", "<u4") for x in batch.column(len(kept)).to_pylist()]
+            yield _with_ids(batch.select(kept), rows, ids)
 
     slim = docs.select(*kept)
-    return slim.mapInArrow(run, T.StructType([*slim.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
+    schema = T.StructType([*slim.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    long = _numbered(slim, text, long_bytes)
+    if long is None:
+        return slim.mapInArrow(run, schema)
+    made = encode_long(long.select(F.col("__row").alias("row"), F.col(text).cast("string").alias("text")), tokenizer_path).select(F.col("row").alias("__row"), F.col("ids").alias("__ids"))
+    rest = long.join(made, "__row", "left").select(*kept, "__ids").mapInArrow(unpack, schema)
+    return slim.filter(~_long(text, long_bytes)).mapInArrow(run, schema).unionByName(rest)
+
+
+def _with_ids(out: pa.RecordBatch, rows: list[np.ndarray], name: str) -> pa.RecordBatch:
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    flat = np.concatenate(rows).astype(np.int32) if rows else np.empty(0, np.int32)
+    made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    return pa.RecordBatch.from_arrays([*out.columns, made], names=[*out.schema.names, name])
 
 
 def decode_ids(frame: DataFrame, tokenizer_path: str | None = None, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -144,25 +256,36 @@ def decode_ids(frame: DataFrame, tokenizer_path: str | None = None, ids: str = "
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def bpe_digest(docs: DataFrame, tokenizer_path: str | None = None) -> DataFrame:
+def bpe_digest(docs: DataFrame, tokenizer_path: str | None = None, long_bytes: int = LONG_BYTES) -> DataFrame:
     """doc_id, n_tokens and digests of ids and decoded text; encodes and decodes in one pass over the texts."""
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer_json(tokenizer_path, "word_bpe_49k.json"))
+    ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+    def digests(doc: pa.Array, rows: Iterator[np.ndarray]) -> pa.RecordBatch:
+        coder, counts, ids_sha, text_sha = _coder(shared.value), [], [], []
+        for ids in rows:
+            counts.append(len(ids))
+            ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
+            text_sha.append(hashlib.sha256(coder.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
+        return pa.RecordBatch.from_arrays([doc, pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], schema=_DIGEST)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(shared.value)
         for batch in batches:
-            counts, ids_sha, text_sha = [], [], []
-            for text in strings(batch, "text").to_pylist():
-                ids = coder.encode(text)
-                counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(ids.tobytes()).hexdigest())
-                text_sha.append(hashlib.sha256(coder.decode(ids).encode("utf-8", "surrogatepass")).hexdigest())
-            doc = batch.column(batch.schema.get_field_index("doc_id"))
-            yield pa.RecordBatch.from_arrays([doc, pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], schema=_DIGEST)
+            yield digests(batch.column(0), map(coder.encode, strings(batch, "text").to_pylist()))
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield digests(batch.column(0), (np.frombuffer(x or b"", "<u4") for x in batch.column(1).to_pylist()))
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    long = _numbered(slim, "text", long_bytes)
+    if long is None:
+        return slim.mapInArrow(run, ddl)
+    made = encode_long(long.select(F.col("__row").alias("row"), "text"), tokenizer_path).withColumnRenamed("row", "__row")
+    rest = long.select("__row", "doc_id").join(made, "__row", "left").select("doc_id", "ids").mapInArrow(unpack, ddl)
+    return slim.filter(~_long("text", long_bytes)).mapInArrow(run, ddl).unionByName(rest)
 
 
 def op10_bpe_text(spark: SparkSession, sf_dir: str) -> DataFrame:
