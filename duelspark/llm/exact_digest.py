@@ -1,7 +1,7 @@
 """Canonical exact digest, DataFrame functions only.
 
-Canonical form: Unicode NFKC and full case folding (ICU's static methods, which Spark ships, called
-with ``java_method``), white space runs folded to one blank, ends trimmed. The digest is 128 bits of
+Canonical form: Unicode NFKC, full case folding and NFKC again (ICU's static methods, which Spark ships,
+called with ``java_method``), white space runs folded to one blank, ends trimmed. The digest is 128 bits of
 two differently seeded xxhash64 runs. Inside every bucket of equal digests the canonical bytes are
 compared; should two differ, the bucket's texts get a rank after the digest, so that fingerprints
 are equal exactly where canonical texts are.
@@ -16,17 +16,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, stored
+from .common import read_table, stored, width
 
-#: Documents in one run of neighbours; a run is sorted in one task.
-RUN_ROWS = 2048
+#: Runs of neighbouring documents, cut by count, for each shuffle partition; a run is sorted in one task.
+RUNS = 4
 
 
 def canonical(text: Column) -> Column:
     whole = F.coalesce(text, F.lit(""))
     composed = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), whole, F.lit(True))
     folded = F.java_method(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed, F.lit(True))
-    return F.trim(F.regexp_replace(folded, "[\\s\\p{Z}]+", " "))
+    again = F.java_method(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), folded, F.lit(True))
+    return F.trim(F.regexp_replace(again, "[\\s\\p{Z}]+", " "))
 
 
 def digest(canon: Column) -> Column:
@@ -36,12 +37,19 @@ def digest(canon: Column) -> Column:
 
 
 def collisions(docs: DataFrame) -> DataFrame:
-    """(digest, canon, rank) of buckets whose canonical texts aren't all the same bytes; expected empty."""
+    """(digest, canon, rank) of buckets whose canonical texts aren't all the same bytes; expected empty.
+
+    Texts of digests that occur once aren't compared. A digest that holds more than a task's share of the rows
+    never meets in one task: each task sends on its least and greatest text."""
     keyed = docs.select(canonical(F.col("text")).alias("canon")).withColumn("digest", digest(F.col("canon")))
-    shared = keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
-    inside = keyed.join(shared, "digest", "left_semi")
-    # pre-aggregated: of a large bucket, each task sends on only its distinct lengths and one text at either end
-    odd = inside.groupBy("digest").agg(F.min(F.encode("canon", "utf-8")).alias("low"), F.max(F.encode("canon", "utf-8")).alias("high")).filter("low <> high").select("digest")
+    shared = stored(keyed.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shared-digests")
+    parts = width(docs.sparkSession)
+    share = F.lit(max(1000, (shared.agg(F.sum("n")).first()[0] or 0) // parts))
+    hot = shared.filter(F.col("n") > share).select("digest")  # at most one per shuffle partition
+    few = keyed.join(F.broadcast(hot), "digest", "left_anti").join(shared.filter(F.col("n") <= share).select("digest"), "digest", "left_semi")
+    many = keyed.join(F.broadcast(hot), "digest", "left_semi")
+    ends = [F.min(F.encode("canon", "utf-8")).alias("low"), F.max(F.encode("canon", "utf-8")).alias("high")]
+    odd = few.groupBy("digest").agg(*ends).unionByName(many.groupBy("digest").agg(*ends)).filter("low <> high").select("digest")
     texts = keyed.join(odd, "digest", "left_semi").distinct()
     return texts.withColumn("rank", F.row_number().over(Window.partitionBy("digest").orderBy("canon")))
 
@@ -71,16 +79,19 @@ def known_clashes(docs: DataFrame) -> DataFrame | None:
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``docs`` with next_<column> of the row after it in descending doc_id order, cyclically.
 
-    Runs of neighbouring ids are windows of their own; the first row of each run, one per run, is
-    handed to the run before it."""
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    step = max(1, -(-((high or 0) - (low or 0) + 1) // max(1, n // RUN_ROWS)))
-    keyed = docs.withColumn("__run", F.coalesce(F.expr(f"(doc_id - {low or 0}L) div {step}L"), F.lit(-1).cast("long")))
+    Runs of neighbouring ids, cut at quantiles of doc_id so that they hold like numbers of rows, are windows of
+    their own; the first row of each run is handed to the run before it."""
+    runs = RUNS * width(docs.sparkSession)
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / runs for k in range(1, runs)], 20 * runs)).first()[0] or []
+    edges = F.array(*[F.lit(x).cast("long") for x in sorted(set(cuts))]) if cuts else F.array().cast("array<long>")
+    number = F.size(F.filter(edges, lambda x: x < F.col("doc_id")))  # a few cuts a shuffle partition
+    keyed = docs.withColumn("__run", F.coalesce(F.when(F.col("doc_id").isNotNull(), number), F.lit(-1)))
     window = Window.partitionBy("__run").orderBy(F.desc_nulls_last("doc_id"), F.asc("text"))
     led = keyed.select("*", F.lead(F.struct(*columns)).over(window).alias("__next"), F.row_number().over(window).alias("__place"))
-    firsts = led.filter("__place = 1").select("__run", F.struct(*columns).alias("first"))
-    runs = Window.orderBy(F.desc("__run"))
-    handed = firsts.select("__run", F.coalesce(F.lead("first").over(runs), F.first("first").over(runs)).alias("__first"))
+    firsts = led.filter("__place = 1").select(F.col("__run").alias("__after"), F.struct(*columns).alias("__first"))
+    order = Window.orderBy(F.desc("__run"))  # one number a run
+    after = keyed.select("__run").distinct().select("__run", F.coalesce(F.lead("__run").over(order), F.max("__run").over(Window.partitionBy())).alias("__after"))
+    handed = after.join(firsts, "__after").select("__run", "__first")
     joined = led.join(handed, "__run")
     following = F.coalesce("__next", "__first")
     return joined.select(*docs.columns, *[following[c].alias(f"next_{c}") for c in columns])

@@ -169,7 +169,7 @@ def test_wrapped_licenses_get_labels(spark):
 
 
 def canonical(text):
-    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text or "").casefold()).strip()
+    return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text or "").casefold())).strip()
 
 
 def test_exact_digest(spark, tmp_path):
@@ -191,9 +191,10 @@ def test_exact_digest(spark, tmp_path):
     assert groups[1] == 0 and groups[13] == 2 and groups[5] == 4
 
 
-def test_exact_digest_runs_and_ids(spark, monkeypatch):
-    monkeypatch.setattr(exact_digest, "RUN_ROWS", 3)
-    data = [(k * 17 % 1009 * 10**6, "t%d" % k * 5) for k in range(50)] + [(None, "n"), (None, None)]
+@pytest.mark.parametrize("far", [0, 10**15])
+def test_exact_digest_runs_and_ids(spark, monkeypatch, far):
+    monkeypatch.setattr(exact_digest, "RUNS", 5)
+    data = [(k * 17 % 1009 * 10**6 + far * (k == 7), "t%d" % k * 5) for k in range(50)] + [(None, "n"), (None, None)]
     rows = exact_digest.digest_report(frame(spark, data)).collect()
     ordered = sorted((d for d, _ in data if d is not None), reverse=True)
     by = {d: t for d, t in data}
@@ -213,3 +214,29 @@ def test_colliding_digests_get_ranks(spark, monkeypatch):
     docs = frame(spark, [(1, "ab"), (2, "cd"), (3, "AB"), (4, "xyz")])
     groups = {r["doc_id"]: r["group_id"] for r in exact_digest.exact_groups(docs).collect()}
     assert groups == {1: 1, 2: 2, 3: 1, 4: 4}
+
+
+def test_exact_digest_of_awkward_rows(spark):
+    """Very long texts, equal ids with different texts, clashing columns, a digest that most rows share."""
+    data = AWKWARD + [(9, "another text of the same id"), (9, "word " * 4000), (11, "Ä" * 300_000)] + [(1000 + k, "Shared  TEXT") for k in range(2500)]
+    docs = frame(spark, data).withColumnRenamed("h1", "fingerprint").withColumnRenamed("pos", "digest").withColumnRenamed("chunk", "canon")
+    got = exact_digest.digest_report(docs).collect()
+    ordered = sorted(data, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    want = []
+    for k, (d, t) in enumerate(ordered):
+        t, following = t or "", ordered[(k + 1) % len(ordered)][1] or ""
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + following[:cut]
+        want.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), float(canonical(edited) == canonical(t)), float(canonical(following) == canonical(t))))
+    assert sorted(map(str, ((r["doc_id"], r["n_chars"], r["edited_sha256"], r["near_edited"], r["near_next"]) for r in got))) == sorted(map(str, want))
+    texts = {}
+    for r in exact_digest.exact_groups(docs.select("doc_id", "text")).collect():
+        texts.setdefault(r["fingerprint"], set()).add(canonical(r["text"]))
+    assert all(len(x) == 1 for x in texts.values()) and len(texts) == len({canonical(t) for _, t in data})
+
+
+def test_canonical_form_is_closed(spark):
+    forms = ["ͅα", "ΐ", "ﬃ", "\u0345\u0301", "Å", "e\u0301", "ẞß"]
+    rows = spark.createDataFrame([(x,) for x in forms], "text string").select("text", exact_digest.canonical(exact_digest.F.col("text")).alias("once"))
+    again = rows.select("once", exact_digest.canonical(exact_digest.F.col("once")).alias("twice")).collect()
+    assert all(r["once"] == r["twice"] for r in again)
