@@ -3,7 +3,9 @@
 Texts and items are normalised to lower-cased runs of letters and digits with single blanks. An item
 of m characters may differ by e = floor(ERROR_RATE * m) edits; cut into e + 1 pieces, at least one
 piece must then occur unchanged. An automaton over all pieces finds them, and Myers' bit-parallel
-distance verifies the item around each hit. Items go to the workers in blocks of bounded size.
+distance verifies the item around each hit. An item too short for any edit must stand between word ends.
+Items go to the workers in blocks of bounded size, one block after the other: no worker holds two automata,
+and a block's broadcast is gone before the next.
 
 Defined results: null, empty and symbol-only texts or items match nothing; repeated items each match,
 repeated rows each count. Null ids are carried along. An empty benchmark leaves all documents. Columns
@@ -17,10 +19,11 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, read_table, strings
+from .common import prepare, read_table, stored, strings
 
 #: Edits per character of an item.
 ERROR_RATE = 0.08
@@ -103,9 +106,13 @@ class Matcher:
         out = []
         for k, starts in hits.items():
             item_id, item, edits, masks = self.items[k]
-            exact = next((s for s in sorted(starts) if s >= 0 and body.startswith(item, s)), None)
+            places = (s for s in sorted(starts) if s >= 0 and body.startswith(item, s))
+            if not edits:
+                places = (s for s in places if (not s or body[s - 1] == " ") and body[s + len(item) : s + len(item) + 1] in ("", " "))
+            exact = next(places, None)
             if exact is not None:
                 out.append((item_id, 0, exact))
+            if exact is not None or not edits:
                 continue
             best, done = None, -len(item)  # a text may begin inside the item: hits down to 1 - len(item)
             for s in sorted(starts):
@@ -132,6 +139,16 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int |
             yield [(r["item_id"], r["text"]) for r in rows]
 
 
+_held: list = []
+
+
+def _matcher(items: list, error_rate: float) -> Matcher:
+    """The block's matcher; a worker keeps the last one from task to task."""
+    if not _held or _held[0] is not items or _held[1] != error_rate:
+        _held[:] = [items, error_rate, Matcher(items, error_rate)]
+    return _held[2]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, distance, start): items that occur in a document, at their best place."""
     spark = docs.sparkSession
@@ -139,11 +156,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RAT
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, distance int, start long"
 
-    def scan(items: list[tuple[int | None, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(items)
-
+    def scan(shared: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, error_rate)
+            matcher = _matcher(shared.value, error_rate)
             for batch in batches:
                 ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
                 rows = [(doc, *found) for doc, text in zip(ids, strings(batch, "text").to_pylist()) for found in matcher.find(text)]
@@ -153,23 +168,40 @@ def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RAT
 
         return slim.mapInArrow(run, schema)
 
-    parts = [scan(items) for items in _blocks(benchmark, block_chars)]
+    parts: list[DataFrame] = []
+    for shared, more in _shared_blocks(docs, benchmark, block_chars):
+        parts.append(stored(scan(shared), "benchmark-matches") if more else scan(shared))
+        if more:
+            shared.destroy()
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
+def _shared_blocks(docs: DataFrame, benchmark: DataFrame, block_chars: int) -> Iterator[tuple[Broadcast, bool]]:
+    """Each block as a broadcast, and whether another one follows."""
+    blocks = _blocks(benchmark, block_chars)
+    items = next(blocks, None)
+    while items is not None:
+        following = next(blocks, None)
+        yield docs.sparkSession.sparkContext.broadcast(items), following is not None
+        items = following
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` without those in which an item occurs; nothing is shuffled."""
+    """``docs`` without those in which an item occurs; nothing is shuffled. After each block but the last the
+    documents left are written."""
     prepare(docs.sparkSession)
-    for items in _blocks(benchmark, block_chars):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+    for shared, more in _shared_blocks(docs, benchmark, block_chars):
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(shared.value, error_rate)
+        def run(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            matcher = _matcher(shared.value, error_rate)
             for batch in batches:
                 keep = [not matcher.find(text) for text in strings(batch, "text").to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if more:
+            docs = stored(docs, "decontaminated")
+            shared.destroy()
     return docs
 
 

@@ -49,13 +49,14 @@ def test_decontamination_matches_brute_force(spark):
         for _ in range(rng.randrange(14)):
             text[rng.randrange(len(text))] = rng.choice(["", "q", "zz", "e"])
         data.append((100 + k, "Before it, " + "".join(text).upper() + " -- after"))
-    data += [(300, "clean text of no interest"), (301, "a tiny item!"), (302, None)]
+    data += [(300, "clean text of no interest"), (301, "a tiny item!"), (302, None), (303, "botany itemised"), (304, "no, TINY   ITEM, yes")]
     want = set()
     for d, t in data:
         body = decontaminate.normalised(t or "")
         for i, x in items:
             item = decontaminate.normalised(x or "")
-            if item and distance(item, body) <= int(decontaminate.ERROR_RATE * len(item)):
+            edits = int(decontaminate.ERROR_RATE * len(item))
+            if item and distance(item, body) <= edits and (edits or f" {item} " in f" {body} "):
                 want.add((d, i, distance(item, body)))
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = frame(spark, data)
@@ -65,6 +66,7 @@ def test_decontamination_matches_brute_force(spark):
     kept = decontaminate.decontaminate(docs, bench, block_chars=200)
     assert kept.columns == docs.columns and kept.count() == sum(d not in flagged for d, _ in data)
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0 and items_short
+    assert decontaminate.matches(docs.limit(0), bench).count() == 0 and decontaminate.decontaminate(docs.limit(0), bench).count() == 0
 
 
 def test_decontamination_at_both_ends_of_a_text():
