@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare, read_table, stored, strings, width
+from .common import free, prepare, read_table, stored, strings, width
 from .vocab import DIGITS, LETTERS, SPACES, Pieces, as_letters, disputed, tokenizer_json
 
 #: Letters (bytes of the piece) of a part that is encoded whole.
@@ -193,12 +193,12 @@ def _part(row: int, piece: int, part: int, final: bool, letters: str, ids, sizes
     return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["row", "piece", "part", "final", "letters", "ids", "sizes"])
 
 
-def _numbered(docs: DataFrame, text: str, most: int) -> DataFrame | None:
-    """The rows with long texts, numbered and written once; None if there are none."""
-    long = docs.filter(_long(text, most))
+def _numbered(docs: DataFrame, text: str, most: int) -> tuple[DataFrame, str] | None:
+    """The rows with long texts, numbered in the named column and written once; None if there are none."""
+    long, name = docs.filter(_long(text, most)), free(docs, "__row")
     if long.isEmpty():
         return None
-    return stored(long.withColumn("__row", F.monotonically_increasing_id()), "long-texts")
+    return stored(long.withColumn(name, F.monotonically_increasing_id()), "long-texts"), name
 
 
 def encode_text(docs: DataFrame, tokenizer_path: str | None = None, text: str = "text", ids: str = "ids", long_bytes: int = LONG_BYTES) -> DataFrame:
@@ -220,11 +220,12 @@ def encode_text(docs: DataFrame, tokenizer_path: str | None = None, text: str =
 
     slim = docs.select(*kept)
     schema = T.StructType([*slim.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
-    long = _numbered(slim, text, long_bytes)
-    if long is None:
+    found = _numbered(slim, text, long_bytes)
+    if found is None:
         return slim.mapInArrow(run, schema)
-    made = encode_long(long.select(F.col("__row").alias("row"), F.col(text).cast("string").alias("text")), tokenizer_path).select(F.col("row").alias("__row"), F.col("ids").alias("__ids"))
-    rest = long.join(made, "__row", "left").select(*kept, "__ids").mapInArrow(unpack, schema)
+    long, row = found
+    made = encode_long(long.select(F.col(row).alias("row"), F.col(text).cast("string").alias("text")), tokenizer_path).select(F.col("row").alias(row), F.col("ids").alias(free(slim, "__ids")))
+    rest = long.join(made, row, "left").drop(row).mapInArrow(unpack, schema)
     return slim.filter(~_long(text, long_bytes)).mapInArrow(run, schema).unionByName(rest)
 
 
@@ -280,11 +281,11 @@ def bpe_digest(docs: DataFrame, tokenizer_path: str | None = None, long_bytes: i
             yield digests(batch.column(0), (np.frombuffer(x or b"", "<u4") for x in batch.column(1).to_pylist()))
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    long = _numbered(slim, "text", long_bytes)
-    if long is None:
+    found = _numbered(slim, "text", long_bytes)
+    if found is None:
         return slim.mapInArrow(run, ddl)
-    made = encode_long(long.select(F.col("__row").alias("row"), "text"), tokenizer_path).withColumnRenamed("row", "__row")
-    rest = long.select("__row", "doc_id").join(made, "__row", "left").select("doc_id", "ids").mapInArrow(unpack, ddl)
+    long = found[0].withColumnRenamed(found[1], "row")
+    rest = long.select("row", "doc_id").join(encode_long(long.select("row", "text"), tokenizer_path), "row", "left").select("doc_id", "ids").mapInArrow(unpack, ddl)
     return slim.filter(~_long("text", long_bytes)).mapInArrow(run, ddl).unionByName(rest)
 
 

@@ -56,6 +56,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(frame: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as it takes not to clash with a column (in any case) of ``frame``."""
+    held = {c.lower() for c in frame.columns}
+    while name.lower() in held:
+        name = "_" + name
+    return name
+
+
 def width(spark: SparkSession) -> int:
     """Partitions a keyed shuffle goes to; the cluster sizes it with the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table, stored, width
+from .common import free, read_table, stored, width
 
 #: Runs of neighbouring documents, cut by count, for each shuffle partition; a run is sorted in one task.
 RUNS = 4
@@ -65,10 +65,13 @@ def fingerprint(docs: DataFrame, clashes: DataFrame | None, text: str, name: str
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """``docs`` with fingerprint and group_id, the least doc_id with equal canonical text."""
-    marked = fingerprint(docs, known_clashes(docs), "text", "fingerprint")
+    """``docs`` with fingerprint and group_id, the least doc_id with equal canonical text, as last columns; clashing
+    ones are replaced."""
+    kept = docs.drop("fingerprint", "group_id")
+    inner = kept.select("doc_id", "text", F.struct(*kept.columns).alias(free(kept, "__row")))
+    marked = fingerprint(inner, known_clashes(kept), "text", "fingerprint")
     least = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"))
-    return marked.join(least, "fingerprint")
+    return marked.join(least, "fingerprint").select(f"{inner.columns[-1]}.*", "fingerprint", "group_id")
 
 
 def known_clashes(docs: DataFrame) -> DataFrame | None:

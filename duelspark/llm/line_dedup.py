@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prepare, read_table, stored, strings, width
+from .common import free, prepare, read_table, stored, strings, width
 
 MIN_CHARS = 10
 #: Fixed: the white space that a line's key loses at both ends.
@@ -161,10 +161,12 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return ordered.mapInArrow(_bitmaps, "doc_id long, body long, bitmap binary")
 
 
-def _attach(docs: DataFrame, min_chars: int) -> DataFrame:
-    maps = keep_bitmaps(docs, min_chars).select(F.col("doc_id").alias("__doc"), F.col("body").alias("__body"), F.col("bitmap").alias("__bitmap"))
-    grouped = maps.groupBy("__doc").agg(F.map_from_entries(F.collect_list(F.struct("__body", "__bitmap"))).alias("__maps"))
-    return docs.join(grouped, docs["doc_id"].cast("long") == F.col("__doc"), "left").drop("__doc")
+def _attach(docs: DataFrame, min_chars: int) -> tuple[DataFrame, str]:
+    """``docs`` with the bitmaps of each row's doc_id as a last column, and that column's name."""
+    key, name = free(docs, "__doc"), free(docs, "__maps")
+    maps = keep_bitmaps(docs, min_chars).select(F.col("doc_id").alias(key), F.struct("body", "bitmap").alias("entry"))
+    grouped = maps.groupBy(key).agg(F.map_from_entries(F.collect_list("entry")).alias(name))
+    return docs.join(grouped, docs["doc_id"].cast("long") == F.col(key), "left").drop(key), name
 
 
 def _kept(text: str, maps: list | None) -> tuple[list[str], int]:
@@ -183,10 +185,11 @@ def _kept(text: str, maps: list | None) -> tuple[list[str], int]:
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with the lines dropped from ``text``; all other columns as they were."""
     names = docs.columns
+    attached, name = _attach(docs, min_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            maps = batch.column(batch.schema.get_field_index("__maps"))
+            maps = batch.column(len(names))
             if maps.null_count == len(maps):
                 yield batch.select(names)
                 continue
@@ -195,7 +198,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             out = batch.select(names)
             yield out.set_column(names.index("text"), "text", pa.array(texts, pa.string()))
 
-    return _attach(docs, min_chars).mapInArrow(run, docs.schema)
+    return attached.select(*names, name).mapInArrow(run, docs.schema)
 
 
 def line_digest(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -205,7 +208,7 @@ def line_digest(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            maps = batch.column(batch.schema.get_field_index("__maps")).to_pylist()
+            maps = batch.column(batch.schema.get_field_index(name)).to_pylist()
             for text, m in zip(strings(batch, "text").to_pylist(), maps):
                 lines, n = _kept(text, m)
                 rows.append((n, n - len(lines), hashlib.sha256("\n".join(lines).encode("utf-8", "surrogatepass")).hexdigest()))
@@ -214,7 +217,8 @@ def line_digest(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], schema=schema)
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _attach(slim, min_chars).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    attached, name = _attach(slim, min_chars)
+    return attached.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, mix, prepare, read_table, spans, stored, strings, windows
+from .common import Words, free, mix, prepare, read_table, spans, stored, strings, windows
 
 SHINGLE = 5
 COORDINATES, BAND = 128, 4
@@ -283,8 +283,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents whose component has a smaller doc_id; rows without doc_id stay."""
-    gone = stored(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__gone")), "dropped").distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    name = free(docs, "__gone")
+    gone = stored(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias(name)), "dropped").distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col(name), "left_anti")
 
 
 def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,6 +36,8 @@ WINDOW = 35
 #: Bytes of text in a chunk (a longer document is a chunk by itself).
 CHUNK_BYTES = 3 << 20
 ROUNDS = 6
+#: Chunks whose entries a hash range holds; the number of ranges grows with the input beyond it.
+RANGE_CHUNKS = 8
 #: Rounds that name runs too (later runs are of longer symbols and rare), and the first round whose
 #: symbols may represent a window; windows without one are represented by a single word.
 RUN_LEVELS = (1, 3)
@@ -271,7 +273,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, with_text: bool = T
     spark = docs.sparkSession
     prepare(spark)
     chunks = pack(docs)
-    ranges = 4 * width(spark)
+    ranges = max(4 * width(spark), chunks.count() // RANGE_CHUNKS)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -232,3 +232,48 @@ def test_lm_states_keep_small_counts():
             s = lm_mix.state(np.array([n0]), np.array([n1]))[0]
             for row, (a, b) in enumerate(((n0, n1), (max(0, n0 - 1), n1), (n0, max(0, n1 - 1)))):
                 assert lm_mix.ODDS[row, s] == pytest.approx(math.log((b + 0.4) / (a + 0.4)), rel=1e-6)
+
+
+def test_ftrl_equals_a_plain_loop():
+    rng = random.Random(5)
+    rows = [(np.array(sorted(rng.sample(range(16), 4))), np.array([rng.random() + 0.1 for _ in range(4)]), rng.randrange(2)) for _ in range(60)]
+    z, n = [0.0] * 16, [0.0] * 16
+    weight = lambda k: 0.0 if abs(z[k]) <= quality.L1 else (math.copysign(quality.L1, z[k]) - z[k]) / ((quality.BETA + math.sqrt(n[k])) / quality.ALPHA + quality.L2)
+    order = np.random.default_rng(7)
+    for _ in range(3):
+        for k in order.permutation(len(rows)):
+            slots, x, label = rows[k]
+            w = [weight(s) for s in slots.tolist()]
+            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x.tolist()))))
+            for s, v, a in zip(slots.tolist(), x.tolist(), w):
+                g = (p - label) * v
+                z[s] += g - (math.sqrt(n[s] + g * g) - math.sqrt(n[s])) / quality.ALPHA * a
+                n[s] += g * g
+    assert quality.ftrl(rows, bits=4, epochs=3) == pytest.approx([weight(k) for k in range(16)], rel=1e-5, abs=1e-7)
+
+
+def test_quality_scores_equal_plain_sums(spark, tmp_path):
+    """A score is the logistic of the weights of a text's words, word pairs and shape marks."""
+    from xxhash import xxh3_64_intdigest
+
+    from duelspark.llm.common import windows
+
+    data = documents(60) + AWKWARD
+    labels = [(d, int((d - 1000) % 3 > 0)) for d, _ in data[:60]]
+    weights = quality.train(frame(spark, data), spark.createDataFrame(labels, "doc_id long, quality int"))
+    table = np.frombuffer(zlib.decompress(weights), np.float32)
+    got = {(r["doc_id"], r["text"]): r["quality_score"] for r in quality.score(frame(spark, data), weights).collect()}
+    marks = {}  # the shape marks of each text, as the operator itself gives them
+    import pyarrow as pa
+
+    for slots, x, ends in quality.features(pa.array([t or "" for _, t in data])):
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            marks[len(marks)] = (slots[a:b], x[a:b])
+    for k, (d, t) in enumerate(data):
+        hashes = [xxh3_64_intdigest(w.translate(LOWER).encode()) for w in words(t)]
+        pairs = windows(np.array(hashes, np.uint64), 2, quality._PAIR_BASE).tolist()
+        grams = [h & ((1 << quality.BITS) - 1) for h in [*hashes, *pairs]]
+        slots, x = marks[k]
+        assert slots[: len(grams)].tolist() == grams and x[: len(grams)].tolist() == [1 / max(1, len(grams)) ** 0.5] * len(grams)
+        total = sum(float(table[g]) for g in grams) / max(1, len(grams)) ** 0.5 + sum(float(table[s]) for s in slots[len(grams) :].tolist())
+        assert got[d, t] == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-5)
