@@ -1,4 +1,12 @@
-"""Corpus pipeline: quality filter, line dedup, near-duplicate removal, decontamination, BPE ids."""
+"""Corpus pipeline: quality filter, line dedup, near-duplicate removal, decontamination, BPE ids.
+
+Each stage takes the rows that the stage before it kept, written and read again. Defined results: a null text is
+an empty one and stays null until its ids are made; an empty or unlabelled table passes through; rows without
+doc_id train nothing, lose no lines, are nobody's duplicates and stay unless a filter rejects their text. Of
+near-duplicates the least doc_id stays, with all rows that carry it; repeated rows are otherwise kept or dropped
+alike. All columns of ``documents`` come through the first four stages, clashing names included; the last one
+adds ``ids`` and ``n_tokens`` (clashing ones are replaced).
+"""
 
 from __future__ import annotations
 

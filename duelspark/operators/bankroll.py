@@ -54,12 +54,20 @@ def drawdown(book: DataFrame, start: float) -> DataFrame:
 
 
 def longest_streaks(book: DataFrame) -> DataFrame:
-    """(result, longest): longest runs of wins and losses, voids passed over."""
-    bets = book.filter("result in ('won', 'lost')")
-    order = Window.orderBy("bet_sequence")
-    per_result = Window.partitionBy("result").orderBy("bet_sequence")
-    runs = bets.withColumn("island", F.row_number().over(order) - F.row_number().over(per_result))
-    return runs.groupBy("result", "island").agg(F.count(F.lit(1)).alias("n")).groupBy("result").agg(F.max("n").alias("longest"))
+    """(result, longest): longest runs of wins and losses, voids passed over.
+
+    Runs are found inside slices; only a slice's first and last run, which may go on in its neighbours, are chained."""
+    bets = book.filter("result in ('won', 'lost')").select("result", "bet_sequence", F.floor(F.unix_date("match_date") / SLICE_DAYS).alias("slice"))
+    inside = Window.partitionBy("slice").orderBy("bet_sequence")
+    runs = bets.withColumn("run", F.row_number().over(inside) - F.row_number().over(Window.partitionBy("slice", "result").orderBy("bet_sequence")))
+    runs = runs.groupBy("slice", "result", "run").agg(F.count(F.lit(1)).alias("n"), F.min("bet_sequence").alias("at"))
+    placed = runs.select("slice", "result", "n", "at", F.row_number().over(Window.partitionBy("slice").orderBy("at")).alias("place"), F.count(F.lit(1)).over(Window.partitionBy("slice")).alias("runs"))
+    inner = placed.filter("place > 1 and place < runs").groupBy("result").agg(F.max("n").alias("n"))
+    edges = placed.filter("place = 1 or place = runs")  # at most two rows a slice
+    chain = Window.orderBy("at")
+    starts = (F.col("result") != F.lag("result", 1, "").over(chain)) | (F.col("place") > 1)
+    joined = edges.withColumn("island", F.sum(starts.cast("long")).over(chain)).groupBy("result", "island").agg(F.sum("n").alias("n"))
+    return joined.select("result", "n").unionByName(inner).groupBy("result").agg(F.max("n").alias("longest"))
 
 
 def performance(book: DataFrame, keys: list[str]) -> DataFrame:

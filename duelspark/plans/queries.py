@@ -493,7 +493,8 @@ LEDGER = f"""{ASSESS}, b AS (SELECT match_id, match_date, surface, CASE pick WHE
 
 
 def _book(spark: SparkSession, folder: str) -> DataFrame:
-    return bankroll.ledger(assessed(spark, folder))
+    """The ledger; reports read it several times, so it is kept."""
+    return bankroll.ledger(assessed(spark, folder)).persist()
 
 
 @query("bankroll_ledger", f"WITH {LEDGER} SELECT bet_sequence::BIGINT AS bet_sequence, match_id, result, {r('before', 'bankroll_before')}, {r('0.005 * before', 'stake')}, {r('0.005 * before * gain', 'profit_loss')}, {r('after', 'bankroll_after')} FROM z")
