@@ -18,6 +18,12 @@ REASONS = (
     "expected_value_below_threshold", "odds_below_minimum", "odds_above_maximum", "multiple_eligible_selections",
 )
 SIDES = ("player_1", "player_2")
+PICKED = ("player", "odds", "probability", "market_probability", "edge", "expected_value")
+#: Columns that an assessment adds; older ones of these names are replaced.
+MADE = (
+    *[f"{s}_{c}" for s in SIDES for c in ("model_probability", "decimal_odds", "raw_implied_probability", "market_probability", "edge", "expected_value", "eligible", "reason_codes")],
+    "overround", "odds_valid", "has_recommendation", "recommended_side", "decision_reason_codes", *[f"recommended_{c}" for c in PICKED],
+)
 
 
 def codes(conditions: dict[str, Column]) -> Column:
@@ -36,6 +42,7 @@ def _optional(frame: DataFrame, name: str, default: Column) -> Column:
 
 def assess(frame: DataFrame, limits: ValueThresholds = ValueThresholds()) -> DataFrame:
     """Flat assessments of prediction rows: match_id, players, surface, odds and predicted probabilities."""
+    frame = frame.drop(*MADE)
     o1, o2 = F.col("player_1_odds"), F.col("player_2_odds")
     p1, p2 = F.col("predicted_player_1_probability"), F.col("predicted_player_2_probability")
     market_ok = N.odds_pair_valid(o1, o2)
@@ -81,7 +88,7 @@ def assess(frame: DataFrame, limits: ValueThresholds = ValueThresholds()) -> Dat
     first, second = (F.col(f"{s}_eligible") for s in SIDES)
     both = codes({r: why["player_1"][r] | why["player_2"][r] for r in why["player_1"]})
     decision = F.when(first & second, "multiple_eligible_selections").when(first | second, "").otherwise(both)
-    picked = [F.col(f"__pick.{c}").alias(f"recommended_{c}") for c in ("player", "odds", "probability", "market_probability", "edge", "expected_value")]
+    picked = [F.col(f"__pick.{c}").alias(f"recommended_{c}") for c in PICKED]
     out = out.select("*", (first | second).alias("has_recommendation"), F.coalesce("__pick.side", F.lit("none")).alias("recommended_side"), *picked, decision.alias("decision_reason_codes"), F.col("overround").isNotNull().alias("odds_valid"))
     return out.drop("__pick", *[f"__{r}" for r in common], *[f"__{side}_{r}" for side in SIDES for r in own[side]])
 

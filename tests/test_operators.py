@@ -322,3 +322,17 @@ def test_configs_reject_bad_values():
     for bad in (lambda: RatingConfig(k=0), lambda: RollingConfig(window=0), lambda: ValueThresholds(min_odds=4), lambda: BankrollConfig(fraction=0), lambda: BankrollConfig(partition="x"), lambda: Fold(1, 2020, 2023, 2023), lambda: SplitConfig(validation=(date(2023, 1, 1), date(2024, 1, 1)))):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_text_forms_equal_the_standard_library(spark):
+    import re
+    import unicodedata
+
+    names = ["José  O’Neil", "Čepanović  A.", "İstanbul ŞÖLEN", "ﬁne Ⅳ ①", "Ångström–Ǆ", "é ẛ̣", "Σίσυφος ΑΒΓ", "Žluťoučký kůň", "zero​width", "“q” — t", "straße", "plain ascii ", "\t", "½ ½x", "Đoković", "Łódź Ø"]
+    table = str.maketrans(T._FOLD_FROM[: len(T._FOLD_TO)], T._FOLD_TO, T.INVISIBLE)
+    shown = lambda t: re.sub(r"\s+", " ", unicodedata.normalize("NFC", t.translate(table))).strip() or None
+    letters = lambda t: "".join(c for c in unicodedata.normalize("NFKD", shown(t).casefold()) if not unicodedata.combining(c))
+    rows = T.with_comparable(spark.createDataFrame([(x,) for x in names], "n string"), ["n"]).select("n", "n_normalized", T.display_text(F.col("n")).alias("shown")).collect()
+    for r in rows:
+        assert r["shown"] == shown(r["n"])
+        assert r["n_normalized"] == (" ".join(re.findall("[a-z0-9A-Z]+", letters(r["n"]))) or None if shown(r["n"]) else None), r["n"]
