@@ -10,6 +10,7 @@ MISSING = ("", "-", "n/a", "na", "nan", "none", "null", "nr")
 # Date patterns in order of preference.
 DATE_PATTERNS = ("yyyy-M-d", "d/M/yyyy", "d-M-yyyy", "M/d/yyyy", "yyyy-M-d H:m:s", "yyyy/M/d", "d MMM yyyy", "MMM d, yyyy", "yyyyMMdd")
 
+# Edges and labels of all buckets, here and in ``odds_bucket``.
 EDGE_BUCKETS = ((None, 0.04, "<0.04"), (0.04, 0.06, "0.04-0.06"), (0.06, 0.08, "0.06-0.08"), (0.08, 0.12, "0.08-0.12"), (0.12, None, "0.12+"))
 CORRECTION_BUCKETS = ((0.0, 0.01, "0.00-0.01"), (0.01, 0.02, "0.01-0.02"), (0.02, 0.05, "0.02-0.05"), (0.05, 0.10, "0.05-0.10"), (0.10, None, "0.10+"))
 SIGNED_BUCKETS = (

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 
+# Sources with their price columns, pairs of sources, quantiles; names of flags and filters below.
 SOURCES = {"Bet365": ("odds_1", "odds_2"), "Pinnacle/PS": ("ps_1", "ps_2"), "Average": ("avg_1", "avg_2")}
 PAIRS = (("Bet365", "Pinnacle/PS"), ("Bet365", "Average"), ("Pinnacle/PS", "Average"))
 QUANTILES = (0.01, 0.05, 0.25, 0.50, 0.75, 0.95, 0.99)
