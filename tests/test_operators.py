@@ -109,6 +109,24 @@ def test_ratings_goldens_and_loop(spark):
     assert pooled.count() == 250
 
 
+def test_pools_stream_in_batches(spark):
+    rows = played(120, seed=4)
+    pooled = [(*r, tour) for r in rows for tour in ("a", "b")]
+    frame = spark.createDataFrame([(f"{r[-1]}{r[0]}", *r[1:]) for r in pooled], f"{MATCH}, tour string")
+    want, size = loop_ratings(rows), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(size)
+    spark.conf.set(size, "7")  # a pool and a day pass over many batches
+    try:
+        rated = ratings.add_ratings(frame, pool="tour")
+        got = rated.collect()
+        report = ratings.rating_report(rated).first()
+    finally:
+        spark.conf.set(size, held)
+    assert "FlatMapGroupsInPandas" not in rated._jdf.queryExecution().toString()  # which holds a whole pool in one Python process
+    assert len(got) == 240 and all((r["overall_1"], r["overall_2"], r["surface_1"], r["surface_2"]) == pytest.approx(want[r["match_id"][1:]]) for r in got)
+    assert (report["matches"], report["updates"], report["players"]) == (240, sum(not r[8] for r in rows) * 2, 12)
+
+
 def test_decisions(spark):
     schema = "match_id string, surface string, player_1 string, player_2 string, player_1_odds double, player_2_odds double, predicted_player_1_probability double, predicted_player_2_probability double, is_retirement boolean"
     rows = [
