@@ -25,6 +25,8 @@ NUMERIC = ("overall_elo_diff", "surface_elo_diff", "log_rank_diff", "recent_rate
 BINARY = ("best_of_5", "surface_clay", "surface_grass")
 FORM = ("recent_rate_diff", "surface_recent_rate_diff", "rest_days_diff", "matches_in_schedule_diff")
 MARKET = "market_logit"
+#: Parts into which a pass for medians cuts a range.
+BINS = 1024
 FORBIDDEN = ("match_id", "match_date", "player_1", "player_2", "player_1_won", "odds_1", "odds_2", "is_retirement", "bankroll_before", "bankroll_after", "profit_loss", "stake", "result")
 VARIANTS = {
     "B_market_recalibration": (MARKET,),
@@ -106,12 +108,51 @@ class Fitted:
         return self.prepared.matrix(raw) @ self.weights + self.intercept
 
 
+def _medians(train: DataFrame, features: tuple[str, ...]) -> dict[tuple[int, int], float]:
+    """Exact median of each (group, feature's place); memory doesn't grow with the distinct values.
+
+    Each pass cuts the range that holds the middle into ``BINS``, with counts and ends, until it is one value."""
+    values = F.array(*[F.struct(F.lit(k).alias("f"), F.col(f).cast("double").alias("v")) for k, f in enumerate(features)])
+    long = train.select("g", F.inline(values)).filter("v is not null and not isnan(v)")
+    spans = {(r["g"], r["f"]): (r["lo"], r["hi"], (r["n"] - 1) // 2, r["n"] // 2) for r in long.groupBy("g", "f").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).collect()}
+    out = {key: lo for key, (lo, hi, _, _) in spans.items() if lo == hi}
+    v, lo, hi = F.col("v"), F.col("from"), F.col("to")
+    place = F.floor(F.coalesce(F.try_divide(v / 2 - lo / 2, hi / 2 - lo / 2), F.lit(0.0)) * BINS)
+    place = F.when(v <= lo, 0).when(v >= hi, BINS).otherwise(F.least(place, F.lit(BINS - 1)))
+    while spans := {key: span for key, span in spans.items() if key not in out}:
+        table = train.sparkSession.createDataFrame([(*key, *span[:2]) for key, span in spans.items()], "g long, f int, from double, to double")
+        inside = long.join(F.broadcast(table), ["g", "f"]).filter(v.between(lo, hi))
+        found: dict[tuple[int, int], list] = {}
+        for r in inside.groupBy("g", "f", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect():
+            found.setdefault((r["g"], r["f"]), []).append((r["bin"], r["n"], r["lo"], r["hi"]))
+        for key, bins in found.items():
+            _, _, first, second = spans[key]  # ranks of the two middle values, from the range's least
+            bins.sort()
+            for k, (_, n, least, greatest) in enumerate(bins):
+                if first < n:
+                    break
+                first, second = first - n, second - n
+            if second >= n:  # the two lie on both sides of a cut
+                out[key] = 0.5 * greatest + 0.5 * bins[k + 1][2]
+            elif least == greatest:
+                out[key] = least
+            else:
+                spans[key] = (least, greatest, first, second)
+    return out
+
+
 def _figures(train: DataFrame, features: tuple[str, ...], binary: tuple[str, ...]) -> dict[int, Prepared]:
     """Per group: exact medians (mode for binaries), null counts, then means and population deviations."""
     c = lambda f: F.col(f).cast("double")
-    first = train.groupBy("g").agg(*[x for f in features for x in ((F.mode(c(f)) if f in binary else F.percentile(c(f), F.lit(0.5))).alias(f"m_{f}"), F.count_if(F.col(f).isNull()).alias(f"n_{f}"))])
-    rows = {r["g"]: r for r in first.collect()}  # one row per fit
-    filled = train.join(F.broadcast(first.select("g", *[f"m_{f}" for f in features])), "g")
+    counts = train.groupBy("g").agg(*[F.mode(c(f)).alias(f"m_{f}") for f in features if f in binary], *[F.count_if(F.col(f).isNull()).alias(f"n_{f}") for f in features])
+    rows = {r["g"]: r for r in counts.collect()}  # one row per fit
+    if not rows:
+        return {}
+    numeric = tuple(f for f in features if f not in binary)
+    middle = _medians(train, numeric) if numeric else {}
+    medians = {g: [k[f"m_{f}"] if f in binary else middle.get((g, numeric.index(f))) for f in features] for g, k in rows.items()}
+    table = train.sparkSession.createDataFrame([(g, *m) for g, m in medians.items()], "g long, " + ", ".join(f"m_{f} double" for f in features))
+    filled = train.join(F.broadcast(table), "g")
     value = lambda f: F.coalesce(c(f), F.col(f"m_{f}"), F.lit(0.0))
     gap = lambda f: F.col(f).isNull().cast("double")
     second = filled.groupBy("g").agg(*[x for f in features for x in (F.avg(value(f)).alias(f"a_{f}"), F.stddev_pop(value(f)).alias(f"s_{f}"), F.avg(gap(f)).alias(f"ga_{f}"), F.stddev_pop(gap(f)).alias(f"gs_{f}"))])
@@ -121,58 +162,81 @@ def _figures(train: DataFrame, features: tuple[str, ...], binary: tuple[str, ...
         gaps = tuple(i for i, f in enumerate(features) if k[f"n_{f}"] and f not in binary)
         means = [0.0 if f in binary else r[f"a_{f}"] for f in features] + [r[f"ga_{features[i]}"] for i in gaps]
         scales = [1.0 if f in binary else r[f"s_{f}"] or 1.0 for f in features] + [r[f"gs_{features[i]}"] or 1.0 for i in gaps]
-        medians = np.array([k[f"m_{f}"] if k[f"m_{f}"] is not None else 0.0 for f in features])
-        out[r["g"]] = Prepared(features, medians, gaps, np.array(means), np.array(scales))
+        out[r["g"]] = Prepared(features, np.array([0.0 if m is None else m for m in medians[r["g"]]]), gaps, np.array(means), np.array(scales))
     return out
 
 
+def _matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """Columns of doubles as a matrix, nulls as NaN."""
+    return np.column_stack([batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names])
+
+
 def fit_groups(train: DataFrame, features: tuple[str, ...], binary: tuple[str, ...] = (), c: float = 1.0, max_iter: int = 50, tolerance: float = 1e-10) -> dict[int, Fitted]:
     """L2 logistic regression of every group ``g`` of ``train`` (label ``y``): minimum of |w|^2/2 + c * loss."""
+    return fit_variants(train, {"": features}, binary, c, max_iter, tolerance)[""]
+
+
+def fit_variants(train: DataFrame, variants: dict[str, tuple[str, ...]], binary: tuple[str, ...] = (), c: float = 1.0, max_iter: int = 50, tolerance: float = 1e-10) -> dict[str, dict[int, Fitted]]:
+    """``fit_groups`` for several lists of features: figures are taken once, and a Newton step of all fits is one pass."""
+    features = tuple(dict.fromkeys(f for names in variants.values() for f in names))
     check_features(features)
-    prepared = _figures(train, features, binary)
-    state = {g: np.zeros(len(p.means) + 1) for g, p in prepared.items()}
+    whole = _figures(train, features, binary)
+    prepared, columns = {}, {}  # of each fit, by variant and group; columns: its places in the group's whole matrix
+    for name, own in variants.items():
+        at = [features.index(f) for f in own]
+        for g, p in whole.items():
+            gaps = [i for i in at if i in p.indicators]
+            columns[name, g] = at + [len(features) + p.indicators.index(i) for i in gaps]
+            prepared[name, g] = Prepared(own, p.medians[at], tuple(at.index(i) for i in gaps), p.means[columns[name, g]], p.scales[columns[name, g]])
+    state = {fit: np.zeros(len(p.means) + 1) for fit, p in prepared.items()}
     slim = train.select("g", F.col("y").cast("double").alias("y"), *[F.col(f).cast("double") for f in features])
+    order = list(state)
     open_ = set(state)
-    rounds = {g: 0 for g in state}
+    rounds = {fit: 0 for fit in state}
     for _ in range(max_iter):
         if not open_:
             break
-        shared = {g: (prepared[g], state[g]) for g in open_}
+        shared: dict[int, list] = {}
+        for k, (name, g) in enumerate(order):
+            if (name, g) in open_:
+                shared.setdefault(g, []).append((k, columns[name, g], state[name, g]))
 
         def step(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
             for batch in batches:
-                frame = batch.to_pandas()
-                for g, part in frame.groupby("g"):
+                groups, rows = batch.column("g").to_numpy(zero_copy_only=False), _matrix(batch, ["y", *features])
+                for g in np.unique(groups).tolist():
                     if g not in shared:
                         continue
-                    p, w = shared[g]
-                    x = np.column_stack([p.matrix(part[list(features)].to_numpy(float)), np.ones(len(part))])
-                    q = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
-                    made = np.concatenate([x.T @ (q - part["y"].to_numpy()), ((x * (q * (1 - q))[:, None]).T @ x).ravel()])
-                    sums[g] = made if g not in sums else sums[g] + made
-            rows = [(g, k, v) for g, s in sums.items() for k, v in enumerate(s.tolist())]
-            columns = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["g", "k", "v"])
-
-        found: dict[int, dict[int, float]] = {}
-        for r in slim.mapInArrow(step, "g long, k long, v double").groupBy("g", "k").agg(F.sum("v").alias("v")).collect():
-            found.setdefault(r["g"], {})[r["k"]] = r["v"]
-        for g in list(open_):
-            if g not in found:
-                open_.discard(g)
+                    part = rows[groups == g]
+                    full = np.column_stack([whole[g].matrix(part[:, 1:]), np.ones(len(part))])
+                    for k, own, w in shared[g]:
+                        x = full[:, [*own, -1]]
+                        q = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
+                        made = np.concatenate([x.T @ (q - part[:, 0]), ((x * (q * (1 - q))[:, None]).T @ x).ravel()])
+                        sums[k] = made if k not in sums else sums[k] + made
+            rows = [(fit, k, v) for fit, s in sums.items() for k, v in enumerate(s.tolist())]
+            made = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(made[0], pa.int64()), pa.array(made[1], pa.int64()), pa.array(made[2], pa.float64())], names=["fit", "k", "v"])
+
+        found: dict[tuple, dict[int, float]] = {}
+        for r in slim.mapInArrow(step, "fit long, k long, v double").groupBy("fit", "k").agg(F.sum("v").alias("v")).collect():
+            found.setdefault(order[r["fit"]], {})[r["k"]] = r["v"]
+        for fit in list(open_):
+            if fit not in found:
+                open_.discard(fit)
                 continue
-            n = len(state[g])
-            flat = np.array([found[g][k] for k in range(n + n * n)])
+            n = len(state[fit])
+            flat = np.array([found[fit][k] for k in range(n + n * n)])
             penalty = np.append(np.ones(n - 1), 0.0) / c
-            gradient = flat[:n] + penalty * state[g]
+            gradient = flat[:n] + penalty * state[fit]
             hessian = flat[n:].reshape(n, n) + np.diag(penalty) + 1e-12 * np.eye(n)
             move = np.linalg.solve(hessian, gradient)
-            state[g] = state[g] - move
-            rounds[g] += 1
+            state[fit] = state[fit] - move
+            rounds[fit] += 1
             if np.abs(move).max() < tolerance:
-                open_.discard(g)
-    return {g: Fitted(prepared[g], w[:-1], float(w[-1]), rounds[g]) for g, w in state.items()}
+                open_.discard(fit)
+    return {name: {g: Fitted(prepared[name, g], state[name, g][:-1], float(state[name, g][-1]), rounds[name, g]) for g in whole} for name in variants}
 
 
 def predict_groups(frame: DataFrame, fitted: dict[int, Fitted], output: str = "probability", offset: str | None = None, cap: float | None = None) -> DataFrame:
@@ -236,13 +300,12 @@ def ablation(prepared: DataFrame, folds: tuple[Fold, ...]) -> DataFrame:
     """(variant, fold, log loss, Brier) of the market itself and six fitted variants."""
     rows = fold_rows(prepared, folds).withColumn("g", F.col("fold").cast("long"))
     train, test = rows.filter("role = 'train'"), rows.filter("role = 'evaluate'")
-    out = [test.select(F.lit("A_market_baseline").alias("variant"), "fold", "match_id", "y", F.col("market_probability").alias("p"))]
-    for name, features in VARIANTS.items():
-        fitted = fit_groups(train, features, tuple(f for f in features if f in BINARY))
-        out.append(predict_groups(test, fitted, "p").select(F.lit(name).alias("variant"), "fold", "match_id", "y", "p"))
-    every = out[0]
-    for more in out[1:]:
-        every = every.unionByName(more)
+    fitted = fit_variants(train, VARIANTS, BINARY)
+    scored = test
+    for name in VARIANTS:
+        scored = predict_groups(scored, fitted[name], f"p_{name}")
+    pairs = {"A_market_baseline": "market_probability"} | {name: f"p_{name}" for name in VARIANTS}
+    every = scored.select("fold", "y", F.inline(F.array(*[F.struct(F.lit(name).alias("variant"), F.col(p).alias("p")) for name, p in pairs.items()])))
     return every.groupBy("variant", "fold").agg(F.count(F.lit(1)).alias("n"), F.avg(N.row_log_loss(F.col("y"), F.col("p"))).alias("log_loss"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"))
 
 

@@ -302,6 +302,32 @@ def test_logistic_fit_is_the_penalised_optimum(spark):
         models.fit_groups(frame, ("profit_loss",))
 
 
+def test_medians_are_exact_without_a_table_of_values(spark, monkeypatch):
+    monkeypatch.setattr(models, "BINS", 4)  # several passes
+    rng = np.random.default_rng(8)
+    columns = {"a": rng.normal(size=301), "b": rng.integers(-2, 3, 301).astype(float), "c": np.where(rng.random(301) < 0.5, np.nan, rng.normal(size=301) * 1e9), "d": np.full(301, 7.0), "e": rng.choice([-1.7e308, 1.7e308, 1.0], 301)}
+    rows = [(k % 3, *(None if math.isnan(v[k]) else float(v[k]) for v in columns.values())) for k in range(301)]
+    frame = spark.createDataFrame(rows, "g long, a double, b double, c double, d double, e double")
+    got = models._medians(frame, tuple(columns))
+    for g in range(3):
+        for k, v in enumerate(columns.values()):
+            own = np.sort(v[g::3][~np.isnan(v[g::3])])
+            assert got[g, k] == 0.5 * own[(len(own) - 1) // 2] + 0.5 * own[len(own) // 2]
+
+
+def test_variants_are_fitted_together_as_alone(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 2))
+    rows = [(int(k % 2), float(rng.random() < 1 / (1 + math.exp(-a))), float(a), None if k % 7 == 0 else float(b), int(k % 3 == 0)) for k, (a, b) in enumerate(x)]
+    frame = spark.createDataFrame(rows, "g long, y double, market_logit double, log_rank_diff double, best_of_5 long").persist()
+    variants = {"one": ("market_logit",), "two": ("best_of_5", "log_rank_diff"), "all": ("market_logit", "log_rank_diff", "best_of_5")}
+    together = models.fit_variants(frame, variants, models.BINARY)
+    for name, features in variants.items():
+        for g, alone in models.fit_groups(frame, features, tuple(f for f in features if f in models.BINARY)).items():
+            got = together[name][g]
+            assert got.prepared.names() == alone.prepared.names() and (*got.weights, got.intercept) == pytest.approx((*alone.weights, alone.intercept), abs=1e-9)
+
+
 def test_fixed_offset_cap_and_folds(spark):
     rng = np.random.default_rng(6)
     rows = [(1, float(rng.random() < 0.5), float(rng.normal()), float(rng.normal() * 9)) for _ in range(200)]
