@@ -650,7 +650,8 @@ def block_bootstrap_ci(spark, folder):
 
 def _model_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Prepared rows with all model features; read many times by the fits, so kept."""
-    return models.prepare(rated_features(spark, folder)).persist()
+    keep = ["match_id", "match_date", "year", "part", "y", "market_probability", "overround", "odds_source", models.MARKET, *models.NUMERIC, *models.BINARY]
+    return models.prepare(rated_features(spark, folder)).select(*keep).persist()
 
 
 @query("logit_v1")
