@@ -83,3 +83,11 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() == 21 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_models_keep_only_the_columns_that_they_read(spark):
+    from duelspark.operators import models
+
+    kept = catalogue._model_rows(spark, FOLDER)
+    kept.unpersist()
+    assert set(kept.columns) == {"match_id", "match_date", "year", "part", "y", "market_probability", "overround", "odds_source", models.MARKET, *models.NUMERIC, *models.BINARY}
