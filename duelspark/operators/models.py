@@ -7,8 +7,10 @@ per-group matrices of (features + 1) squared reach the driver.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass, field
+from tempfile import TemporaryFile
 
 import numpy as np
 import pandas as pd
@@ -263,27 +265,64 @@ def predict_groups(frame: DataFrame, fitted: dict[int, Fitted], output: str = "p
 def fit_fixed_offset(train: DataFrame, features: tuple[str, ...], offset: str = MARKET, c: float = 1.0, rate: float = 0.05, max_iter: int = 600, tolerance: float = 1e-8) -> dict[int, Fitted]:
     """Correction on top of a fixed offset by full-batch gradient descent with early stop, per group.
 
-    The descent needs every row of a group at each of its steps: one task holds a group's features as floats."""
+    The descent needs every row of a group at each of its steps: one task writes a group's scaled rows to a file of
+    its own and passes over that block by block, so that its memory doesn't grow with the group."""
     check_features(features)
     prepared = _figures(train, features, ())
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        x = prepared[int(key[0])].matrix(frame[list(features)].to_numpy(float))
-        y, base = frame["y"].to_numpy(float), frame[offset].to_numpy(float)
-        w, b, n, before, steps = x[:1].sum(axis=0) * 0.0, 0.0, len(y), np.inf, 0
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups, rows = batch.column("g").to_numpy(zero_copy_only=False), _matrix(batch, ["y", offset, *features])
+            for g in np.unique(groups).tolist():
+                part = rows[groups == g]
+                block = np.column_stack([part[:, :2], prepared[g].matrix(part[:, 2:])])
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([block.T.tobytes()], pa.binary())], names=["g", "columns"])
+
+    def descend(blocks: Callable[[], Iterator[np.ndarray]], m: int) -> tuple[np.ndarray, float, int]:
+        def sums(w: np.ndarray, b: float) -> tuple[np.ndarray, float, float, int]:
+            """Summed errors times rows, errors, losses and the count at a point."""
+            slope, error, loss, n = np.zeros(m), 0.0, 0.0, 0
+            for block in blocks():
+                y, base, x = block[0], block[1], block[2:]
+                q = 1 / (1 + np.exp(-np.clip(base + b + w @ x, -40, 40)))
+                slope, error, n = slope + x @ (q - y), error + (q - y).sum(), n + len(y)
+                q = np.clip(q, 1e-15, 1 - 1e-15)
+                loss -= np.log(np.where(y == 1, q, 1 - q)).sum()
+            return slope, error, loss, n
+
+        w, b, before, steps = np.zeros(m), 0.0, np.inf, 0
+        slope, error, _, n = sums(w, b)
         for steps in range(1, max_iter + 1):
-            error = 1 / (1 + np.exp(-np.clip(base + b + x @ w, -40, 40))) - y
-            b -= rate * error.mean()
-            w = w - rate * (x.T @ error + w / c) / n
-            q = np.clip(1 / (1 + np.exp(-np.clip(base + b + x @ w, -40, 40))), 1e-15, 1 - 1e-15)
-            loss = -(y * np.log(q) + (1 - y) * np.log(1 - q)).mean()
-            if abs(before - loss) < tolerance:
+            w, b = w - rate * (slope + w / c) / n, b - rate * error / n
+            slope, error, loss, n = sums(w, b)
+            if abs(before - loss / n) < tolerance:
                 break
-            before = loss
-        return pd.DataFrame({"g": [key[0]], "w": [w.tolist()], "b": [b], "steps": [steps]})
+            before = loss / n
+        return w, float(b), steps
 
-    slim = train.select("g", "y", offset, *[F.col(f).cast("double") for f in features])
-    rows = slim.groupBy("g").applyInPandas(run, "g long, w array<double>, b double, steps int").collect()  # one row per fit
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with ExitStack() as stack:
+            files, lengths = {}, {}
+            for batch in batches:
+                for g, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    if g not in files:
+                        files[g], lengths[g] = stack.enter_context(TemporaryFile()), []
+                    lengths[g].append(files[g].write(data.as_buffer()) // 8)
+            for g, file in files.items():
+                m = len(prepared[g].means)
+                file.flush()
+
+                def blocks(file=file, sizes=lengths[g], m=m) -> Iterator[np.ndarray]:
+                    file.seek(0)
+                    for size in sizes:
+                        yield np.frombuffer(file.read(size * 8)).reshape(m + 2, -1)
+
+                w, b, steps = descend(blocks, m)
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([b], pa.float64()), pa.array([steps], pa.int32())], names=["g", "w", "b", "steps"])
+
+    slim = train.select("g", F.col("y").cast("double").alias("y"), F.col(offset).cast("double").alias(offset), *[F.col(f).cast("double") for f in features])
+    packed = slim.mapInArrow(pack, "g long, columns binary").repartition("g")
+    rows = packed.mapInArrow(run, "g long, w array<double>, b double, steps int").collect()  # one row per fit
     return {r["g"]: Fitted(prepared[r["g"]], np.array(r["w"]), r["b"], r["steps"]) for r in rows}
 
 

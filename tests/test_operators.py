@@ -328,6 +328,34 @@ def test_variants_are_fitted_together_as_alone(spark):
             assert got.prepared.names() == alone.prepared.names() and (*got.weights, got.intercept) == pytest.approx((*alone.weights, alone.intercept), abs=1e-9)
 
 
+def test_the_descent_passes_over_blocks(spark, monkeypatch):
+    from pyspark.sql import GroupedData
+
+    monkeypatch.setattr(GroupedData, "applyInPandas", None)  # holds a fold in one Python process
+    rng = np.random.default_rng(10)
+    rows = [(int(k % 2), float(rng.random() < 0.6), float(rng.normal()), None if k % 9 == 0 else float(rng.normal() * 9)) for k in range(200)]
+    frame = spark.createDataFrame(rows, "g long, y double, market_logit double, rest_days_diff double")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(size)
+    spark.conf.set(size, "7")
+    try:
+        fitted = models.fit_fixed_offset(frame, ("rest_days_diff",))
+    finally:
+        spark.conf.set(size, held)
+    for g, m in fitted.items():
+        data = np.array([[math.nan if v is None else v for v in r[1:]] for r in rows if r[0] == g])
+        y, base, x, w, b, before = data[:, 0], data[:, 1], m.prepared.matrix(data[:, 2:]), np.zeros(2), 0.0, math.inf
+        for steps in range(1, 601):
+            error = 1 / (1 + np.exp(-(base + b + x @ w))) - y
+            w, b = w - 0.05 * (x.T @ error + w) / len(y), b - 0.05 * error.mean()
+            q = 1 / (1 + np.exp(-(base + b + x @ w)))
+            loss = -(y * np.log(q) + (1 - y) * np.log(1 - q)).mean()
+            if abs(before - loss) < 1e-8:
+                break
+            before = loss
+        assert m.iterations == steps and (*m.weights, m.intercept) == pytest.approx((*w, b))
+
+
 def test_fixed_offset_cap_and_folds(spark):
     rng = np.random.default_rng(6)
     rows = [(1, float(rng.random() < 0.5), float(rng.normal()), float(rng.normal() * 9)) for _ in range(200)]
