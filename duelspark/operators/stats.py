@@ -61,8 +61,12 @@ def metric_rows(stats: DataFrame) -> DataFrame:
 def tour_priors(metrics: DataFrame) -> DataFrame:
     """(day, metric, surface or '*', s, t): sums over all days before; pre-aggregated by day first."""
     daily = metrics.filter("valid").groupBy("metric", "surface", "day").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
+    return _priors(daily, metrics.select("day").distinct())
+
+
+def _priors(daily: DataFrame, days: DataFrame) -> DataFrame:
     both = daily.unionByName(daily.groupBy("metric", "day").agg(F.sum("s").alias("s"), F.sum("t").alias("t")).withColumn("surface", F.lit("*")))
-    grid = metrics.select("day").distinct().crossJoin(both.select("metric", "surface").distinct())  # days x 36, of fixed metrics and surfaces
+    grid = days.crossJoin(both.select("metric", "surface").distinct())  # days x 36, of fixed metrics and surfaces
     filled = grid.join(both, ["metric", "surface", "day"], "left")
     before = Window.partitionBy("metric", "surface").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     return filled.select("metric", "surface", "day", F.sum("s").over(before).alias("prior_s"), F.sum("t").over(before).alias("prior_t"))
@@ -132,35 +136,102 @@ def workload(stats: DataFrame, days: tuple[int, ...] = (3, 7, 14)) -> DataFrame:
     return out.select("external_row", "side", "player", *[f"{x}_last_{k}d" for k in days for x in ("minutes", "known", "missing")])
 
 
+def _weight(metric: str) -> float:
+    return BREAK_WEIGHT if metric.startswith("break_points") else RATE_WEIGHT
+
+
+def day_states(stats: DataFrame, asked: DataFrame) -> DataFrame:
+    """(player, day, surface) of ``asked`` with what all valid matches before the day say.
+
+    All of a player's matches of a day see the same state, so a day's matches are summed first, each weighted by the
+    decay of those after it; a player's days, not matches, are then chained in order. Columns: per metric the
+    decayed rate, overall and on the surface; numbers of matches; decayed points; workload."""
+    keys = ["player", "day", "surface"]
+    names = [f"{x}{k}" for k in range(len(METRICS)) for x in "st"]
+    decays = {"o": half_life_decay(OVERALL_HALF_LIFE), "f": half_life_decay(SURFACE_HALF_LIFE)}
+    valid = stats.filter("valid")
+    sums = [e for s, t in METRICS.values() for e in (F.expr(s), F.expr(t))]
+    known = F.col("minutes") >= 0
+    rows = valid.repartition("player", "day")
+    for x, pool in (("o", keys[:2]), ("f", keys)):
+        later = F.row_number().over(Window.partitionBy(*pool).orderBy(F.desc("external_row"), F.desc("side"))) - 1
+        rows = rows.withColumn(f"w{x}", F.pow(F.lit(decays[x]), later))
+    daily = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.col(f"w{x}") * e).alias(f"{x}{name}") for x in decays for name, e in zip(names, sums)],
+        F.sum(F.when(known, F.col("minutes").cast("double"))).alias("minutes"), F.count_if(F.coalesce(known, F.lit(False))).alias("known"), F.count_if(~F.coalesce(known, F.lit(False))).alias("missing"),
+    )
+    every = daily.withColumn("asked", F.lit(False)).unionByName(asked.select(*keys).distinct().withColumn("asked", F.lit(True)), allowMissingColumns=True)
+    load = []
+    for k in (3, 7, 14):
+        frame = Window.partitionBy("player").orderBy("day").rangeBetween(-k, -1)
+        load += [F.coalesce(F.sum("minutes").over(frame), F.lit(0.0)).alias(f"minutes_last_{k}d"), *[F.coalesce(F.sum(c).over(frame), F.lit(0)).alias(f"{c}_duration_matches_last_{k}d") for c in ("known", "missing")]]
+    loads = [f"{c}_last_{k}d" for k in (3, 7, 14) for c in ("minutes", "known_duration_matches", "missing_duration_matches")]
+    every = every.select(*keys, "asked", F.coalesce("n", F.lit(0)).alias("n"), *[F.coalesce(f"{x}{c}", F.lit(0.0)).alias(f"{x}{c}") for x in decays for c in names], *load)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("day", kind="mergesort")
+        days, pools, n = frame["day"].to_numpy(), frame["surface"].to_numpy(object), frame["n"].to_numpy()
+        today = {x: frame[[f"{x}{c}" for c in names]].to_numpy() for x in decays}
+        out, counts = {x: np.zeros(today[x].shape) for x in decays}, {x: np.zeros(len(days), dtype=np.int64) for x in decays}
+        held: dict = {}
+        at = 0
+        while at < len(days):
+            end = at
+            while end < len(days) and days[end] == days[at]:
+                end += 1
+            for k in range(at, end):  # every row of a day sees what the day began with
+                out["o"][k], counts["o"][k] = held.get("o", (0.0, 0))
+                out["f"][k], counts["f"][k] = held.get(("f", pools[k]), (0.0, 0))
+            state, count = held.get("o", (0.0, 0))
+            total = int(n[at:end].sum())
+            held["o"] = decays["o"] ** total * state + today["o"][at:end].sum(axis=0), count + total
+            for k in range(at, end):
+                state, count = held.get(("f", pools[k]), (0.0, 0))
+                held["f", pools[k]] = decays["f"] ** int(n[k]) * state + today["f"][k], count + int(n[k])
+            at = end
+        made = frame[[*keys, *loads]].copy()
+        for x in decays:
+            made[[f"{x}{c}" for c in names]] = out[x]
+            made[f"{x}n"] = counts[x]
+        return made[frame["asked"].to_numpy()]
+
+    types = dict(every.dtypes)
+    schema = [f"{c} {types[c]}" for c in (*keys, *loads)] + [f"{x}{c} double" for x in decays for c in names] + [f"{x}n long" for x in decays]
+    states = every.groupBy("player").applyInPandas(run, ", ".join(schema))
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"s{k}").alias("s"), F.col(f"t{k}").alias("t")) for k, m in enumerate(METRICS)])
+    tour = valid.groupBy("surface", "day").agg(*[F.sum(e).alias(c) for c, e in zip(names, sums)]).select("surface", "day", F.inline(pairs))
+    priors = _priors(tour, asked.select("day").union(stats.select("day")).distinct())
+    wide = priors.groupBy("surface", "day").agg(*[F.max(F.when(F.col("metric") == m, F.try_divide("prior_s", "prior_t"))).alias(f"p{k}") for k, m in enumerate(METRICS)])  # a row a metric
+    whole = wide.filter("surface = '*'").select("day", *[F.col(f"p{k}").alias(f"op{k}") for k in range(len(METRICS))])
+    own = wide.filter("surface <> '*'").select("day", "surface", *[F.col(f"p{k}").alias(f"fp{k}") for k in range(len(METRICS))])
+    joined = states.join(whole, "day", "left").join(own, ["day", "surface"], "left")
+    rate = lambda x, k, m: ((F.col(f"{x}s{k}") + _weight(m) * F.col(f"{x}p{k}")) / (F.col(f"{x}t{k}") + _weight(m)))
+    rates = [c for x, prefix in (("o", ""), ("f", "surface_")) for c in (*[rate(x, k, m).alias(f"{prefix}ewm_{m}") for k, m in enumerate(METRICS)], F.col(f"{x}n").alias(f"{prefix}point_stats_match_count"))]
+    points = [F.col(f"ot{list(METRICS).index(m)}").alias(c) for m, c in (("serve_points_won_pct", "decayed_service_points"), ("return_points_won_pct", "decayed_return_points"))]
+    return joined.select(*keys, *rates, *points, *loads)
+
+
 def prematch_features(project: DataFrame, external: DataFrame, links: DataFrame) -> DataFrame:
     """One row per linked match: what both players' external matches before its day say.
 
-    ``project``: match_id, day, surface, player_1_won; ``links``: match_id and external_row. A linked match asks
-    with probe rows, on its own surface, that never count themselves. Columns: per metric the decayed rate of
-    both players and their difference, overall and on the surface; numbers of earlier valid matches; decayed
-    points; workload. A match_id that is linked twice keeps the row of its earlier external match."""
+    ``project``: match_id, day, surface, player_1_won; ``links``: match_id and external_row. A linked match asks for
+    its players' states before its day, on its own surface. Columns: per metric the decayed rate of both players and
+    their difference, overall and on the surface; numbers of earlier valid matches; decayed points; workload. A
+    match_id that is linked twice keeps the row of its earlier external match."""
     ids = external.select("external_row", "winner_id", "loser_id")
     first = links.filter("external_row is not null").groupBy("match_id").agg(F.min("external_row").alias("external_row"))
     asked = project.select("match_id", "day", "surface", "player_1_won").join(first, "match_id").join(ids, "external_row")
     own = F.when(F.col("player_1_won"), F.col("winner_id")).otherwise(F.col("loser_id"))
     other = F.when(F.col("player_1_won"), F.col("loser_id")).otherwise(F.col("winner_id"))
-    seen = player_stats(external)
-    sides = F.inline(F.array(F.struct(F.lit(3).alias("side"), own.alias("player")), F.struct(F.lit(4).alias("side"), other.alias("player"))))
-    probes = asked.select("external_row", "day", "surface", F.lit(False).alias("valid"), sides).filter("player is not null")
-    every = seen.unionByName(probes, allowMissingColumns=True)
-    mine = F.col("side") > 2
-    overall, surface = (decayed_rates(every, by_surface).filter(mine) for by_surface in (False, True))
-    at = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
-    wide = lambda rates, prefix, extra: rates.groupBy("external_row", "side").agg(
-        *[at(m, "rate").alias(f"{prefix}ewm_{m}") for m in METRICS], F.max("matches_before").alias(f"{prefix}point_stats_match_count"), *extra
-    )
-    points = [at(m, "decayed_t").alias(name) for m, name in (("serve_points_won_pct", "decayed_service_points"), ("return_points_won_pct", "decayed_return_points"))]
-    load = workload(every).filter(mine).drop("player")
-    load = load.withColumnsRenamed({f"{x}_last_{k}d": f"{x}_duration_matches_last_{k}d" for k in (3, 7, 14) for x in ("known", "missing")})
-    player = wide(overall, "", points).join(wide(surface, "surface_", []), ["external_row", "side"]).join(load, ["external_row", "side"])
-    names = [c for c in player.columns if c not in ("external_row", "side")]
-    one, two = (player.filter(F.col("side") == s).select("external_row", *[F.col(c).alias(f"player_{n}_{c}") for c in names]) for n, s in ((1, 3), (2, 4)))
-    both = asked.select("match_id", "external_row").join(one, "external_row").join(two, "external_row")
+    asked = asked.select("match_id", "day", "surface", own.alias("one"), other.alias("two")).filter("one is not null and two is not null")
+    states = day_states(player_stats(external), asked.select("day", "surface", F.explode(F.array("one", "two")).alias("player")))
+    names = [c for c in states.columns if c not in ("player", "day", "surface")]
+    # States and matches meet by day; both players' states then come by windows inside it, without moving wide rows again.
+    offered = states.select("day", "surface", F.col("player").alias("one"), F.col("player").alias("two"), F.struct(*names).alias("state"))
+    both = asked.unionByName(offered, allowMissingColumns=True).repartition("day")
+    for n, side in ((1, "one"), (2, "two")):
+        both = both.withColumn(f"__{n}", F.first("state", ignorenulls=True).over(Window.partitionBy("day", "surface", side)))
+    both = both.filter("state is null").select("match_id", *[F.col(f"__{n}.{c}").alias(f"player_{n}_{c}") for n in (1, 2) for c in names])
     differ = [c for c in names if "ewm_" in c or c.startswith("minutes_")]
     least = [c for c in names if c.endswith("point_stats_match_count")]
     return both.select(

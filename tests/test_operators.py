@@ -270,6 +270,22 @@ def test_decayed_rates_equal_a_loop(spark):
     assert got == pytest.approx(want)
 
 
+def test_matches_that_share_an_external_match_ask_for_their_own_days(spark):
+    names = ", ".join(f"{s}_{c} int" for s in ("winner", "loser") for c in stats.COUNTS)
+    rows = external_rows()
+    frame = spark.createDataFrame(rows, f"external_row long, day int, surface string, winner_id long, loser_id long, minutes double, is_walkover boolean, is_retirement boolean, {names}")
+    project = spark.createDataFrame([("early", 20, "Hard", True), ("late", 55, "Hard", True)], "match_id string, day int, surface string, player_1_won boolean")
+    links = spark.createDataFrame([("early", 3), ("late", 3)], "match_id string, external_row long")
+    got = {r["match_id"]: r for r in stats.prematch_features(project, frame, links).collect()}
+    valid = [r for r in rows if not r[6] and not r[7]]
+    for name, day in (("early", 20), ("late", 55)):
+        for n, player in ((1, rows[3][3]), (2, rows[3][4])):
+            earlier = [r for r in valid if player in r[3:5] and r[1] < day]
+            assert got[name][f"player_{n}_point_stats_match_count"] == len(earlier)
+            assert got[name][f"player_{n}_surface_point_stats_match_count"] == sum(r[2] == "Hard" for r in earlier)
+            assert got[name][f"player_{n}_minutes_last_7d"] == sum(r[5] or 0 for r in earlier if r[1] >= day - 7)
+
+
 def test_stat_pairs_and_bounds(spark):
     names = ", ".join(f"{s}_{c} int" for s in ("winner", "loser") for c in stats.COUNTS)
     row = (1, 1, "Hard", 1, 2, 90.0, False, False, 5, 1, 50, 30, 24, 10, 3, 4, 2, 2, 60, 40, 20, 8, 4, 8)
