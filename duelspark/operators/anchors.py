@@ -14,7 +14,9 @@ from . import markets, metrics, models, resample
 # Scopes and architectures.
 SCOPES = ("source_specific", "common_all_sources")
 RAW, RECALIBRATED, FORM = "raw_market", "market_recalibration", "free_form_workload"
+FITTED = {RECALIBRATED: (models.MARKET,), FORM: (models.MARKET, *models.FORM)}
 KEYS = ["source", "scope", "segment"]
+PLACE = ["source", "scope", "fold", "match_id", "match_date", "year", "y", "market_probability"]
 
 
 def by_scope(frame: DataFrame) -> DataFrame:
@@ -24,18 +26,23 @@ def by_scope(frame: DataFrame) -> DataFrame:
     return long.withColumn("market_probability", F.col("probability")).withColumn(models.MARKET, N.logit(F.col("probability")))
 
 
-def predictions(frame: DataFrame, folds: tuple[Fold, ...]) -> DataFrame:
-    """(source, scope, architecture, fold, match_id, match_date, year, y, market_probability, p) of evaluation rows.
+def scored(frame: DataFrame, folds: tuple[Fold, ...]) -> DataFrame:
+    """(source, scope, fold, match_id, match_date, year, y, market_probability) of evaluation rows, and a probability named after each architecture.
 
-    ``frame``: match features with y and the prices of all sources. All fits of a kind are made at once."""
+    ``frame``: match features with y and the prices of all sources; the fits read it many times. All fits are made at once."""
     number = reduce(lambda a, b: a.when(F.col("source") == b[1], b[0]), enumerate(markets.SOURCES), F.when(F.lit(False), -1))
     rows = models.fold_rows(by_scope(frame), folds).withColumn("g", (F.col("fold") * 10 + number * 2 + (F.col("scope") == SCOPES[1]).cast("int")).cast("long"))
-    train, test = rows.filter("role = 'train'"), rows.filter("role = 'evaluate'")
-    keep = ["source", "scope", "fold", "match_id", "match_date", "year", "y", "market_probability", "p"]
-    parts = [test.withColumn("p", F.col("market_probability")).select(F.lit(RAW).alias("architecture"), *keep)]
-    for name, features in ((RECALIBRATED, (models.MARKET,)), (FORM, (models.MARKET, *models.FORM))):
-        parts.append(models.predict_groups(test, models.fit_groups(train, features), "p").select(F.lit(name).alias("architecture"), *keep))
-    return reduce(DataFrame.unionByName, parts)
+    fitted = models.fit_variants(rows.filter("role = 'train'"), FITTED)
+    out = rows.filter("role = 'evaluate'").withColumn(RAW, F.col("market_probability"))
+    for name in FITTED:
+        out = models.predict_groups(out, fitted[name], name)
+    return out.select(*PLACE, RAW, *FITTED)
+
+
+def predictions(scored: DataFrame) -> DataFrame:
+    """(architecture, source, scope, fold, match_id, match_date, year, y, market_probability, p) of scored rows."""
+    each = F.inline(F.array(*[F.struct(F.lit(name).alias("architecture"), F.col(name).alias("p")) for name in (RAW, *FITTED)]))
+    return scored.select(*PLACE, each).select("architecture", *PLACE, "p")
 
 
 def anchor_metrics(predicted: DataFrame) -> DataFrame:
@@ -52,16 +59,13 @@ def anchor_metrics(predicted: DataFrame) -> DataFrame:
     return out.withColumn("log_loss_improvement_vs_raw_market", F.col("raw_market_log_loss") - F.col("log_loss")).withColumn("log_loss_improvement_vs_recalibration", better).drop("__recalibrated")
 
 
-def anchor_bootstrap(predicted: DataFrame, samples: int = resample.SAMPLES) -> DataFrame:
+def anchor_bootstrap(scored: DataFrame, samples: int = resample.SAMPLES) -> DataFrame:
     """Block bootstrap of the form model's log loss against the raw and the recalibrated market, by segment."""
-    form = predicted.filter(F.col("architecture") == FORM)
-    place = ["source", "scope", "fold", "match_id"]
-    recalibrated = predicted.filter(F.col("architecture") == RECALIBRATED).select(*place, F.col("p").alias("recalibrated"))
-    both = metrics.year_and_combined(form.join(recalibrated, place), [])
-    loss = lambda c: N.row_log_loss(F.col("y"), F.col(c))
+    loss = lambda name: N.row_log_loss(F.col("y"), F.col(name))
+    against = F.inline(F.array(*[F.struct(F.lit(name).alias("comparator"), (loss(name) - loss(FORM)).alias("difference")) for name in (RAW, RECALIBRATED)]))
+    rows = metrics.year_and_combined(scored, []).select(*KEYS, "match_date", against)
     keys = [*KEYS, "comparator"]
-    sums = [resample.block_sums(both.withColumn("comparator", F.lit(name)), keys, loss(c) - loss("p")) for name, c in ((RAW, "market_probability"), (RECALIBRATED, "recalibrated"))]
-    return resample.block_bootstrap(reduce(DataFrame.unionByName, sums), keys, samples)
+    return resample.block_bootstrap(resample.block_sums(rows, keys, F.col("difference")), keys, samples)
 
 
 def anchor_summary(bootstrap: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers as N
 from ..functions import text as T
-from ..operators import anchors, canonical, decisions, history, linkage, markets, metrics, records, stats
+from ..operators import anchors, canonical, decisions, history, linkage, markets, metrics, models, records, stats
 from . import queries as Q
 from .queries import LL, query, r
 from .views import matches
@@ -126,15 +126,20 @@ def raw_anchor_metrics(spark, folder):
     return table.drop("roc_auc", "log_loss_improvement_vs_recalibration")
 
 
+def _scored_anchors(spark, folder) -> DataFrame:
+    """Each source as the anchor, on its own rows and on common rows, all fits at once; the fits read the rows many times, so their columns are kept."""
+    keep = ["match_id", "match_date", "year", "y", *models.FORM, *[c for pair in markets.SOURCES.values() for c in pair]]
+    return anchors.scored(_anchor_rows(spark, folder).select(*keep).persist(), Q.FOLDS)
+
+
 @query("market_anchor_metrics")
 def market_anchor_metrics(spark, folder):
-    """Each source as the anchor, on its own rows and on common rows, all fits of a kind at once."""
-    return anchors.anchor_metrics(anchors.predictions(_anchor_rows(spark, folder), Q.FOLDS))
+    return anchors.anchor_metrics(anchors.predictions(_scored_anchors(spark, folder)))
 
 
 @query("market_anchor_bootstrap")
 def market_anchor_bootstrap(spark, folder):
-    return anchors.anchor_summary(anchors.anchor_bootstrap(anchors.predictions(_anchor_rows(spark, folder), Q.FOLDS)))
+    return anchors.anchor_summary(anchors.anchor_bootstrap(_scored_anchors(spark, folder)))
 
 
 # ---- parsing and names ----------------------------------------------------------------------------

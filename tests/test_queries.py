@@ -91,3 +91,37 @@ def test_models_keep_only_the_columns_that_they_read(spark):
     kept = catalogue._model_rows(spark, FOLDER)
     kept.unpersist()
     assert set(kept.columns) == {"match_id", "match_date", "year", "part", "y", "market_probability", "overround", "odds_source", models.MARKET, *models.NUMERIC, *models.BINARY}
+
+
+def test_anchor_rows_are_made_once_and_compared_row_by_row(spark, monkeypatch):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from duelspark.operators import anchors
+    from duelspark.plans import extended
+
+    made, rows = spark.sparkContext.accumulator(0), extended._anchor_rows(spark, FOLDER)
+
+    @F.udf("double")
+    def counted(y):
+        made.add(1)
+        return y
+
+    monkeypatch.setattr(extended, "_anchor_rows", lambda *_: rows.withColumn("y", counted("y")))
+    try:
+        scored = extended._scored_anchors(spark, FOLDER)
+        long = anchors.predictions(scored).toPandas()
+        got = {(r["source"], r["scope"], r["segment"], r["comparator"]): r for r in anchors.anchor_bootstrap(scored, 50).collect()}
+        assert made.value == rows.count()  # whatever the number of passes
+    finally:
+        spark.catalog.clearCache()
+    long["loss"] = -np.log(np.where(long["y"] == 1, long["p"], 1 - long["p"]))
+    wide = long.pivot_table(index=["source", "scope", "fold", "match_id", "match_date"], columns="architecture", values="loss").reset_index()
+    wide["block"] = [f"{d.year}-W{d.isocalendar()[1]:02d}" for d in wide["match_date"]]
+    for (source, scope), part in wide.groupby(["source", "scope"]):
+        for other in (anchors.RAW, anchors.RECALIBRATED):
+            sums = (part[other] - part[anchors.FORM]).groupby(part["block"]).agg(["sum", "count"]).sort_index()
+            at = np.random.default_rng(42).integers(0, len(sums), size=(50, len(sums)))
+            drawn = sums["sum"].to_numpy()[at].sum(1) / sums["count"].to_numpy()[at].sum(1)
+            r = got[source, scope, "combined", other]
+            assert r["sample_count"] == len(part) and (r["ci_lower"], r["ci_upper"]) == pytest.approx(np.percentile(drawn, [2.5, 97.5]))
