@@ -15,7 +15,7 @@ from tempfile import TemporaryFile
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -48,9 +48,10 @@ def check_features(names: tuple[str, ...]) -> None:
 
 def eligibility(frame: DataFrame) -> DataFrame:
     """Exclusion flags of feature rows; a row may have several. All copies of a repeated id are out."""
-    copies = frame.groupBy("match_id").agg((F.count(F.lit(1)) > 1).alias("duplicate_id"))
-    return frame.join(copies, "match_id").select(
+    copies = F.count(F.lit(1)).over(Window.partitionBy("match_id"))  # not a join, which would make all features twice
+    return frame.filter("match_id is not null").select(
         "*",
+        (copies > 1).alias("duplicate_id"),
         F.col("match_date").isNull().alias("invalid_date"),
         F.col("player_1_won").isNull().alias("invalid_target"),
         (~F.coalesce(F.col("surface").isin("Hard", "Clay", "Grass"), F.lit(False))).alias("invalid_surface"),

@@ -654,6 +654,12 @@ def _model_rows(spark: SparkSession, folder: str) -> DataFrame:
     return models.prepare(rated_features(spark, folder)).select(*keep).persist()
 
 
+def _form_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Prepared rows with what the market and form model reads, which needs no ratings; kept as above."""
+    rows = models.prepare(history.build_features(matches(spark, folder)))
+    return rows.select("year", "y", models.MARKET, *models.FORM).persist()
+
+
 @query("logit_v1")
 def logit_v1(spark, folder):
     rows = _model_rows(spark, folder).withColumn("g", F.lit(1).cast("long"))
@@ -676,7 +682,7 @@ def ablation(spark, folder):
 
 @query("market_coefficients")
 def market_coefficients(spark, folder):
-    rows = models.fold_rows(_model_rows(spark, folder), FOLDS).withColumn("g", F.col("fold").cast("long"))
+    rows = models.fold_rows(_form_rows(spark, folder), FOLDS).withColumn("g", F.col("fold").cast("long"))
     table = models.coefficients(spark, models.fit_groups(rows.filter("role = 'train'"), (models.MARKET, *models.FORM)))
     return table.withColumn("category", F.when(F.col("feature") == models.MARKET, models.market_category(F.col("coefficient"))))
 

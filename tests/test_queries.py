@@ -125,3 +125,25 @@ def test_anchor_rows_are_made_once_and_compared_row_by_row(spark, monkeypatch):
             drawn = sums["sum"].to_numpy()[at].sum(1) / sums["count"].to_numpy()[at].sum(1)
             r = got[source, scope, "combined", other]
             assert r["sample_count"] == len(part) and (r["ci_lower"], r["ci_upper"]) == pytest.approx(np.percentile(drawn, [2.5, 97.5]))
+
+
+def test_market_coefficients_need_no_ratings_and_make_features_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from duelspark.operators import models
+
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(key):
+        made.add(1)
+        return key
+
+    monkeypatch.setattr(catalogue.ratings, "add_ratings", None)
+    table = catalogue.market_coefficients(spark, FOLDER).collect()
+    spark.catalog.clearCache()
+    assert {r["g"] for r in table} == {1, 2, 3} and {models.MARKET, *models.FORM, "intercept"} <= {r["feature"] for r in table}
+    ids = [("a",), ("b",), ("a",), (None,), ("c",)]
+    frame = spark.createDataFrame(ids, "match_id string").select(counted.asNondeterministic()("match_id").alias("match_id"), F.lit(None).cast("date").alias("match_date"), F.lit(True).alias("player_1_won"), F.lit("Clay").alias("surface"))
+    assert sorted((r["match_id"], r["duplicate_id"]) for r in models.eligibility(frame).collect()) == [("a", True), ("a", True), ("b", False), ("c", False)]
+    assert made.value == len(ids)
